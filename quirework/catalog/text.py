@@ -14,7 +14,8 @@ KEY = ["doc_id", "page_number"]
 
 
 def _ordered(spark, sf, anchor="bottom"):
-    return text.reading_order(fx.spans(spark, sf), anchor)
+    # A page here is twenty lines of one document row, so no page can outgrow a task.
+    return text.reading_order(fx.spans(spark, sf), anchor, hot_rows=None)
 
 
 def _page_text(spark, sf, sep=" "):
@@ -34,10 +35,8 @@ _HITS = """
 @query("A5 A6", with_tables("ptext", _HITS + """
     select query, doc_id, count(*) as hits, count(distinct page_number) as pages_hit from hit group by 1, 2"""))
 def search_flagship(spark, sf):
-    hits = text.search(_page_text(spark, sf), QUERIES)
-    counts = text.search_counts(hits)
-    return counts.groupBy("query", "doc_id").agg(
-        F.sum("page_hits").alias("hits"), F.count(F.lit(1)).alias("pages_hit"))
+    hits = text.find_matches(_page_text(spark, sf), QUERIES)
+    return text.hits_per_document(hits)
 
 
 @query("W1", with_tables("ordered", """
@@ -104,7 +103,7 @@ _OFFSETS = """
 def hit_quads(spark, sf):
     ordered = _ordered(spark, sf)
     hits = text.search(text.page_text(ordered, " "), QUERIES)
-    return text.hit_quads(hits, text.span_offsets(ordered, " "))
+    return text.hit_quads(hits, text.span_offsets(ordered, " ", hot_rows=None))
 
 
 @query("E10", with_tables("ptext", _HITS + _OFFSETS + """
@@ -115,7 +114,7 @@ def hit_quads(spark, sf):
 def search_and_redact(spark, sf):
     ordered = _ordered(spark, sf)
     hits = text.search(text.page_text(ordered, " "), QUERIES)
-    boxes = text.hit_quads(hits, text.span_offsets(ordered, " "))
+    boxes = text.hit_quads(hits, text.span_offsets(ordered, " ", hot_rows=None))
     left, _ = redact.search_and_redact(fx.spans(spark, sf), boxes)
     return left.groupBy(*KEY).agg(
         text.joined_text(F.struct("span_id", "run_index"), c("text"), "").alias("text"))

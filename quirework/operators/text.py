@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scan import ordered_scan, split_hot
+from ..plans.settle import settle
 
 PAGE_KEY = ["doc_id", "page_number"]
 LINE_GAP = 5.0
@@ -122,10 +123,10 @@ def selection_text(selected: DataFrame, order=("read_index",)) -> DataFrame:
     return selected.groupBy("sel_id").agg(joined_text(F.struct(*order), F.col("text"), "").alias("text"))
 
 
-def search(page_texts: DataFrame, queries: list[str], per_page=MATCHES_PER_PAGE) -> DataFrame:
-    """Case-insensitive literal hits, at most ``per_page`` per page, numbered through each document.
+def find_matches(page_texts: DataFrame, queries: list[str], per_page=MATCHES_PER_PAGE) -> DataFrame:
+    """Case-insensitive literal hits, at most ``per_page`` per page (a limit of the feature).
 
-    Every page is cut at the needle inside its own row, so the only shuffle is that of the hits.
+    Every page is cut at the needles inside its own row: one pass, no shuffle.  Blank queries find nothing.
     """
     wanted = sorted({q.lower() for q in queries if q.strip()})
     lowered = F.lower("text")
@@ -149,9 +150,17 @@ def search(page_texts: DataFrame, queries: list[str], per_page=MATCHES_PER_PAGE)
     ])
     some = [F.contains(lowered, F.lit(q)) for q in wanted]
     candidates = page_texts.filter(F.greatest(*some) if len(some) > 1 else some[0]) if some else page_texts
-    found = candidates.select("doc_id", "page_number", F.explode(per_needle).alias("_m")).select(
+    return candidates.select("doc_id", "page_number", F.explode(per_needle).alias("_m")).select(
         "doc_id", "page_number", F.col("_m.query").alias("query"), F.explode("_m.starts").alias("start"),
         F.col("_m.hit_length").alias("hit_length"))
+
+
+def search(page_texts: DataFrame, queries: list[str], per_page=MATCHES_PER_PAGE) -> DataFrame:
+    """Hits numbered through each document (``match_index``).
+
+    The hits are written once: numbering reads them twice, and they are far smaller than the text.
+    """
+    found = settle(find_matches(page_texts, queries, per_page))
     return ordered_scan(
         found, ["query", "doc_id"], F.floor(F.col("page_number") / 1024),
         [F.col("page_number"), F.col("start")], rank="match_index")
@@ -169,6 +178,12 @@ def search_counts(hits: DataFrame) -> DataFrame:
     return per_page.join(per_doc, ["query", "doc_id"])
 
 
+def hits_per_document(hits: DataFrame) -> DataFrame:
+    per_page = hits.groupBy("query", *PAGE_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    return per_page.groupBy("query", "doc_id").agg(
+        F.sum("_n").alias("hits"), F.count(F.lit(1)).alias("pages_hit"))
+
+
 def match_neighbours(hits: DataFrame) -> DataFrame:
     """Next and previous hit of a document, going round at the ends."""
     scanned = ordered_scan(

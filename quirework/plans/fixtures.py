@@ -1,6 +1,6 @@
 """Document tables derived from the driver's parquet tables (see FIXTURES.md)."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHAR_WIDTH, LINE_PITCH, LINES_PER_PAGE, MARGIN = 7.2, 16.0, 20, 72.0
@@ -24,30 +24,22 @@ def page_height(doc_id: Column) -> Column:
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Shuffle the documents while they are still one compact row each: everything below is keyed by document and
+    # page, so the words need no shuffle of their own.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(
+        max(n, spark.sparkContext.defaultParallelism), "doc_id")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def spans(spark, sf_dir) -> DataFrame:
     """Words of ``documents.text`` with positions, in PDF space."""
-    words = F.split("line", " ")
-    # Start offset of every word, folded inside the row: no shuffle, and a line stays one row until the explode.
-    folded = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, w: F.struct(
-            (acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")
-        ),
-    )["starts"]
+    before = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     exploded = (
         lines(spark, sf_dir)
         .filter(F.col("line") != "")
-        .select(
-            "doc_id",
-            "line_no",
-            F.posexplode(F.arrays_zip(words.alias("word"), folded.alias("off"))).alias("word_no", "w"),
-        )
-        .select("doc_id", "line_no", "word_no", F.col("w.word").alias("text"), F.col("w.off").alias("off"))
+        .select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
+        .withColumn("off", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
         .filter(F.col("text") != "")
     )
     x = F.lit(MARGIN) + F.col("off") * F.lit(CHAR_WIDTH)
