@@ -21,19 +21,20 @@ STAMP_DATA = (
 )
 
 # One annotation as found in a file, before normalisation.  ``source`` tells the annotation list
-# ("list") from the page's own array ("page"), which is the only one that holds every widget.
+# ("list") from the page's own array ("page"), which is the only one that holds every widget.  ``y_space`` is
+# "pdf" (y up) or "display" (y down); null means the habit of each subtype.
 RAW_ANNOTATION = (
     "doc_id BIGINT, page_number INT, ord INT, source STRING, subtype STRING, page_height DOUBLE, "
     f"rect ARRAY<DOUBLE>, quads {QUADS}, line STRING, ink STRING, color ARRAY<DOUBLE>, "
     "interior_color ARRAY<DOUBLE>, opacity DOUBLE, border_width DOUBLE, contents STRING, flags MAP<STRING, STRING>, "
-    "options ARRAY<STRING>"
+    "options ARRAY<STRING>, y_space STRING"
 )
 
 ANNOTATION = (
     "doc_id BIGINT, ann_id STRING, ord INT, type STRING, page_number INT, x DOUBLE, y DOUBLE, width DOUBLE, "
     "height DOUBLE, content STRING, color STRING, opacity DOUBLE, rotation DOUBLE, "
     f"quads {QUADS}, path {POINTS}, points {POINTS}, highlight_mode STRING, "
-    f"arrow_point {POINT}, box_position {POINT}, shape_type STRING, stroke_width DOUBLE, fill_color STRING, "
+    f"arrow_point {POINT}, box_position {POINT}, shape_type STRING, stroke_color STRING, stroke_width DOUBLE, fill_color STRING, "
     "fill_opacity DOUBLE, arrow_head_size DOUBLE, font_size DOUBLE, font_family STRING, has_background BOOLEAN, "
     "background_color STRING, image_data STRING, image_width DOUBLE, image_height DOUBLE, "
     "preserve_aspect BOOLEAN, field_type STRING, field_name STRING, value_str STRING, value_bool BOOLEAN, "
