@@ -254,18 +254,22 @@ def _near_pairs(places, dims, tol):
 _ENDS = ["ax", "ay", "bx", "by"]
 
 
-def _with_ends(df):
+def _arrow_ends(df):
+    """Ends of the arrows, and nothing else of them."""
+    arrows = df.filter((F.col("type") == "shape") & (F.col("shape_type") == "arrow") & (F.size("points") == 2))
     p, q = F.get("points", 0), F.get("points", 1)
-    arrow = (F.col("type") == "shape") & (F.col("shape_type") == "arrow") & (F.size("points") == 2)
-    pick = lambda v: F.when(arrow, v)
-    return df.select("*", pick(p["x"]).alias("ax"), pick(p["y"]).alias("ay"), pick(q["x"]).alias("bx"), pick(q["y"]).alias("by"))
+    return settle(arrows.select(
+        F.struct("ord", "ann_id").alias("node"), *PAGE_KEY,
+        p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
 
 
 def _turned(df):
     """Each arrow in both directions."""
-    back = df.select(*[F.col(c) for c in df.columns if c not in _ENDS],
-                     F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    return df.unionByName(back)
+    both = F.array(
+        F.struct(*[F.col(e) for e in _ENDS]),
+        F.struct(*[F.col(o).alias(e) for o, e in zip(("bx", "by", "ax", "ay"), _ENDS)]))
+    return df.select(*[c for c in df.columns if c not in _ENDS], F.explode(both).alias("_e")).select(
+        *[c for c in df.columns if c not in _ENDS], "_e.*")
 
 
 # What a matching loaded arrow overwrites.
@@ -279,27 +283,21 @@ def dedupe_on_load(batch: DataFrame, store: DataFrame):
     ends match, in either direction, an earlier added arrow within 1 pt or a stored one within 10 pt; the first
     such stored arrow takes over its geometry, the last loaded one winning.
     """
-    loaded = _with_ends(batch)
-    existing = _with_ends(store)
-    arrows = loaded.filter(F.col("ax").isNotNull())
-
-    hits = first_near(
-        arrows.withColumn("target_id", F.struct("ord", "ann_id")),
-        _turned(existing.filter(F.col("ax").isNotNull()).select("ord", "ann_id", *PAGE_KEY, *_ENDS)).withColumn(
-            "hit", F.struct("ord", "ann_id")),
-        PAGE_KEY, _ENDS, 10.0)
+    loaded, existing = _arrow_ends(batch), _arrow_ends(store)
+    hits = settle(first_near(
+        loaded.withColumn("target_id", F.col("node")), _turned(existing).withColumn("hit", F.col("node")),
+        PAGE_KEY, _ENDS, 10.0))
     known = store.filter(F.col("handle").isNotNull()).select("doc_id", "handle").distinct()
-    fresh = loaded.join(known, ["doc_id", "handle"], "left_anti").join(
-        hits.select(F.col("target_id.ann_id").alias("ann_id")).distinct(), "ann_id", "left_anti")
-
+    matched = hits.select(F.col("target_id.ann_id").alias("ann_id")).distinct()
+    fresh = batch.select("doc_id", "ann_id", "ord", "handle").join(known, ["doc_id", "handle"], "left_anti").join(
+        matched, "ann_id", "left_anti")
     # Rows of one handle are one object: the first stands for all.
-    group = F.coalesce(F.concat(F.lit("h:"), "handle"), F.concat(F.lit("a:"), F.col("ann_id").cast("string")))
-    firsts = fresh.groupBy("doc_id", group.alias("_g")).agg(F.min(F.struct("ord", "ann_id")).alias("_n"))
-    single = fresh.join(firsts.select(F.col("_n.ann_id").alias("ann_id")), "ann_id", "left_semi")
-    plain = single.filter(F.col("ax").isNull())
-    # Equal arrows are one place, whichever way they point is settled by the edges.
-    places = settle(single.filter(F.col("ax").isNotNull()).groupBy(*PAGE_KEY, *_ENDS).agg(
-        F.min(F.struct("ord", "ann_id")).alias("node")))
+    firsts = fresh.filter(F.col("handle").isNotNull()).groupBy("doc_id", "handle").agg(
+        F.min(F.struct("ord", "ann_id")).alias("node")).select("node")
+    single = settle(fresh.filter(F.col("handle").isNull()).select(F.struct("ord", "ann_id").alias("node")).unionByName(firsts))
+
+    # Equal arrows are one place; arrows that point the other way meet through the edges.
+    places = settle(loaded.join(single, "node", "left_semi").groupBy(*PAGE_KEY, *_ENDS).agg(F.min("node").alias("node")))
     other = _turned(places).withColumn("_c", F.explode(around(F.col("ax"), F.col("ay"), 1.0))).select(
         *PAGE_KEY, F.col("node").alias("earlier"), *[F.col(d).alias(f"_o{d}") for d in _ENDS],
         F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
@@ -308,8 +306,9 @@ def dedupe_on_load(batch: DataFrame, store: DataFrame):
     for d in _ENDS:
         pairs = pairs.filter(F.abs(F.col(d) - F.col(f"_o{d}")) < 1.0)
     first = keep_first(places.select("node"), pairs.select("earlier", F.col("node").alias("later")))
-    kept_arrows = single.join(first.select(F.col("node.ann_id").alias("ann_id")), "ann_id", "left_semi")
-    to_add = plain.select(batch.columns).unionByName(kept_arrows.select(batch.columns))
+    plain = single.join(loaded.select("node"), "node", "left_anti")
+    to_add = batch.join(
+        plain.unionByName(first).select(F.col("node.ann_id").alias("ann_id")), "ann_id", "left_semi").select(batch.columns)
 
     last = hits.groupBy("hit").agg(F.max("target_id").alias("_t")).select(
         F.col("hit.ann_id").alias("_stored"), F.col("_t.ann_id").alias("_loaded"))

@@ -47,28 +47,22 @@ def first_near(targets: DataFrame, stored: DataFrame, keys, dims, tol, strict=Tr
 def keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that survive when each is dropped if an earlier *surviving* node is its neighbour.
 
-    ``nodes`` has ``node``, ``edges`` has ``earlier, later``.  Every round settles all nodes whose earlier
-    neighbours are settled, so the number of rounds is the length of the longest chain, mostly one or two; only
-    nodes with undecided neighbours go into the next round.
+    ``nodes`` has ``node``, ``edges`` has ``earlier, later``.  A round decides every node whose earlier neighbours
+    are decided, so there are as many rounds as the longest chain of neighbours has links, mostly one or two.
+    Nodes without neighbours never enter the loop.
     """
     edges = settle(edges.distinct())
-    if edges.isEmpty():
-        return nodes
-    kept = nodes.join(edges.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
-    open_edges = edges
-    out = kept
+    later = edges.select(F.col("later").alias("node")).distinct()
+    linked = edges.select(F.col("earlier").alias("node")).distinct()
+    state = linked.join(later, "node", "left_anti").withColumn("state", F.lit("kept")).unionByName(
+        later.withColumn("state", F.lit("open")))
     while True:
-        dropped = open_edges.join(kept.select(F.col("node").alias("earlier")), "earlier", "left_semi").select(
-            "later").distinct()
-        # Undecided nodes, and the edges among them that can still drop one.
-        rest = open_edges.join(kept.select(F.col("node").alias("earlier")), "earlier", "left_anti").join(
-            dropped, "later", "left_anti").join(
-            dropped.select(F.col("later").alias("earlier")), "earlier", "left_anti")
-        later = open_edges.select("later").distinct().join(dropped, "later", "left_anti")
-        freed = settle(later.join(rest.select("later").distinct(), "later", "left_anti").select(
-            F.col("later").alias("node")))
-        open_edges = settle(rest)
-        out = out.unionByName(freed)
-        if open_edges.isEmpty():
-            return out
-        kept = freed
+        state = settle(state)
+        if state.filter(F.col("state") == "open").isEmpty():
+            return nodes.join(state.filter(F.col("state") == "dropped"), "node", "left_anti").select("node")
+        seen = edges.join(state.withColumnsRenamed({"node": "earlier", "state": "_s"}), "earlier").groupBy(
+            F.col("later").alias("node")).agg(
+            F.max(F.col("_s") == "kept").alias("_kept"), F.max(F.col("_s") == "open").alias("_open"))
+        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("_kept"), "dropped").when(
+            F.col("_open"), "open").otherwise("kept")
+        state = state.join(seen, "node", "left").select("node", decided.alias("state"))
