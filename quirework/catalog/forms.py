@@ -1 +1,155 @@
+"""Forms, outlines, bookmarks, settings and exports."""
+
+from pyspark.sql import functions as F
+
+from ..functions import fields as ff
+from ..operators import documents as op
+from ..plans import fixtures as fx
+from ..plans.oracle import with_tables
+from ..sources import annotations as src
+from ..sources import settings as st
+from ..sources import sinks
+from .registry import query
+from .text import _page_text
+
+c = F.col
+KEY = ["doc_id", "page_number"]
+
+_FORM = """(select event_id, user_id as doc_id, 'f' || (event_id % 9) as field_name, ['text', 'checkbox', 'radio', 'dropdown', 'date'][event_id % 5 + 1] as field_type,
+    event_id % 3 = 0 as required, case when event_id % 4 = 0 then '' when event_id % 4 = 1 then null else 'v' || event_id end as value_str, event_id % 2 = 0 as value_bool from events)"""
+
+
+def _form(spark, sf):
+    e = c("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("text", "checkbox", "radio", "dropdown", "date"))), (e % 5 + 1).cast("int"))
+    return fx.table(spark, sf, "events").select(
+        "event_id", c("user_id").alias("doc_id"), F.concat(F.lit("f"), (e % 9).cast("string")).alias("field_name"),
+        kind.alias("field_type"), (e % 3 == 0).alias("required"),
+        F.when(e % 4 == 0, "").when(e % 4 > 1, F.concat(F.lit("v"), e.cast("string"))).alias("value_str"),
+        (e % 2 == 0).alias("value_bool"))
+
+
+@query("P41", f"select event_id from {_FORM} where required and field_type in ('text', 'date', 'dropdown') and coalesce(value_str, '') = ''")
+def missing_required(spark, sf):
+    f = _form(spark, sf)
+    return f.filter(ff.missing_required(c("field_type"), c("required"), c("value_str"))).select("event_id")
+
+
+@query("E6", f"""with f as {_FORM}, g as (select distinct user_id as doc_id, 'f' || (user_id % 9) as field_name, case when user_id % 3 > 0 then 'new' || user_id end as s, user_id % 2 = 0 as b from events)
+    select event_id, f.doc_id, field_name, case when g.doc_id is not null and field_type in ('text', 'date') then coalesce(s, '') when g.doc_id is not null and field_type = 'dropdown' then coalesce(s, value_str) else value_str end as value_str,
+        case when g.doc_id is not null and field_type in ('checkbox', 'radio') then b else value_bool end as value_bool, case when g.doc_id is not null and field_type in ('text', 'date') then coalesce(s, '') end as default_value,
+        case when g.doc_id is not null and field_type in ('checkbox', 'radio') then case when b then 'Yes' else 'Off' end end as state
+    from f left join g using (doc_id, field_name)""")
+def fill_forms(spark, sf):
+    u = c("doc_id")
+    given = fx.table(spark, sf, "events").select(c("user_id").alias("doc_id")).distinct().select(
+        "doc_id", F.concat(F.lit("f"), (u % 9).cast("string")).alias("field_name"),
+        F.when(u % 3 > 0, F.concat(F.lit("new"), u.cast("string"))).alias("value_str"), (u % 2 == 0).alias("value_bool"))
+    return op.fill_forms(_form(spark, sf), given).drop("field_type", "required")
+
+
+@query("E7", with_tables("annv", """
+    select ann_id::int as ord, doc_id, page_number, 'date_' || (ann_id % 7) as field_name, case ann_id % 3 when 0 then 'date' when 1 then case when ann_id % 2 = 0 then 'radio' else 'checkbox' end else 'dropdown' end as field_type,
+        case when ann_id % 3 <> 1 then content end as value_str, case when ann_id % 3 = 1 then ann_id % 4 < 2 end as value_bool, x, y, width, height from annv where type = 'formField'"""))
+def detect_fields(spark, sf):
+    a = fx.valid_annotations(spark, sf)
+    e = c("ann_id")
+    raw = a.select(
+        *KEY, e.cast("int").alias("ord"), F.when(c("type") == "formField", "Widget").otherwise("Highlight").alias("subtype"),
+        F.array(c("x"), c("y"), c("x") + c("width"), c("y") + c("height")).alias("rect"),
+        F.create_map(
+            F.lit("FT"), F.when(e % 3 == 0, "/Tx").when(e % 3 == 1, "Btn").otherwise("/Ch"),
+            F.lit("Ff"), F.when((e % 3 == 1) & (e % 2 == 0), "32768").otherwise("0"),
+            F.lit("T"), F.concat(F.lit("(date_"), (e % 7).cast("string"), F.lit(")")),
+            F.lit("V"), F.when(e % 3 == 1, F.when(e % 4 < 2, "/Yes").otherwise("/Off")).otherwise(c("content"))).alias("flags"))
+    return src.detect_fields(raw)
+
+
+_OUTLINE = """, t as (select doc_id, node_id, page_number, title, [{'o': ord, 'n': node_id}] as path, 0 as depth from outline where parent_id is null
+    union all select o.doc_id, o.node_id, o.page_number, t.title || ' > ' || o.title, list_append(t.path, {'o': o.ord, 'n': o.node_id}), depth + 1
+    from outline o join t on o.doc_id = t.doc_id and o.parent_id = t.node_id)"""
+
+
+@query("A8 S7", with_tables("outline", _OUTLINE + """
+    select doc_id, node_id, title, page_number, depth, row_number() over (partition by doc_id order by path) - 1 as position from t""", recursive=True))
+def flatten_outline(spark, sf):
+    return op.flatten_outline(fx.outline_nodes(spark, sf))
+
+
+@query("S7", with_tables("outline", "select doc_id, node_id, parent_id, ord, title, page_number from outline"))
+def outline_nodes(spark, sf):
+    return fx.outline_nodes(spark, sf)
+
+
+@query("U1", with_tables("outline", """
+    , a as (select doc_id, 'n' || node_id as bookmark_id, page_number, title, 0 as src from outline union all
+        select doc_id, 'a' || node_id, page_number, case when node_id % 2 = 0 then title else 'note' end, 1 from outline
+        union all select doc_id, 'b' || node_id, page_number, 'note', 1 from outline)
+    select doc_id, page_number, title, first(bookmark_id order by src, bookmark_id) as bookmark_id from a group by 1, 2, 3"""))
+def merge_bookmarks(spark, sf):
+    o = fx.outline_nodes(spark, sf)
+    mark = lambda p, title: o.select("doc_id", F.concat(F.lit(p), c("node_id").cast("string")).alias("bookmark_id"),
+                                     "page_number", title.alias("title"))
+    app = mark("a", F.when(c("node_id") % 2 == 0, c("title")).otherwise("note")).unionByName(mark("b", F.lit("note")))
+    return op.merge_bookmarks(mark("n", c("title")), app)
+
+
+_SET = """(select doc_id, ['letter', 'a4', 'legal', 'tabloid', 'custom'][doc_id % 5 + 1] as page_size, ['auto', 'portrait', 'landscape'][doc_id % 3 + 1] as orientation, [1, 2, 4, 6, 9, 16][doc_id % 6 + 1] as pages_per_sheet,
+    '1-' || (doc_id % 9 + 1) as custom_range, ['none', 'narrow', 'normal', 'wide', 'custom'][doc_id % 5 + 1] as margin_preset, ['fit', 'actual', 'custom'][doc_id % 3 + 1] as scaling_mode, (doc_id % 500)::double as custom_scale from documents where doc_id % 4 > 0)"""
+
+
+def _settings(spark, sf):
+    d = c("doc_id")
+    pick = lambda vals: F.element_at(F.array(*map(F.lit, vals)), (d % len(vals) + 1).cast("int"))
+    return fx.table(spark, sf, "documents").filter(d % 4 > 0).select(
+        "doc_id", pick(("letter", "a4", "legal", "tabloid", "custom")).alias("page_size"),
+        pick(("auto", "portrait", "landscape")).alias("orientation"), pick((1, 2, 4, 6, 9, 16)).alias("pages_per_sheet"),
+        F.concat(F.lit("1-"), (d % 9 + 1).cast("string")).alias("custom_range"),
+        pick(("none", "narrow", "normal", "wide", "custom")).alias("margin_preset"),
+        pick(("fit", "actual", "custom")).alias("scaling_mode"), (d % 500).cast("double").alias("custom_scale"))
+
+
+@query("S8", f"select * from {_SET}")
+def settings_round_trip(spark, sf):
+    return st.read_settings(st.write_settings(_settings(spark, sf)))
+
+
+@query("E9 P25", f"""with s as {_SET}, d as (select doc_id from documents), j as (select d.doc_id, coalesce(orientation, 'auto') as orientation, coalesce(page_size, 'letter') as page_size, coalesce(pages_per_sheet, 1)::int as pages_per_sheet,
+        coalesce(margin_preset, 'none') as margin_preset, coalesce(scaling_mode, 'fit') as scaling_mode, greatest(25, least(coalesce(custom_scale, 100), 400))::double as custom_scale, coalesce(custom_range, '') as custom_range from d left join s using (doc_id))
+    select *, 'horizontal' as page_order, 'all' as print_range, (case page_size when 'a4' then 8.27 when 'tabloid' then 11 else 8.5 end)::double as paper_width,
+        (case page_size when 'a4' then 11.69 when 'legal' then 14 when 'tabloid' then 17 else 11 end)::double as paper_height, (case margin_preset when 'narrow' then 0.25 when 'normal' then 0.5 when 'wide' then 1 when 'custom' then 0.5 else 0 end)::double as margin from j""")
+def effective_settings(spark, sf):
+    return op.effective_settings(fx.table(spark, sf, "documents"), _settings(spark, sf))
+
+
+@query("S9", with_tables("ptext", """
+    select doc_id, page_number, '--- Page ' || (page_number + 1) || ' ---' || chr(10) || chr(10) || text || chr(10) as value from ptext"""))
+def text_records(spark, sf):
+    return sinks.text_records(_page_text(spark, sf))
+
+
+@query("S10", with_tables("page doc", """
+    , f as (select doc_id, page_number, case when (doc_id + page_number) % 9 > 0 then '<p>' || width::int || '</p>' end as fragment from page),
+    b as (select doc_id, (page_number // 256)::int as part, string_agg(case when fragment is null then '<div class="page error">Error converting page ' || (page_number + 1) || '</div>'
+        else '<div class="page" data-page="' || (page_number + 1) || '">' || fragment || '</div>' end, chr(10) order by page_number) as body from f group by 1, 2),
+    e as (select *, part = min(part) over (partition by doc_id) as is_first, part = max(part) over (partition by doc_id) as is_last from b)
+    select doc_id, part, case when is_first then '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>doc.' || doc_id || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) else '' end
+        || body || case when is_last then chr(10) || '</body>' || chr(10) || '</html>' else '' end as html from e"""))
+def export_html(spark, sf):
+    ok = (c("doc_id") + c("page_number")) % 9 > 0
+    fragments = fx.pages(spark, sf).select(
+        *KEY, F.when(ok, F.concat(F.lit("<p>"), c("width").cast("int").cast("string"), F.lit("</p>"))).alias("fragment"))
+    return sinks.export_html(fragments, fx.docs(spark, sf))
+
+
+@query("S12", with_tables("page", "select doc_id, page_number, width, rotation from page"))
+def write_pages(spark, sf):
+    """Document and page written as folders and read back."""
+    import uuid
+
+    from ..plans.settle import shared_dir
+
+    path = f"{shared_dir(spark)}/pages/{uuid.uuid4().hex}"
+    sinks.write_pages(fx.pages(spark, sf).select(*KEY, "width", "rotation"), path)
+    return spark.read.schema("doc_id bigint, page_number int, width double, rotation int").parquet(path)
 

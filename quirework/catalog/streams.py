@@ -1 +1,145 @@
+"""Edit logs, as tables and as streams over the same files."""
 
+from pyspark.sql import functions as F
+
+from ..plans import fixtures as fx
+from ..plans.oracle import with_tables
+from ..streaming import state, timing, undo
+from .annotations import _FOLD, _changes
+from .registry import query
+
+c = F.col
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stream(spark, sf):
+    """``events`` as a stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return state.file_stream(spark, sf, "events.parquet", schema).withColumn("ts", c("ts").cast("timestamp"))
+
+
+def _ops(events):
+    kind = c("event_type")
+    return events.select(
+        "event_id", "ts", (c("user_id") % 20).alias("doc_id"), (c("event_id") % 40).alias("ann_id"),
+        F.when(kind == "signup", "add").when(kind == "click", "update").when(kind == "purchase", "remove")
+        .when(kind == "error", "undo").otherwise("redo").alias("op"), "value")
+
+
+# The history is a list with a cursor; a recursive query carries it through the log of every document at once.
+_UNDO = """
+    , n as (select *, row_number() over (partition by doc_id order by ts, event_id) as i from edit),
+    s as (select doc_id, 0::bigint as i, []::bigint[] as h, 0 as c, 0::bigint as pushes from (select distinct doc_id from edit)
+        union all select s.doc_id, n.i, case when op in ('undo', 'redo') then h else list_append(case when c = 50 then h[2:50] else h[1:c] end, n.event_id) end,
+            case op when 'undo' then greatest(c - 1, 0) when 'redo' then least(c + 1, len(h)) else least(c + 1, 50) end, pushes + (op not in ('undo', 'redo'))::int
+        from s join n on n.doc_id = s.doc_id and n.i = s.i + 1),
+    z as (select * from s where i = (select count(*) from edit e where e.doc_id = s.doc_id))
+    select doc_id, c::int as cursor, len(h)::int as history_length, case when c > 0 then h[c] end as undo_event, case when c < len(h) then h[c + 1] end as redo_event, pushes, array_to_string(h, ',') as history from z"""
+
+
+def _flat(df):
+    return df.withColumn("history", F.array_join(F.transform("history", lambda e: e.cast("string")), ","))
+
+
+@query("X1 T4", with_tables("edit", _UNDO, recursive=True))
+def undo_redo(spark, sf):
+    """Blocks of 100 events, so that documents are chained from several."""
+    return _flat(undo.undo_redo_batch(fx.edit_events(spark, sf), block_rows=100))
+
+
+@query("X1 X7", with_tables("edit", _UNDO, recursive=True))
+def undo_redo_stream(spark, sf):
+    out = state.run_to_end(undo.undo_redo_stream(_ops(_stream(spark, sf))), "update")
+    cols = [f.name for f in out.schema if f.name not in ("doc_id", "_batch")]
+    last = out.groupBy("doc_id").agg(F.max_by(F.struct(*cols), "_batch").alias("_r"))
+    return _flat(last.select("doc_id", "_r.*"))
+
+
+_BURSTS = """select event_id, user_id, ts from (select *, lead(ts) over (partition by user_id order by ts, event_id) as nx from events)
+    where nx is null or nx - ts >= interval 6 hours"""
+
+
+@query("X2", _BURSTS)
+def debounce(spark, sf):
+    e = fx.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return timing.debounce_batch(e, "user_id", 6 * 3600 * 1000).withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+@query("X2", """select event_id, user_id, ts from (select *, lead(ts) over (partition by user_id order by ts, event_id) as nx, max(ts) over () as mx from events)
+    where (nx is null or nx - ts >= interval 6 hours) and ts + interval 6 hours <= mx - interval 10 seconds""")
+def debounce_stream(spark, sf):
+    """Bursts that the watermark has passed when the stream ends; the open ones would follow with later events."""
+    e = _stream(spark, sf).select("event_id", "user_id", "ts")
+    out = state.run_to_end(timing.debounce_stream(e, "user_id", 6 * 3600 * 1000))
+    return out.drop("_batch").withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+_THROTTLE = """with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    p as (select user_id, event_id, ts, i from e where i = 1
+        union all select e.user_id, e.event_id, e.ts, e.i from p join e on e.user_id = p.user_id and e.i = (select min(f.i) from e f where f.user_id = p.user_id and f.i > p.i and f.ts - p.ts >= interval 6 hours))
+    select user_id, event_id, ts from p"""
+
+
+@query("X3", _THROTTLE)
+def throttle(spark, sf):
+    e = fx.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return timing.throttle_batch(e, "user_id", 6 * 3600 * 1000).withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+@query("X3", _THROTTLE)
+def throttle_stream(spark, sf):
+    e = _stream(spark, sf).select("event_id", "user_id", "ts")
+    out = state.run_to_end(timing.throttle_stream(e, "user_id", 6 * 3600 * 1000))
+    return out.drop("_batch").withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+@query("X4", """select event_id, user_id from events where ts <= timestamp '2024-01-20 12:00:00' and timestamp '2024-01-20 12:00:00' - ts < interval 2 days""")
+def live_notifications(spark, sf):
+    e = fx.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    at = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    return timing.live_at(e, at, 2 * 86400 * 1000).select("event_id", "user_id")
+
+
+@query("X4", """with e as (select event_id, user_id, ts, (select max(ts) from events) as mx from events)
+    select user_id, event_id, 'shown' as state from e union all
+    select user_id, event_id, 'expired' from e where epoch_ms(ts) + 3000 <= epoch_ms(mx - interval 1 second)""")
+def expire_stream(spark, sf):
+    """Every notification is shown; those whose three seconds the watermark has passed have expired."""
+    e = _stream(spark, sf).select("user_id", "event_id", "ts")
+    return state.run_to_end(timing.expire(e)).drop("_batch")
+
+
+@query("X5 T1", with_tables("opened", """
+    select path, max(ts) as last_opened, first(name order by ts desc) as name from opened group by 1 order by 2 desc, 1 limit 30"""))
+def recent_files_stream(spark, sf):
+    import uuid
+
+    from ..plans.settle import shared_dir
+
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    name = F.concat((c("user_id") % 50).cast("string"), F.lit(".pdf"))
+    opened = _stream(spark, sf).filter(c("event_type") == "view").select(
+        "ts", F.concat(F.lit("/d/"), name).alias("path"), name.alias("name"))
+    run = opened.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
+        state.recent_files_writer(f"{base}/out")).start()
+    run.awaitTermination()
+    last = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/*")
+    newest = last.agg(F.max("version")).scalar()
+    return last.filter(c("version") == newest).drop("version").withColumn("last_opened", c("last_opened").cast("timestamp_ntz"))
+
+
+@query("X6", with_tables("edit", _FOLD + " select doc_id, ann_id, value, note from net where base_op = 'add'"))
+def annotation_state(spark, sf):
+    return state.present(state.annotation_state(_changes(spark, sf), ["value", "note"]))
+
+
+@query("X6 X7", with_tables("edit", _FOLD + " select doc_id, ann_id, value, note from net where base_op = 'add'"))
+def annotation_state_stream(spark, sf):
+    """Every event delivered twice; the repeats are dropped."""
+    e = _ops(_stream(spark, sf))
+    e = e.withColumn("note", F.when((c("event_id") % 3 == 0) & (c("op") != "remove"), F.concat(F.lit("n"), c("event_id").cast("string"))))
+    twice = e.withColumn("_k", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_k")
+    out = state.run_to_end(state.annotation_state(twice, ["value", "note"], late="1 hour"), "update")
+    last = out.groupBy("doc_id", "ann_id").agg(F.max_by(F.struct("base_op", "value", "note"), "_batch").alias("_r"))
+    return state.present(last.select("doc_id", "ann_id", "_r.*"))
