@@ -200,9 +200,14 @@ def delete_matched(spark, sf):
 
 @query("J7", with_tables("annv", """
     , l as (select ann_id, doc_id, page_number, x, y from annv where type = 'formField'),
-    f as (select 'p' || ann_id as ann_id, doc_id, page_number, x + (ann_id % 4) * 0.5::double as x, y from l)
-    select ann_id::varchar as ann_id, doc_id, page_number from l
-    union all select ann_id, doc_id, page_number from f where not exists (select 1 from l where l.doc_id = f.doc_id and l.page_number = f.page_number and abs(l.x - f.x) < 1 and abs(l.y - f.y) < 1)"""))
+    f as (select 'p' || ann_id as ann_id, ord, doc_id, page_number, x + (ann_id % 4) * 0.5::double as x, y from annv where type = 'formField'),
+    c as (select *, row_number() over (partition by doc_id, page_number order by ord, ann_id) as i from f where not exists
+        (select 1 from l where l.doc_id = f.doc_id and l.page_number = f.page_number and abs(l.x - f.x) < 1 and abs(l.y - f.y) < 1)),
+    s as (select distinct doc_id, page_number, 0::bigint as i, []::struct(ann_id varchar, x double, y double)[] as kept from c
+        union all select s.doc_id, s.page_number, c.i, case when len(list_filter(kept, lambda k: abs(k.x - c.x) < 1 and abs(k.y - c.y) < 1)) > 0 then kept
+            else list_append(kept, {'ann_id': c.ann_id, 'x': c.x, 'y': c.y}) end from s join c on c.doc_id = s.doc_id and c.page_number = s.page_number and c.i = s.i + 1),
+    z as (select doc_id, page_number, last(kept order by i) as kept from s group by 1, 2)
+    select ann_id::varchar as ann_id, doc_id, page_number from l union all select k.ann_id, doc_id, page_number from z, unnest(kept) u(k)""", recursive=True))
 def dedupe_widgets(spark, sf):
     w = fx.valid_annotations(spark, sf).filter(c("type") == "formField").select("ann_id", "ord", *KEY, "type", "x", "y")
     found = w.withColumn("x", c("x") + (c("ann_id") % 4) * F.lit(0.5)).withColumn(
@@ -222,9 +227,29 @@ def _arrows(spark, sf, kind, shift, prefix):
         x.alias("x"), y.alias("y"), "width", "height", F.lit(None).cast("string").alias("handle"))
 
 
-@query("J8")
+_NEAR = """((abs({a}.ax - {b}.ax) < {t} and abs({a}.ay - {b}.ay) < {t} and abs({a}.bx - {b}.bx) < {t} and abs({a}.by_ - {b}.by_) < {t})
+            or (abs({a}.ax - {b}.bx) < {t} and abs({a}.ay - {b}.by_) < {t} and abs({a}.bx - {b}.ax) < {t} and abs({a}.by_ - {b}.ay) < {t}))"""
+
+
+def _arrow_sql(kind, shift, prefix, later=0):
+    return f"""select '{prefix}' || ann_id as ann_id, ord + {later} as ord, doc_id, page_number, xx as x, case when ev then xx else xx + width end as ax, case when ev then y else y + height end as ay,
+            case when ev then xx + width else xx end as bx, case when ev then y + height else y end as by_ from (select *, x + (ann_id % 3) * {shift}::double as xx, ann_id % 2 = 0 as ev from annv where type = '{kind}')"""
+
+
+@query("J8", with_tables("annv", f"""
+    , st as ({_arrow_sql('text', 0, 's')}),
+    ld as ({_arrow_sql('text', 4, 'b')} union all {_arrow_sql('highlight', 0.4, 'n')} union all {_arrow_sql('highlight', 0.7, 'm', 100000000)}),
+    hit as (select ld.ann_id, ld.ord, ld.x, first(st.ann_id order by st.ord, st.ann_id) as stored from ld join st using (doc_id, page_number) where {_NEAR.format(a='ld', b='st', t=10)} group by 1, 2, 3),
+    c as (select *, row_number() over (partition by doc_id, page_number order by ord, ann_id) as i from ld where ann_id not in (select ann_id from hit)),
+    s as (select distinct doc_id, page_number, 0::bigint as i, []::struct(ann_id varchar, x double, ax double, ay double, bx double, by_ double)[] as kept from c
+        union all select s.doc_id, s.page_number, c.i, case when len(list_filter(kept, lambda k: {_NEAR.format(a='k', b='c', t=1)})) > 0 then kept
+            else list_append(kept, {{'ann_id': c.ann_id, 'x': c.x, 'ax': c.ax, 'ay': c.ay, 'bx': c.bx, 'by_': c.by_}}) end from s join c on c.doc_id = s.doc_id and c.page_number = s.page_number and c.i = s.i + 1),
+    z as (select doc_id, page_number, last(kept order by i) as kept from s group by 1, 2),
+    up as (select stored, last(x order by ord, ann_id) as x from hit group by 1)
+    select k.ann_id, doc_id, page_number, 'added' as outcome, k.x from z, unnest(kept) u(k)
+    union all select st.ann_id, doc_id, page_number, 'stored', coalesce(up.x, st.x) from st left join up on up.stored = st.ann_id""", recursive=True))
 def dedupe_on_load(spark, sf):
-    """Arrows of the store, loaded again with shifts and turned round, plus fresh ones; greedy, so no SQL twin."""
+    """Arrows of the store, loaded again with shifts and turned round, plus fresh ones."""
     store = _arrows(spark, sf, "text", 0.0, "s")
     again = _arrows(spark, sf, "text", 4.0, "b")
     twice = _arrows(spark, sf, "highlight", 0.4, "n").unionByName(

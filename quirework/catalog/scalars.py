@@ -377,7 +377,7 @@ def relative_time(spark, sf):
 
 
 @query("P36", """with k as (select event_id, case event_id % 4 when 0 then event_id % 1500 when 1 then event_id * 777 when 2 then event_id * 900001 else event_id * 99999999 end as n from events)
-    select event_id, regexp_replace(printf('%.1f', n / (1024 ** i)::double), '\\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB'][i + 1] as label
+    select event_id, regexp_replace(printf('%.1f', floor(n / (1024 ** i)::double * 10 + 0.5::double) / 10), '\\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB'][i + 1] as label
     from (select *, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 else 3 end as i from k)""")
 def format_bytes(spark, sf):
     e = c("event_id")
@@ -479,3 +479,46 @@ def field_bool(spark, sf):
     v = F.get(F.array(*map(F.lit, ("/Yes", "On", "Off", None, "/On"))), (e % 5).cast("int"))
     a = F.get(F.array(*map(F.lit, ("Yes", "/Off", None))), (e % 3).cast("int"))
     return fx.table(spark, sf, "events").select("event_id", fields.field_bool(v, a).alias("checked"))
+
+
+@query("P1 P3 P11 P15 P19 P25", with_tables("ann", """
+    select ann_id, 792 - (y + height) as flipped_y0, x + length(content) * 12::double * 0.6::double as guess_x1, x + width >= 100 and x <= 200 and y + height >= 100 and y <= 300 as touches,
+        greatest(25, least(value, 400))::double as scale, ((ann_id % 9) * 90 % 360)::int as rotation, x / 72::double as inches, case when width < height then 'portrait' else 'landscape' end as side,
+        printf('#%02x%02x%02x', ann_id * 7 % 256, ann_id * 13 % 256, ann_id * 29 % 256) as color from ann"""))
+def sql_functions(spark, sf):
+    """The functions called from SQL text."""
+    from ..functions.sqlfuncs import register_functions
+
+    register_functions(spark, "qw_")
+    return spark.sql("""
+        select ann_id, qw_flip_bbox(x, y, x + width, y + height, 792D).y0 as flipped_y0, qw_estimate_bbox(content, x, y, 0D).x1 as guess_x1,
+            qw_boxes_touch(x, y, x + width, y + height, 100D, 100D, 200D, 300D) as touches, qw_clamp_to(value, 25D, 400D) as scale,
+            qw_add_rotation(cast(ann_id % 9 as int) * 90 - 360, 0) as rotation, qw_points_to_inches(x) as inches, qw_page_orientation(width, height) as side,
+            qw_rgb_to_hex(ann_id * 7 % 256 / 255D, ann_id * 13 % 256 / 255D, ann_id * 29 % 256 / 255D) as color
+        from {ann}""", ann=fx.annotations(spark, sf))
+
+
+@query("S14", """select doc_id, len(string_split(text, chr(10)))::bigint as n_lines, strlen(text)::bigint as n_bytes from documents""")
+def parse_hook(spark, sf):
+    """A stand-in parser over document bytes."""
+    from ..sources.documents import parse_pdf
+
+    def lines(frames):
+        for pdf in frames:
+            yield pdf.assign(n_lines=[b.count(b"\n") + 1 for b in pdf["content"]],
+                             n_bytes=[len(b) for b in pdf["content"]])[["doc_id", "n_lines", "n_bytes"]]
+
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.to_binary("text", F.lit("utf-8")).alias("content"))
+    return parse_pdf(docs, lines, "doc_id BIGINT, n_lines BIGINT, n_bytes BIGINT")
+
+
+_FILES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
+
+
+@query("S1", "select unnest([" + ", ".join(f"'{n}'" for n in _FILES) + "]) || '.parquet' as name, true as has_size")
+def scan_documents(spark, sf):
+    """The document scan over the files of the given tables."""
+    from ..sources.documents import scan_documents as scan
+
+    return scan(spark, sf, glob="*.parquet").select("name", (c("file_size") > 0).alias("has_size"))

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import normalize_rotation
 
-# Fixed value.
+# Fixed values.
 PDF_TYPE = "application/pdf"
+PDF_GLOB = "*.[pP][dD][fF]"
 
 
-def scan_documents(spark: SparkSession, path: str, with_content=False) -> DataFrame:
-    """One row per PDF below ``path``; the bytes are read only when asked for."""
+def scan_documents(spark: SparkSession, path: str, with_content=False, glob=PDF_GLOB) -> DataFrame:
+    """One row per document file below ``path``; the bytes are read only when asked for."""
     found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     )
     cols = [
         F.xxhash64("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("name"),

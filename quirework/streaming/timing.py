@@ -112,7 +112,7 @@ class ExpiryProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         for row in pd.concat(list(rows)).itertuples():
-            until = int(row.ts.timestamp() * 1000) + self.millis
+            until = int(row.us) // 1000 + self.millis
             self.due.updateValue((int(row.event_id),), (until,))
             self.handle.registerTimer(until)
             out.append((key[0], int(row.event_id), "shown"))
@@ -131,6 +131,7 @@ class ExpiryProcessor(StatefulProcessor):
 
 def expire(events: DataFrame, millis=NOTIFICATION_LIFE, late="1 second") -> DataFrame:
     """``shown`` and ``expired`` rows of a stream of ``user_id, event_id, ts``."""
-    return events.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
+    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=ExpiryProcessor(millis), outputStructType="user_id BIGINT, event_id BIGINT, state STRING",
         outputMode="Append", timeMode="EventTime")
