@@ -7,6 +7,7 @@ from ..functions import values
 from ..operators import annotations as op
 from ..plans import fixtures as fx
 from ..plans.oracle import with_tables
+from ..plans.settle import settle
 from ..schema import ANNOTATION
 from ..sources import annotations as src
 from ..sources.structured_text import read_structured_text as read_stext
@@ -167,7 +168,8 @@ _MATCH = """
 
 
 def _match_inputs(spark, sf):
-    a = fx.valid_annotations(spark, sf)
+    # Both sides are stored tables in practice; here they are derived, so they are written once.
+    a = settle(fx.valid_annotations(spark, sf))
     e, t = c("ann_id"), c("type")
     overlay = (t == "highlight") & (e % 2 == 0)
 

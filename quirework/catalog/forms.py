@@ -144,12 +144,13 @@ def export_html(spark, sf):
 
 @query("S12", with_tables("page", "select doc_id, page_number, width, rotation from page"))
 def write_pages(spark, sf):
-    """Document and page written as folders and read back."""
+    """Pages written to bucket folders and read back."""
     import uuid
 
     from ..plans.settle import shared_dir
 
     path = f"{shared_dir(spark)}/pages/{uuid.uuid4().hex}"
-    sinks.write_pages(fx.pages(spark, sf).select(*KEY, "width", "rotation"), path)
-    return spark.read.schema("doc_id bigint, page_number int, width double, rotation int").parquet(path)
+    sinks.write_pages(fx.pages(spark, sf).select(*KEY, "width", "rotation"), path, buckets=16)
+    return spark.read.schema("doc_id bigint, page_number int, width double, rotation int, doc_bucket int").parquet(
+        path).drop("doc_bucket")
 

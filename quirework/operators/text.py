@@ -37,7 +37,7 @@ def _order_dense_pages(spans, y):
     heights = ordered_scan(heights, PAGE_KEY, band, [-F.col("_y")], lags={"_above": F.col("_y")})
     heights = heights.withColumn("_brk", F.when(F.col("_above") - F.col("_y") > LINE_GAP, 1).otherwise(0))
     heights = ordered_scan(heights, PAGE_KEY, band, [-F.col("_y")], sums={"_breaks": F.col("_brk")})
-    heights = heights.withColumn("line_index", (F.col("_breaks") + F.col("_brk")).cast("long"))
+    heights = settle(heights.withColumn("line_index", (F.col("_breaks") + F.col("_brk")).cast("long")))
     line_key = [*PAGE_KEY, "line_index"]
     sizes = heights.groupBy(*line_key).agg(F.sum("_n").alias("_n"))
     starts = ordered_scan(

@@ -56,7 +56,19 @@ def export_html(fragments: DataFrame, docs: DataFrame, pages_per_part=PAGES_PER_
         "doc_id", "part", F.concat(head, "_body", tail).alias("html"))
 
 
-def write_pages(df: DataFrame, path: str, fmt="parquet") -> None:
-    """A folder per document and page, in place of an archive of page files."""
-    df.repartitionByRange("doc_id", "page_number").write.partitionBy("doc_id", "page_number").mode(
-        "errorifexists").format(fmt).save(path)
+def write_pages(df: DataFrame, path: str, buckets=256, fmt="parquet") -> None:
+    """Write rows of pages as folders, in place of an archive of page files.
+
+    Documents are hashed into ``buckets`` folders and sorted by document and page inside, so that a reader of one
+    page opens one folder and skips by file statistics; the number of files does not grow with the number of pages.
+    ``buckets=None`` makes a folder per document and page, for small exports.
+    """
+    keys = ["doc_id", "page_number"]
+    if buckets is None:
+        parts, shaped = keys, df.repartitionByRange(*keys)
+    else:
+        parts = ["doc_bucket"]
+        shaped = df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+        # Range partitioning also cuts a bucket that one document fills.
+        shaped = shaped.repartitionByRange("doc_bucket", *keys).sortWithinPartitions("doc_bucket", *keys)
+    shaped.write.partitionBy(*parts).mode("errorifexists").format(fmt).save(path)
