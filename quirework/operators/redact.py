@@ -36,13 +36,11 @@ def removed_ranges(spans: DataFrame, areas: DataFrame) -> DataFrame:
         F.array_min(F.filter(around(F.col("ax0")), lambda i: right(i) >= F.col("ax0"))))
     last = F.when(F.col("ax1") >= F.col("x1"), n - 1).otherwise(
         F.array_max(F.filter(around(F.col("ax1")), lambda i: left(i) <= F.col("ax1"))))
-    return (
-        hit.filter(n > 0)
-        .select(*SPAN_KEY, first.cast("int").alias("a"), last.cast("int").alias("b"))
-        .filter(F.col("a") <= F.col("b"))
-        .groupBy(*SPAN_KEY)
-        .agg(F.collect_set(F.struct("a", "b")).alias("removed"))
-    )
+    # No filter on the computed range before the aggregation: it would move into the join condition and be
+    # computed for every candidate pair.
+    ranged = hit.filter(n > 0).select(*SPAN_KEY, F.struct(first.cast("int").alias("a"), last.cast("int").alias("b")).alias("_r"))
+    sets = ranged.groupBy(*SPAN_KEY).agg(F.collect_set("_r").alias("removed"))
+    return sets.withColumn("removed", F.filter("removed", lambda r: r["a"] <= r["b"])).filter(F.size("removed") > 0)
 
 
 def remove_characters(spans: DataFrame, ranges: DataFrame) -> DataFrame:
