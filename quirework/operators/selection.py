@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import intersects, quad_bbox
 from ..plans.bands import band_of, bands, home_band
+from ..plans.scan import ordered_scan
+from ..plans.settle import settle
 
 PAGE_KEY = ["doc_id", "page_number"]
 BAND = 5.0
@@ -58,33 +60,62 @@ def select_by_quads(spans: DataFrame, quads: DataFrame) -> DataFrame:
     ).select("sel_id", *PAGE_KEY, "x0", "y0", "x1", "y1", "c.*")
 
 
+INDEX_BLOCK = 256
+
+
 def select_by_flow(ordered: DataFrame, sels: DataFrame) -> DataFrame:
     """Everything between two points in reading order.
 
     ``ordered`` has ``read_index`` with the centre anchor; ``sels`` has ``sel_id``, the page key and
-    ``sx, sy, ex, ey``.  First and last index come from one aggregation over the pairs of a selection and the
-    spans of its page, the text from a join of spans with that index range.
+    ``sx, sy, ex, ey``.  Only spans near the height of a point are compared with it; what lies wholly above or below
+    comes from running minima over the heights of the page, and the text between from blocks of indexes.
     """
     swap = (F.col("ey") > F.col("sy")) | ((F.abs(F.col("ey") - F.col("sy")) < BAND) & (F.col("ex") < F.col("sx")))
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    turned = sels.select(
-        "sel_id", *PAGE_KEY, pick("sx", "ex").alias("_sx"), pick("sy", "ey").alias("_sy"),
-        pick("ex", "sx").alias("_ex"), pick("ey", "sy").alias("_ey"))
-    i = F.col("read_index")
-    inside = lambda y: (F.col(y) >= F.col("y0") - BAND) & (F.col(y) <= F.col("y1") + BAND)
-    starts = F.when(inside("_sy"), F.col("_sx") <= F.col("x1")).otherwise(F.col("_sy") > F.col("y1"))
-    centre = (F.col("y0") + F.col("y1")) / F.lit(2.0)
-    at_or_above = F.when(inside("_ey"), F.col("_ex") >= F.col("x0")).otherwise(F.col("_ey") <= centre)
-    passed = ~inside("_ey") & (F.col("_ey") > centre) & (i > 0)
-    ends = turned.join(ordered.select(*PAGE_KEY, "read_index", "x0", "y0", "x1", "y1"), PAGE_KEY).groupBy(
-        "sel_id", *PAGE_KEY
-    ).agg(
-        F.coalesce(F.min(F.when(starts, i)), F.lit(0)).alias("_a"),
-        F.coalesce(F.max(F.when(at_or_above, i)), F.min(F.when(passed, i)) - 1, F.max(i)).alias("_b"),
-    )
-    ranged = ends.select(
-        "sel_id", *PAGE_KEY, F.least("_a", "_b").alias("_from"), F.greatest("_a", "_b").alias("_to"))
-    return ordered.join(ranged, PAGE_KEY).filter(i.between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    ends = F.array(
+        F.struct(F.lit(True).alias("first"), pick("sx", "ex").alias("px"), pick("sy", "ey").alias("py")),
+        F.struct(F.lit(False).alias("first"), pick("ex", "sx").alias("px"), pick("ey", "sy").alias("py")))
+    points = sels.select("sel_id", *PAGE_KEY, F.explode(ends).alias("_p")).select("sel_id", *PAGE_KEY, "_p.*")
+    i, first, none = F.col("read_index"), F.col("first"), F.lit(None).cast("long")
+    out = ["sel_id", *PAGE_KEY, "a", "b", "c"]  # smallest start, largest end, smallest index past the end
+
+    spans = ordered.select(*PAGE_KEY, "read_index", "x0", "y0", "x1", "y1")
+    near = spans.withColumn("_band", F.explode(bands(F.col("y0") - BAND, F.col("y1") + BAND)))
+    beside = points.withColumn("_band", band_of(F.col("py"))).join(near, [*PAGE_KEY, "_band"]).filter(
+        (F.col("py") >= F.col("y0") - BAND) & (F.col("py") <= F.col("y1") + BAND)
+    ).groupBy("sel_id", *PAGE_KEY).agg(
+        F.min(F.when(first & (F.col("px") <= F.col("x1")), i)).alias("a"),
+        F.max(F.when(~first & (F.col("px") >= F.col("x0")), i)).alias("b"), F.min(none).alias("c"))
+
+    # Few rows from all spans, used three times.
+    heights = settle(spans.groupBy(*PAGE_KEY, "y0", "y1").agg(
+        F.min(i).alias("lo"), F.max(i).alias("hi"), F.min(F.when(i > 0, i)).alias("past")))
+    # Points come before heights of the same value: a height at the edge of the band is beside, not beyond.
+    marks = points.select(*PAGE_KEY, "sel_id", "first", F.col("py").alias("v"), F.lit(0).alias("k"),
+                          none.alias("lo"), none.alias("past"), none.alias("hi"))
+
+    def beyond(edge, sign):
+        rows = heights.select(*PAGE_KEY, F.lit(None).alias("sel_id"), F.lit(None).cast("boolean").alias("first"),
+                              edge.alias("v"), F.lit(1).alias("k"), "lo", "past", "hi")
+        both = marks.unionByName(rows).withColumn("v", F.col("v") * sign)
+        return ordered_scan(
+            both, PAGE_KEY, F.floor(F.col("v") / 64), [F.col("v"), F.col("k"), F.col("sel_id"), F.col("first")],
+            mins={"_lo": F.col("lo"), "_past": F.col("past"), "_hi": -F.col("hi")}).filter(F.col("k") == 0)
+
+    below = beyond(F.col("y1") + BAND, 1.0).select(
+        "sel_id", *PAGE_KEY, F.when(first, F.col("_lo")).alias("a"), none.alias("b"), F.when(~first, F.col("_past")).alias("c"))
+    above = beyond(F.col("y0") - BAND, -1.0).select(
+        "sel_id", *PAGE_KEY, none.alias("a"), F.when(~first, -F.col("_hi")).alias("b"), none.alias("c"))
+
+    last = heights.groupBy(*PAGE_KEY).agg(F.max("hi").alias("_n"))
+    found = beside.select(*out).unionByName(below.select(*out)).unionByName(above.select(*out)).groupBy(
+        "sel_id", *PAGE_KEY).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c")).join(last, PAGE_KEY)
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce(F.col("b"), F.col("c") - 1, F.col("_n"))
+    block = lambda v: F.floor(v / INDEX_BLOCK)
+    ranged = found.select("sel_id", *PAGE_KEY, F.least(a, b).alias("_from"), F.greatest(a, b).alias("_to")).withColumn(
+        "_block", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to")))))
+    return ordered.withColumn("_block", block(i)).join(ranged, [*PAGE_KEY, "_block"]).filter(
+        i.between(F.col("_from"), F.col("_to"))).drop("_from", "_to", "_block")
 
 
 def hit_areas(annotations: DataFrame) -> DataFrame:

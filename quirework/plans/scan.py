@@ -20,15 +20,16 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
     leads: dict[str, Column] | None = None,
+    mins: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add scan columns to ``df``.
 
     ``chunk`` must not decrease along ``order`` (ascending columns).  ``rank`` is a 0-based position, ``sums``
-    are running totals of the rows *before* the current one, ``lags`` and ``leads`` take the neighbour's value
-    and ``totals`` are aggregates (``F.sum``/``F.count``-like, summable) over the whole key.
+    and ``mins`` run over the rows *before* the current one, ``lags`` and ``leads`` take the neighbour's value and
+    ``totals`` are aggregates (``F.sum``/``F.count``-like, summable) over the whole key.
     """
-    sums, lags, leads, totals = sums or {}, lags or {}, leads or {}, totals or {}
+    sums, lags, leads, mins, totals = sums or {}, lags or {}, leads or {}, mins or {}, totals or {}
     base = df.withColumn(_CHUNK, chunk)
     at = F.struct(*order)
 
@@ -50,6 +51,11 @@ def ordered_scan(
         carried.append(F.sum(f"_t_{name}").over(across_before).alias(f"_o_{name}"))
         zero = F.lit(0)
         fixed.append((F.coalesce(f"_o_{name}", zero) + F.coalesce(f"_l_{name}", zero)).alias(name))
+    for name, col in mins.items():
+        cols.append(F.min(col).over(before).alias(f"_l_{name}"))
+        aggs.append(F.min(col).alias(f"_t_{name}"))
+        carried.append(F.min(f"_t_{name}").over(across_before).alias(f"_o_{name}"))
+        fixed.append(F.least(f"_o_{name}", f"_l_{name}").alias(name))
     # A neighbour may legitimately be null, so "is there one in this chunk" is kept apart from its value.
     if lags:
         cols.append(F.row_number().over(local).alias("_first"))

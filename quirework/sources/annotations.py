@@ -8,7 +8,8 @@ from ..functions import geometry as g
 from ..functions.paths import parse_points, path_bbox
 from ..functions.values import HIGHLIGHT_COLOR, STROKE_COLOR, color_array_to_hex, hex_to_rgb, html_to_text
 from ..operators.annotations import dedupe_widgets
-from ..schema import ANNOTATION, POINT, POINTS, QUADS, STAMP_DATA
+from ..plans.settle import settle
+from ..schema import ANNOTATION, POINT, QUADS, STAMP_DATA
 
 CONTENTS = (
     "type STRING, imageData STRING, imageWidth DOUBLE, imageHeight DOUBLE, preserveAspectRatio BOOLEAN, rotation DOUBLE, "
@@ -53,8 +54,19 @@ def load_annotations(raw: DataFrame, merge_widgets=True) -> DataFrame:
     """Typed annotations in PDF space from raw records; one pass over the records.
 
     Unknown subtypes and incomplete records drop out.  Widgets of the page array join those of the annotation list
-    unless one is within 1 pt (``merge_widgets``).
+    unless one is within 1 pt (``merge_widgets``); only the widgets are compared, so only they are written in between.
     """
+    names = [part.strip().split(" ")[0] for part in _top_level(ANNOTATION)]
+    if not merge_widgets:
+        return _typed(raw).select(names)
+    is_widget = F.col("subtype") == "Widget"
+    widgets = settle(_typed(raw.filter(is_widget)).select("source", *names))
+    second = F.coalesce(F.col("source") == "page", F.lit(False))
+    merged = dedupe_widgets(widgets.filter(~second).select(names), widgets.filter(second).select(names))
+    return _typed(raw.filter(~is_widget)).select(names).unionByName(merged)
+
+
+def _typed(raw: DataFrame) -> DataFrame:
     h = F.col("page_height")
     # Parsing once per record; every column below refers to these.
     r = raw.withColumns({
@@ -195,15 +207,7 @@ def load_annotations(raw: DataFrame, merge_widgets=True) -> DataFrame:
         "stamp_id": by_kind(stamp=c["stampData"]["id"]),
         "stamp": by_kind(stamp=c["stampData"]),
     }
-    typed = r.select("doc_id", "page_number", "source", *[v.alias(n) for n, v in cols.items()])
-    names = [part.strip().split(" ")[0].rstrip(":") for part in _top_level(ANNOTATION)]
-    if not merge_widgets:
-        return typed.select(names)
-    second = (F.col("type") == "formField") & (F.col("source") == "page")
-    first = typed.filter(~F.coalesce(second, no))
-    widgets = dedupe_widgets(
-        first.filter(F.col("type") == "formField").select(names), typed.filter(second).select(names))
-    return first.filter(F.col("type") != "formField").select(names).unionByName(widgets)
+    return r.select("doc_id", "page_number", "source", *[v.alias(n) for n, v in cols.items()])
 
 
 def _top_level(ddl):
@@ -315,6 +319,3 @@ def to_raw(annotations: DataFrame, pages: DataFrame) -> DataFrame:
         .alias("opacity"),
         F.col("stroke_width").alias("border_width"), contents.alias("contents"), flags.alias("flags"),
         F.when(field == "dropdown", F.col("options")).alias("options"), F.lit(None).cast("string").alias("y_space"))
-
-
-__all__ = ["load_annotations", "to_raw", "detect_fields", "annotation_id", "parse_contents", "is_stamp", "POINTS"]
