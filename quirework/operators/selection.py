@@ -75,7 +75,7 @@ def select_by_flow(ordered: DataFrame, sels: DataFrame) -> DataFrame:
     ends = F.array(
         F.struct(F.lit(True).alias("first"), pick("sx", "ex").alias("px"), pick("sy", "ey").alias("py")),
         F.struct(F.lit(False).alias("first"), pick("ex", "sx").alias("px"), pick("ey", "sy").alias("py")))
-    points = sels.select("sel_id", *PAGE_KEY, F.explode(ends).alias("_p")).select("sel_id", *PAGE_KEY, "_p.*")
+    points = settle(sels.select("sel_id", *PAGE_KEY, F.explode(ends).alias("_p")).select("sel_id", *PAGE_KEY, "_p.*"))
     i, first, none = F.col("read_index"), F.col("first"), F.lit(None).cast("long")
     out = ["sel_id", *PAGE_KEY, "a", "b", "c"]  # smallest start, largest end, smallest index past the end
 
