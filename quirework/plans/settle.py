@@ -10,7 +10,7 @@ _local = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, or a temporary one where none is named (tests, local runs)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     return _local.setdefault("dir", tempfile.mkdtemp(prefix="spark-quirework-"))

@@ -118,24 +118,39 @@ def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         "lengths": [lengths], "entries": [entries]})
 
 
-def _chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    history, cursor, pushes = [], 0, 0
-    for row in pdf.sort_values("block").itertuples():
-        for run in row.runs:
-            cursor = min(max(cursor + int(run), 0), len(history))
-        if row.cursors is not None:
-            lane = cursor if len(row.cursors) > 1 else 0
-            width = HISTORY_LIMIT if len(row.cursors) > 1 else len(row.entries)
-            entries = row.entries[lane * width:lane * width + int(row.lengths[lane])]
-            history, cursor = [history[-int(e) - 1] if e < 0 else int(e) for e in entries], int(row.cursors[lane])
-        pushes += int(row.pushes)
-    return pd.DataFrame([_result(key[0], history, cursor, pushes)])
+def _advance(row, history, cursor, pushes):
+    """State after a block, from its table."""
+    for run in row.runs:
+        cursor = min(max(cursor + int(run), 0), len(history))
+    if row.cursors is not None:
+        lane = cursor if len(row.cursors) > 1 else 0
+        width = HISTORY_LIMIT if len(row.cursors) > 1 else len(row.entries)
+        entries = row.entries[lane * width:lane * width + int(row.lengths[lane])]
+        history, cursor = [history[-int(e) - 1] if e < 0 else int(e) for e in entries], int(row.cursors[lane])
+    return history, cursor, pushes + int(row.pushes)
+
+
+def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chain block tables that arrive in document and block order; only one state is held."""
+    doc, state = None, None
+    for pdf in frames:
+        out = []
+        for row in pdf.itertuples():
+            if row.doc_id != doc:
+                if doc is not None:
+                    out.append(_result(doc, *state))
+                doc, state = row.doc_id, ([], 0, 0)
+            state = _advance(row, *state)
+        if out:
+            yield pd.DataFrame(out, dtype=object)
+    if doc is not None:
+        yield pd.DataFrame([_result(doc, *state)], dtype=object)
 
 
 def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS) -> DataFrame:
     """Final history of every document from its whole log, in ``(ts, event_id)`` order.
 
-    A task holds one block of events, or the block tables of one document; a log of any length is spread.
+    A task holds one block of events, or streams through block tables; a log of any length is spread.
     """
     seconds = F.unix_micros("ts") / 1_000_000
     ranked = ordered_scan(
@@ -144,7 +159,7 @@ def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS) -> DataFrame:
     blocks = ranked.withColumn("block", F.floor(F.col("_i") / block_rows))
     sizes = events.groupBy("doc_id").agg((F.count(F.lit(1)) <= block_rows).alias("_only"))
     folded = blocks.join(sizes, "doc_id").groupBy("doc_id", "block").applyInPandas(_fold, _BLOCK)
-    return folded.groupBy("doc_id").applyInPandas(_chain, RESULT)
+    return folded.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInPandas(_chain, RESULT)
 
 
 # -- stream --------------------------------------------------------------------------------------------------
