@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..plans.scan import ordered_scan
+from ..plans.settle import settle
 
 PAGE_KEY = ["doc_id", "page_number"]
 PAGE_CHUNK = 1024
@@ -42,7 +43,9 @@ def effective_deletions(pages: DataFrame, deletions: DataFrame) -> DataFrame:
 
 def deletion_map(pages: DataFrame, deletions: DataFrame) -> DataFrame:
     """``page_number -> new_page_number`` for the pages that stay."""
-    kept = pages.select(*PAGE_KEY).join(effective_deletions(pages, deletions), PAGE_KEY, "left_anti")
+    # The deletions are few and are read by both passes of the numbering.
+    gone = settle(effective_deletions(pages, deletions))
+    kept = pages.select(*PAGE_KEY).join(gone, PAGE_KEY, "left_anti")
     return page_scan(kept, rank="new_page_number").withColumn("new_page_number", F.col("new_page_number").cast("int"))
 
 
