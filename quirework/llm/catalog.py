@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, token_codes, urls
+from . import mixing, ngram_join, packing, pii, simhash, token_codes, urls
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -38,6 +38,11 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_simhash(spark, sf_dir):
+    return simhash.compare_edits(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1,
