@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, simhash, token_codes, urls
+from . import mixing, ngram_join, packing, pii, quality, simhash, token_codes, toxicity, urls
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -15,6 +15,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op2_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -52,3 +59,10 @@ def op8_packing(spark, sf_dir):
 @query
 def op9_urls(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "expected_grade", "tail", "kept")
