@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality, simhash, token_codes, toxicity, urls
+from . import mixing, near_vectors, ngram_join, packing, pii, quality, simhash, token_codes, toxicity, urls
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -32,6 +32,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_token_codes(spark, sf_dir):
     folder = token_codes.new_folder(spark)
