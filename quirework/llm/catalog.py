@@ -71,3 +71,10 @@ def op10_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", "held_out", "expected_grade", "tail", "kept")
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
