@@ -25,7 +25,7 @@ from .common import components
 
 #: Vectors per leader, most leaders, sampled vectors per leader, members and queries of a block, list lengths.
 PER_LEADER, LEADERS, PER_SAMPLE, BLOCK, QUERIES = 1000, 4096, 8, 2048, 2048
-DEGREE, POOL, BEAM, SLACK = 24, 48, 32, 1.2
+DEGREE, POOL, BEAM, MEDOIDS, NEAREST, SLACK = 24, 48, 64, 32, 8, 1.2
 #: Audited vectors, wanted recall, and cells of a point in the first and the second attempt.
 AUDITED, RECALL, OVERLAP = 256, 0.99, (4, 12)
 
@@ -86,19 +86,22 @@ def members_of(points: DataFrame, leaders: dict, overlap: int) -> DataFrame:
 
 
 def prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, slack: float = SLACK) -> np.ndarray:
-    """Robust pruning of every row's nearest others: (n, degree) neighbours, -1 where there are no more.
+    """Robust pruning of every row's candidates: (n, 2 * degree + NEAREST) neighbours, -1 where there are no more.
 
-    Distances are angles' chords.  Going outwards, a candidate is kept unless ``slack`` times its distance to a kept
-    neighbour is at most its distance to the point."""
+    Candidates are the nearest others and some at growing ranks, so that a tight group also gets ways out.  Distances are
+    chords.  Going outwards, a candidate is kept unless ``slack`` times its distance to a kept neighbour is at most its
+    distance to the point.  The NEAREST first ones are kept in any case: around a hub, pruning alone leaves a star.  A kept
+    neighbour links back, for the ``degree`` closest that chose it, so that a tight group also has ways in."""
     n = len(sims)
-    c = min(pool, n - 1)
     out = np.full((n, degree), -1)
-    if c < 1:
+    if n < 2:
         return out
     masked = sims.copy()
     np.fill_diagonal(masked, -2)
-    near = np.argpartition(-masked, c - 1, axis=1)[:, :c]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(masked, near, 1), axis=1, kind="stable"), 1)
+    ranks = np.unique(np.concatenate([np.arange(pool // 2), np.geomspace(pool // 2, n - 1, pool // 2).astype(int)]))
+    ranks = ranks[ranks < n - 1] if n > 2 else np.array([0])
+    c = len(ranks)
+    near = np.argsort(-masked, axis=1, kind="stable")[:, ranks]
     far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(masked, near, 1)))
     alive, count = np.ones((n, c), bool), np.zeros(n, int)
     rows = np.arange(n)
@@ -108,30 +111,50 @@ def prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, slack: float
         count[ok] += 1
         between = np.sqrt(np.maximum(0, 2 - 2 * sims[near[:, k:k + 1], near[:, k + 1:]]))
         alive[:, k + 1:] &= ~(ok[:, None] & (slack * between <= far[:, k + 1:]))
-    return out
+    out = np.concatenate([out, near[:, :NEAREST]], axis=1)
+    u, k = np.nonzero(out >= 0)
+    v = out[u, k]
+    key = np.unique(u * n + v)
+    u, v = key // n, key % n
+    by = np.lexsort((-sims[v, u], v))
+    u, v = u[by], v[by]
+    slot = np.arange(len(v)) - np.searchsorted(v, v)
+    back = np.full((n, degree), -1)
+    back[v[slot < degree], slot[slot < degree]] = u[slot < degree]
+    return np.concatenate([out, back], axis=1)
 
 
 def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     x = _unit(rows["embedding"])
     pid = rows["pid"].to_numpy()
     near = prune(x @ x.T)
-    return pd.DataFrame({"pid": pid, "near": [pid[r[r >= 0]] for r in near]})
+    return pd.DataFrame({"pid": pid, "near": [pid[np.unique(r[r >= 0])] for r in near]})
+
+
+def medoids(x, count: int = MEDOIDS) -> np.ndarray:
+    """Entry points: the point nearest to the mean, then again and again the one farthest from those before it."""
+    out = [int((x @ x.mean(axis=0)).argmax())]
+    close = x @ x[out[0]]
+    while len(out) < min(count, len(x)):
+        out.append(int(close.argmin()))
+        close = np.maximum(close, x @ x[out[-1]])
+    return np.unique(out)
 
 
 def search(x, links, q, within: float, beam: int = BEAM):
     """Boolean (queries, points): what the range-expanding greedy search over ``links`` finds for each query.
 
-    All queries walk together.  From the medoid each expands its best open point until its ``beam`` best are expanded;
+    All queries walk together.  From the medoids each expands its best open point until its ``beam`` best are expanded;
     then every found point within the range has its neighbours looked at until nothing new is within."""
     n, m = len(x), len(q)
-    mean = x.mean(axis=0)
-    start = int((x @ mean).argmax())
+    starts = medoids(x)
     seen, done, found = np.zeros((m, n), bool), np.zeros((m, n), bool), np.zeros((m, n), bool)
-    width = min(beam, n)
+    width = min(max(beam, len(starts)), n)
     ids, sims = np.full((m, width), -1), np.full((m, width), -3.0)
-    ids[:, 0], sims[:, 0] = start, q @ x[start]
-    seen[:, start] = True
-    found[:, start] = sims[:, 0] >= within
+    first = q @ x[starts].T
+    ids[:, :len(starts)], sims[:, :len(starts)] = starts, first
+    seen[:, starts] = True
+    found[:, starts] = first >= within
 
     def look(row, at):
         """New neighbours of points ``at`` for queries ``row``: (query, point, cosine)."""
