@@ -4,10 +4,11 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, ngram_join, packing, pii, quality, simhash, token_codes, toxicity, urls
+from . import mixing, near_vectors, ngram_join, packing, pii, quality, simhash, sql, token_codes, toxicity, urls
 from .common import read
 
-QUERIES, ORACLE = {}, {}
+QUERIES = {}
+ORACLE = {"op3_mixing": sql.MIXING, "op4_near_vectors": sql.NEAR_VECTORS, "op6_ngram_join": sql.NGRAM_JOIN}
 
 
 def query(fn):
