@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp_rect
+from ..plans.settle import settle
 from .selection import PAGE_KEY, band_join
 
 SPAN_KEY = [*PAGE_KEY, "span_id"]
@@ -24,7 +25,8 @@ def removed_ranges(spans: DataFrame, areas: DataFrame) -> DataFrame:
     The characters of a span have equal widths, so a rectangle removes one run of them; characters never become
     rows.  Equal runs merge before the shuffle.
     """
-    hit = band_join(spans, areas)
+    # Only pages with areas matter, and these are few: the other spans are passed by before anything is shuffled.
+    hit = band_join(spans.join(areas.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_semi"), areas)
     n, w = F.length("text"), (F.col("x1") - F.col("x0")) / F.length("text")
     left = lambda i: F.col("x0") + i * w
     right = lambda i: F.when(n == 1, F.col("x1")).otherwise(F.col("x0") + (i + 1) * w)
@@ -47,12 +49,17 @@ def remove_characters(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """Spans without the removed characters; a cut span continues as one row per remaining run."""
     joined = spans.join(ranges, SPAN_KEY, "left")
     n = F.length("text")
-    gone = lambda i: F.exists("removed", lambda r: (i >= r["a"]) & (i <= r["b"]))
-    index = F.sequence(F.lit(0), n - 1)
-    starts = F.filter(index, lambda i: ~gone(i) & ((i == 0) | gone(i - 1)))
-    ends = F.filter(index, lambda i: ~gone(i) & ((i == n - 1) | gone(i + 1)))
-    runs = F.when(F.col("removed").isNull(), F.array(F.struct(F.lit(0).alias("a"), (n - 1).alias("b")))).otherwise(
-        F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    run = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    # The removed ranges in order leave gaps: one pass over the ranges, none over the characters.
+    left = F.aggregate(
+        F.array_sort("removed"), F.struct(F.lit(0).alias("next"), none.alias("runs")),
+        lambda acc, r: F.struct(
+            F.greatest(acc["next"], r["b"] + 1).alias("next"),
+            F.when(r["a"] > acc["next"], F.concat(acc["runs"], F.array(run(acc["next"], r["a"] - 1)))).otherwise(
+                acc["runs"]).alias("runs")),
+        lambda acc: F.concat(acc["runs"], F.when(acc["next"] < n, F.array(run(acc["next"], n - 1))).otherwise(none)))
+    runs = F.when(F.col("removed").isNull(), F.array(run(F.lit(0), n - 1))).otherwise(left)
     w = (F.col("x1") - F.col("x0")) / n
     out = joined.select(*spans.columns, "removed", F.posexplode(runs).alias("run_index", "_run"))
     whole = F.col("removed").isNull()
@@ -70,8 +77,9 @@ def apply_redactions(spans: DataFrame, annotations: DataFrame, pages: DataFrame)
 
     Redaction rows are consumed where their page exists; everything else stays.
     """
-    areas = redaction_areas(annotations, pages)
-    ranges = removed_ranges(spans, areas)
+    # Written once for the three outputs; their known sizes also let the joins with all spans be broadcast where small.
+    areas = settle(redaction_areas(annotations, pages))
+    ranges = settle(removed_ranges(spans, areas))
     left = remove_characters(spans, ranges)
     is_redact = F.col("type") == "redact"
     kept = annotations.filter(~is_redact).unionByName(

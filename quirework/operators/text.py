@@ -10,7 +10,6 @@ from ..plans.settle import settle
 
 PAGE_KEY = ["doc_id", "page_number"]
 LINE_GAP = 5.0
-MATCHES_PER_PAGE = 100
 PAGES_PER_PART = 256
 # Pages with more spans than this leave the one-task-per-page plan.
 HOT_PAGE_ROWS = 2_000_000
@@ -20,8 +19,20 @@ def _anchor(anchor):
     return F.col("y0") if anchor == "bottom" else (F.col("y0") + F.col("y1")) / F.lit(2.0)
 
 
+def _down(y):
+    """Heights from top to bottom; a null or NaN height comes last, on the last line."""
+    return F.coalesce(-y, F.lit(float("inf")))
+
+
+def _cell(value, size):
+    """Number of a cell of ``size``, in the order of the values; NaN and infinity have the last one."""
+    far = F.lit(float(1 << 40))
+    inside = F.floor(F.least(F.greatest(value, -far), far) / size)
+    return F.when(F.isnan(value) | (value >= far), F.lit(1 << 41)).otherwise(inside)
+
+
 def _order_small_pages(spans, y):
-    down = Window.partitionBy(*PAGE_KEY).orderBy(F.desc("_y"))
+    down = Window.partitionBy(*PAGE_KEY).orderBy(_down(F.col("_y")))
     new_line = F.when(F.lag("_y").over(down) - F.col("_y") > LINE_GAP, 1).otherwise(0)
     lined = spans.withColumn("_y", y).withColumn("_brk", new_line).withColumn(
         "line_index", F.sum("_brk").over(down.rowsBetween(Window.unboundedPreceding, 0)))
@@ -31,19 +42,19 @@ def _order_small_pages(spans, y):
 
 def _order_dense_pages(spans, y):
     """The same order for pages of any size: lines come from the distinct heights, each line is scanned in chunks."""
-    marked = spans.withColumn("_y", y)
-    heights = marked.groupBy(*PAGE_KEY, "_y").agg(F.count(F.lit(1)).alias("_n"))
-    band = F.floor(-F.col("_y") / 64)
-    heights = ordered_scan(heights, PAGE_KEY, band, [-F.col("_y")], lags={"_above": F.col("_y")})
+    marked = spans.withColumn("_y", y).withColumn("_down", _down(F.col("_y")))
+    heights = marked.groupBy(*PAGE_KEY, "_down").agg(F.count(F.lit(1)).alias("_n"), F.first("_y").alias("_y"))
+    band = _cell(F.col("_down"), 64)
+    heights = ordered_scan(heights, PAGE_KEY, band, [F.col("_down")], lags={"_above": F.col("_y")})
     heights = heights.withColumn("_brk", F.when(F.col("_above") - F.col("_y") > LINE_GAP, 1).otherwise(0))
-    heights = ordered_scan(heights, PAGE_KEY, band, [-F.col("_y")], sums={"_breaks": F.col("_brk")})
+    heights = ordered_scan(heights, PAGE_KEY, band, [F.col("_down")], sums={"_breaks": F.col("_brk")})
     heights = settle(heights.withColumn("line_index", (F.col("_breaks") + F.col("_brk")).cast("long")))
     line_key = [*PAGE_KEY, "line_index"]
     sizes = heights.groupBy(*line_key).agg(F.sum("_n").alias("_n"))
     starts = ordered_scan(
         sizes, PAGE_KEY, F.floor(F.col("line_index") / 1024), [F.col("line_index")], sums={"_start": F.col("_n")})
-    lined = marked.join(heights.select(*PAGE_KEY, "_y", "line_index"), [*PAGE_KEY, "_y"])
-    ranked = ordered_scan(lined, line_key, F.floor(F.col("x0") / 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
+    lined = marked.join(heights.select(*PAGE_KEY, "_down", "line_index"), [*PAGE_KEY, "_down"])
+    ranked = ordered_scan(lined, line_key, _cell(F.col("x0"), 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
     return ranked.join(starts.select(*line_key, "_start"), line_key).select(
         *spans.columns, "line_index", (F.col("_start") + F.col("_in_line")).cast("long").alias("read_index"))
 
@@ -123,39 +134,59 @@ def selection_text(selected: DataFrame, order=("read_index",)) -> DataFrame:
     return selected.groupBy("sel_id").agg(joined_text(F.struct(*order), F.col("text"), "").alias("text"))
 
 
-def find_matches(page_texts: DataFrame, queries: list[str], per_page=MATCHES_PER_PAGE) -> DataFrame:
-    """Case-insensitive literal hits, at most ``per_page`` per page (a limit of the feature).
+def _starts(text, needle, per_page):
+    """Starts of the hits of one needle: running lengths of the pieces between them.
 
-    Every page is cut at the needles inside its own row: one pass, no shuffle.  Blank queries find nothing.
+    The needle is sought in the text itself, not in a lower-cased copy, whose offsets may differ.  The pieces are summed
+    in blocks of about the root of their number, so that appending does not copy the whole list for each hit.
     """
-    wanted = sorted({q.lower() for q in queries if q.strip()})
-    lowered = F.lower("text")
-
-    def starts(needle):
-        pieces = F.slice(F.split(lowered, re_quote(needle), -1), 1, per_page + 1)
+    pieces = F.split(text, "(?iu)" + re_quote(needle), -1)
+    if per_page is not None:
+        pieces = F.slice(pieces, 1, per_page + 1)
+    count = F.size(pieces) - 1
+    block = F.greatest(F.ceil(F.sqrt(count)).cast("int"), F.lit(1))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((count - 1) / block).cast("int")),
+        lambda b: F.slice(pieces, b * block + 1, F.least(block, count - b * block)))
+    step = len(needle)
+
+    def inner(at, part):
         return F.aggregate(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            part, F.struct(at.alias("at"), F.array().cast("array<int>").alias("starts")),
             lambda acc, p: F.struct(
-                (acc["at"] + F.length(p) + len(needle)).alias("at"),
-                F.concat(acc["starts"], F.array(acc["at"] + F.length(p))).alias("starts"),
-            ),
-        )["starts"]
+                (acc["at"] + F.length(p) + step).alias("at"),
+                F.concat(acc["starts"], F.array(acc["at"] + F.length(p))).alias("starts")))
 
+    def outer(acc, part):
+        done = inner(acc["at"], part)
+        return F.struct(done["at"].alias("at"), F.concat(acc["parts"], F.array(done["starts"])).alias("parts"))
+
+    none = F.array().cast("array<array<int>>")
+    found = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("parts")), outer)["parts"])
+    return F.when(count > 0, found).otherwise(F.array().cast("array<int>"))
+
+
+def find_matches(page_texts: DataFrame, queries: list[str], per_page=None) -> DataFrame:
+    """Case-insensitive literal hits; ``per_page`` limits them to the first ones of a page and query (default: all).
+
+    Every page is cut at the needles inside its own row: one pass, no shuffle.  Blank queries find nothing.  A character
+    and its other case have one place each, so a hit is as long as its query.
+    """
+    wanted = sorted({q.lower() for q in queries if q.strip()})
     if not wanted:
         page_texts = page_texts.limit(0)
     per_needle = F.array(*[
-        F.struct(F.lit(q).alias("query"), starts(q).alias("starts"), F.lit(len(q)).alias("hit_length"))
+        F.struct(F.lit(q).alias("query"), _starts(F.col("text"), q, per_page).alias("starts"), F.lit(len(q)).alias("hit_length"))
         for q in wanted or ["-"]
     ])
-    some = [F.contains(lowered, F.lit(q)) for q in wanted]
-    candidates = page_texts.filter(F.greatest(*some) if len(some) > 1 else some[0]) if some else page_texts
-    return candidates.select("doc_id", "page_number", F.explode(per_needle).alias("_m")).select(
+    some = "(?iu)" + "|".join(re_quote(q) for q in wanted or ["-"])
+    return page_texts.filter(F.col("text").rlike(some)).select(
+        "doc_id", "page_number", F.explode(per_needle).alias("_m")).select(
         "doc_id", "page_number", F.col("_m.query").alias("query"), F.explode("_m.starts").alias("start"),
         F.col("_m.hit_length").alias("hit_length"))
 
 
-def search(page_texts: DataFrame, queries: list[str], per_page=MATCHES_PER_PAGE) -> DataFrame:
+def search(page_texts: DataFrame, queries: list[str], per_page=None) -> DataFrame:
     """Hits numbered through each document (``match_index``).
 
     The hits are written once: numbering reads them twice, and they are far smaller than the text.

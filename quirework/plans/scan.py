@@ -8,7 +8,14 @@ came before each chunk from a small table with one row per chunk.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "_chunk"
+_CHUNK, _NULLS = "_chunk", "_nulls"
+_DEFAULTS = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
+
+
+def _never_null(df, names):
+    """``{name: column}`` that tells the rows of ``df`` apart as the named columns and ``_NULLS`` do, null for null."""
+    kinds = dict(df.dtypes)
+    return {f"_key_{n}": F.coalesce(F.col(n), F.lit(_DEFAULTS.get(kinds[n], 0)).cast(kinds[n])) for n in names}
 
 
 def ordered_scan(
@@ -31,14 +38,20 @@ def ordered_scan(
     """
     sums, lags, leads, mins, totals = sums or {}, lags or {}, leads or {}, mins or {}, totals or {}
     base = df.withColumn(_CHUNK, chunk)
+    # Windows and the join back go by columns that are never null, so rows with a null key or chunk stay.
+    plain = _never_null(base, [*keys, _CHUNK])
+    flags = [F.col(n).isNull().cast("int") * (1 << i) for i, n in enumerate([*keys, _CHUNK])]
+    base = base.withColumns(plain).withColumn(_NULLS, sum(flags[1:], flags[0]))
+    whole_key = [f"_key_{k}" for k in keys]
+    key_nulls = F.col(_NULLS) % (1 << len(keys))
     at = F.struct(*order)
 
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    local = Window.partitionBy(*plain, _NULLS).orderBy(*order)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     cols, aggs, carried, fixed = [], [], [], []
-    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    across = Window.partitionBy(*whole_key, key_nulls).orderBy(_CHUNK)
     across_before = across.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*whole_key, key_nulls)
 
     if rank:
         cols.append((F.row_number().over(local) - 1).cast("long").alias("_l_rank"))
@@ -76,18 +89,17 @@ def ordered_scan(
         carried.append(F.sum(f"_t_{name}").over(whole).alias(name))
         fixed.append(F.col(name))
 
-    per_chunk = base.groupBy(*keys, _CHUNK).agg(*aggs)
-    offsets = per_chunk.select(*keys, _CHUNK, *carried)
+    per_chunk = base.groupBy(*plain, _NULLS).agg(F.first(_CHUNK).alias(_CHUNK), *aggs)
+    offsets = per_chunk.select(*plain, _NULLS, *carried)
     scanned = base.select("*", *cols)
-    return scanned.join(offsets, [*keys, _CHUNK]).select(*[F.col(c) for c in df.columns], *fixed)
+    return scanned.join(offsets, [*plain, _NULLS]).select(*[F.col(c) for c in df.columns], *fixed)
 
 
 def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """Split ``df`` into rows of ordinary keys and rows of keys with more than ``limit`` rows.
 
-    The list of hot keys has at most ``rows / limit`` entries (a million-row limit gives one entry per million
-    rows), which bounds what is broadcast; when it is empty, adaptive execution drops the hot branch.
+    Whether the list of hot keys is broadcast is left to its measured size; when it is empty, adaptive execution drops
+    the hot branch.  Rows with a null key count as ordinary.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    marked = F.broadcast(hot)
-    return df.join(marked, keys, "left_anti"), df.join(marked, keys, "left_semi")
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")

@@ -9,10 +9,13 @@ _local = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is named (tests, local runs)."""
+    """The cluster's shared folder.  A temporary one serves only a session that runs on this machine alone; on a cluster
+    each executor would write to its own disk, so there the setting is required."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return _local.setdefault("dir", tempfile.mkdtemp(prefix="spark-quirework-"))
 
 

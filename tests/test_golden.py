@@ -502,8 +502,73 @@ def test_settings_parts(spark):
     assert rows(settings_src.read_settings(written), "doc_id") == [(1,), (2,), (2500,)]
 
 
-def test_search_cap_and_blank(spark):
-    t = spark.createDataFrame([(1, 0, "The " * 130), (1, 1, "other (the)")], "doc_id long, page_number int, text string")
+def test_search_all_hits_and_blank(spark):
+    t = spark.createDataFrame([(1, 0, "The " * 150), (1, 1, "other (the)"), (None, 2, "the"), (2, 0, None), (2, 1, "")],
+                              "doc_id long, page_number int, text string")
     hits = text.search(t, ["the", " ", "(the)"])
-    assert rows(hits.groupBy("query", "page_number").count(), "query", "page_number", "count") == [("(the)", 1, 1), ("the", 0, 100), ("the", 1, 2)]
+    counts = hits.groupBy("query", "page_number").count()
+    assert rows(counts, "query", "page_number", "count") == [("(the)", 1, 1), ("the", 0, 150), ("the", 1, 2), ("the", 2, 1)]
+    assert [r.start for r in hits.filter("page_number = 0").orderBy("start").collect()] == [4 * i for i in range(150)]
+    assert [r.match_index for r in hits.filter("query = 'the' and doc_id = 1").orderBy("page_number", "start").collect()] == list(range(152))
+    first = text.find_matches(t, ["the"], per_page=100)
+    assert first.filter("page_number = 0").count() == 100
     assert text.search(t, ["", " "]).count() == 0
+
+
+def test_search_offsets_of_the_original(spark):
+    """Lower-casing can lengthen a text; hits lie in the text as it is."""
+    words = "\u0130\u0130\u0130 Secret \u00dcBER x sEcReT"
+    t = spark.createDataFrame([(1, 0, words)], "doc_id long, page_number int, text string")
+    got = rows(text.find_matches(t, ["secret", "\u00fcber"]), "query", "start", "hit_length")
+    assert got == [("secret", 4, 6), ("secret", 18, 6), ("\u00fcber", 11, 4)]
+
+
+def test_no_redacted_text_survives(spark):
+    """What was sought and removed is found no more, on dense pages and next to letters that change length."""
+    import random
+
+    dice = random.Random(6)
+    data, sid = [], 0
+    for page in range(3):
+        for line in range(40):
+            for word in range(8):
+                w = dice.choice(["secret", "SECRET", "xsecretx", "\u0130\u0130secret", "plain", "se", "cret", "secretsecret"])
+                data.append((1, page, sid, w, 60.0 * word, 800.0 - 16 * line, 60.0 * word + 7.0 * len(w), 812.0 - 16 * line))
+                sid += 1
+    spans = spark.createDataFrame(data, "doc_id long, page_number int, span_id long, text string, x0 double, y0 double, x1 double, y1 double")
+    ordered = text.reading_order(spans, hot_rows=None)
+    hits = text.search(text.page_text(ordered, " "), ["secret"])
+    per_page = [r["count"] for r in hits.groupBy("page_number").count().collect()]
+    assert min(per_page) > 100
+    boxes = text.hit_quads(hits, text.span_offsets(ordered, " ", hot_rows=None))
+    left, ranges = redact.search_and_redact(spans, boxes)
+    kept = "".join(r.text for r in left.collect())
+    assert not any("secret" in r.text.lower() for r in left.collect())
+    whole = sum(len(d[3]) for d in data)
+    assert len(kept) == whole - 6 * hits.count()
+    assert ranges.count() > 300
+
+
+def test_dense_pages_keep_odd_spans(spark):
+    """The plan for dense pages orders null, NaN and tied coordinates as the plain one does."""
+    nan = float("nan")
+    data = [(1, 0, i, "t", x, y, x, y) for i, (x, y) in enumerate(
+        [(1.0, 700.0), (None, 700.0), (nan, 700.0), (2.0, None), (3.0, nan), (None, None), (1.0, 700.0), (5.0, 300.0), (-4.0, 299.0), (1.0, 2.0)])]
+    s = spark.createDataFrame(data, "doc_id long, page_number int, span_id long, text string, x0 double, y0 double, x1 double, y1 double")
+    keys = ["span_id", "line_index", "read_index"]
+    assert rows(text.reading_order(s, hot_rows=None), *keys) == rows(text.reading_order(s, hot_rows=3), *keys)
+    assert text.reading_order(s, hot_rows=3).count() == len(data)
+
+
+def test_ordered_scan_null_keys(spark):
+    from quirework.plans.scan import ordered_scan
+
+    data = [(k, v) for k in (None, "", "a") for v in (None, 1, 2, 70, 71, 200)]
+    df = spark.createDataFrame(data, "k string, v long")
+    got = ordered_scan(df, ["k"], (F.col("v") / 64).cast("int"), [F.col("v")], rank="r", sums={"s": F.col("v")},
+                       lags={"p": F.col("v")}, totals={"n": F.count(F.lit(1))}).collect()
+    assert len(got) == len(data) and all(r.n == 6 for r in got)
+    for k in (None, "", "a"):
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r.r)
+        assert [r.v for r in mine] == [None, 1, 2, 70, 71, 200] and [r.s for r in mine] == [0, 0, 1, 3, 73, 144]
+        assert [r.p for r in mine] == [None, None, 1, 2, 70, 71]

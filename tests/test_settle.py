@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import pytest
+
 from quirework.plans import settle
 
 
@@ -9,3 +11,6 @@ def test_shared_folder(spark):
     assert settle.shared_dir(named) == "/shared/spark.checkpoint.dir"
     assert settle.shared_dir(spark) == settle.shared_dir(spark)
     assert settle.settle(spark.range(3)).count() == 3
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        settle.shared_dir(cluster)
