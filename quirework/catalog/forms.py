@@ -94,19 +94,21 @@ def merge_bookmarks(spark, sf):
     return op.merge_bookmarks(mark("n", c("title")), app)
 
 
-_SET = """(select doc_id, ['letter', 'a4', 'legal', 'tabloid', 'custom'][doc_id % 5 + 1] as page_size, ['auto', 'portrait', 'landscape'][doc_id % 3 + 1] as orientation, [1, 2, 4, 6, 9, 16][doc_id % 6 + 1] as pages_per_sheet,
-    '1-' || (doc_id % 9 + 1) as custom_range, ['none', 'narrow', 'normal', 'wide', 'custom'][doc_id % 5 + 1] as margin_preset, ['fit', 'actual', 'custom'][doc_id % 3 + 1] as scaling_mode, (doc_id % 500)::double as custom_scale from documents where doc_id % 4 > 0)"""
+# A quarter of the documents have a record without values.
+_SET = """(select doc_id, case when b then ['letter', 'a4', 'legal', 'tabloid', 'custom'][doc_id % 5 + 1] end as page_size, case when b then ['auto', 'portrait', 'landscape'][doc_id % 3 + 1] end as orientation, case when b then [1, 2, 4, 6, 9, 16][doc_id % 6 + 1] end as pages_per_sheet,
+    case when b then '1-' || (doc_id % 9 + 1) end as custom_range, case when b then ['none', 'narrow', 'normal', 'wide', 'custom'][doc_id % 5 + 1] end as margin_preset, case when b then ['fit', 'actual', 'custom'][doc_id % 3 + 1] end as scaling_mode, case when b then (doc_id % 500)::double end as custom_scale from (select *, doc_id % 4 > 0 as b from documents))"""
 
 
 def _settings(spark, sf):
     d = c("doc_id")
-    pick = lambda vals: F.element_at(F.array(*map(F.lit, vals)), (d % len(vals) + 1).cast("int"))
-    return fx.table(spark, sf, "documents").filter(d % 4 > 0).select(
+    set_ = lambda v: F.when(d % 4 > 0, v)
+    pick = lambda vals: set_(F.element_at(F.array(*map(F.lit, vals)), (d % len(vals) + 1).cast("int")))
+    return fx.table(spark, sf, "documents").select(
         "doc_id", pick(("letter", "a4", "legal", "tabloid", "custom")).alias("page_size"),
         pick(("auto", "portrait", "landscape")).alias("orientation"), pick((1, 2, 4, 6, 9, 16)).alias("pages_per_sheet"),
-        F.concat(F.lit("1-"), (d % 9 + 1).cast("string")).alias("custom_range"),
+        set_(F.concat(F.lit("1-"), (d % 9 + 1).cast("string"))).alias("custom_range"),
         pick(("none", "narrow", "normal", "wide", "custom")).alias("margin_preset"),
-        pick(("fit", "actual", "custom")).alias("scaling_mode"), (d % 500).cast("double").alias("custom_scale"))
+        pick(("fit", "actual", "custom")).alias("scaling_mode"), set_((d % 500).cast("double")).alias("custom_scale"))
 
 
 @query("S8", f"select * from {_SET}")

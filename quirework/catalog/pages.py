@@ -117,15 +117,15 @@ def reorder_pages(spark, sf):
 @query("W6 W5", with_tables("page counted", """
     , d as (select doc_id, page_count as n, doc_id * 5 % page_count as t0 from counted where page_count > 3),
     o as (select doc_id, n, case when t0 > 2 then t0 - 2 else t0 end as t from d),
-    s1 as (select p.doc_id, page_number, n, t, case when page_number = 0 then least(t, n - 1) else case when page_number - 1 >= least(t, n - 1) then page_number else page_number - 1 end end as p1 from page p join o using (doc_id)),
+    s1 as (select p.doc_id, page_number, n, t, case when n is null then page_number when page_number = 0 then least(t, n - 1) else case when page_number - 1 >= least(t, n - 1) then page_number else page_number - 1 end end as p1 from page p left join o using (doc_id)),
     s2 as (select *, least(t + 1, n - 1) as t2, case when p1 > 2 then p1 - 1 else p1 end as q from s1)
-    select doc_id, page_number, (case when p1 = 2 then t2 when q >= t2 then q + 1 else q end)::int as new_page_number from s2"""))
+    select doc_id, page_number, (case when n is null then page_number when p1 = 2 then t2 when q >= t2 then q + 1 else q end)::int as new_page_number from s2"""))
 def drag_pages(spark, sf):
-    """Pages 0 and 2 dragged to a target: adjusted moves, then the moves applied."""
+    """Pages 0 and 2 dragged to a target where there is a page beyond them: adjusted moves, then the moves applied."""
     pages = fx.pages(spark, sf)
     req = op.page_count(pages).filter(c("page_count") > 3).select(
         "doc_id", op.drag_to_ops(F.array(F.lit(2), F.lit(0)), c("doc_id") * 5 % c("page_count")).alias("ops"))
-    return op.reorder_map(pages.join(req.select("doc_id"), "doc_id", "left_semi"), req)
+    return op.reorder_map(pages, req)
 
 
 _TURN = """

@@ -48,7 +48,9 @@ def recent_stamps(spark, sf):
     return _ntz(op.recent_stamps(uses, stamps), "last_used")
 
 
-@query("W12", """with t as (select user_id, event_id as tab_id, event_id as ord, lag(event_id) over w as b, lead(event_id) over w as a from events window w as (partition by user_id order by event_id))
+@query("W12", """with t as (select user_id, event_id as tab_id,
+        max(event_id) filter (event_id % 3 > 0) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as b,
+        min(event_id) filter (event_id % 3 > 0) over (partition by user_id order by event_id rows between 1 following and unbounded following) as a from events)
     select user_id, tab_id as closed_id, coalesce(b, a) as active_id from t where tab_id % 3 = 0""")
 def active_after_close(spark, sf):
     tabs = fx.table(spark, sf, "events").select("user_id", c("event_id").alias("tab_id"), c("event_id").alias("ord"))

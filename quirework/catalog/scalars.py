@@ -365,14 +365,15 @@ def fit_aspect(spark, sf):
         F.lit(200.0), F.lit(100.0), c("sx") + 20, c("sy") + 10, F.lit(2.0)).alias("r")).select("event_id", "r.*")
 
 
-@query("P35", """with k as (select event_id, ts, (epoch_us(timestamp '2024-01-20 12:00:00') - epoch_us(ts)) // 1000000 as s from events where ts <= timestamp '2024-01-20 12:00:00'),
+@query("P35", """with k as (select event_id, ts, (epoch_us(ts) - epoch_us(ts)) // 1000000 + event_id * 977 % 1000000 as s from events),
     m as (select *, s // 60 as mi, s // 3600 as h, s // 86400 as d from k)
     select event_id, case when mi < 1 then 'Just now' when mi < 60 then mi || ' minute' || case when mi > 1 then 's' else '' end || ' ago'
         when h < 24 then h || ' hour' || case when h > 1 then 's' else '' end || ' ago'
         when d < 7 then d || ' day' || case when d > 1 then 's' else '' end || ' ago' else strftime(ts, '%Y-%m-%d') end as label from m""")
 def relative_time(spark, sf):
-    now = F.lit("2024-01-20 12:00:00").cast("timestamp")
-    return fx.table(spark, sf, "events").filter(c("ts") <= now).select(
+    """Every event, seen from a moment up to eleven days later."""
+    now = F.timestamp_micros(F.unix_micros("ts") + c("event_id") * 977 % 1000000 * 1000000)
+    return fx.table(spark, sf, "events").select(
         "event_id", values.relative_time(c("ts"), now).alias("label"))
 
 
@@ -510,15 +511,3 @@ def parse_hook(spark, sf):
 
     docs = fx.table(spark, sf, "documents").select("doc_id", F.to_binary("text", F.lit("utf-8")).alias("content"))
     return parse_pdf(docs, lines, "doc_id BIGINT, n_lines BIGINT, n_bytes BIGINT")
-
-
-_FILES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-          "conversations").split()
-
-
-@query("S1", "select unnest([" + ", ".join(f"'{n}'" for n in _FILES) + "]) || '.parquet' as name, true as has_size")
-def scan_documents(spark, sf):
-    """The document scan over the files of the given tables."""
-    from ..sources.documents import scan_documents as scan
-
-    return scan(spark, sf, glob="*.parquet").select("name", (c("file_size") > 0).alias("has_size"))

@@ -33,10 +33,11 @@ def color_array_to_hex(color, default) -> Column:
 def parse_color(color) -> Column:
     """``#rrggbb``, ``rgb(...)`` or ``rgba(...)`` to components; anything else is black."""
     nums = F.regexp_extract_all(color, F.lit("([0-9.]+)"), F.lit(1))
-    part = lambda i: F.get(nums, F.lit(i)).cast("double") / D(255)
+    part = lambda i: F.get(nums, F.lit(i)).try_cast("double") / D(255)
+    sound = (F.size(nums) >= 3) & part(0).isNotNull() & part(1).isNotNull() & part(2).isNotNull()
     return (
         F.when(color.startswith("#"), hex_to_rgb(color))
-        .when(color.startswith("rgb") & (F.size(nums) >= 3), _rgb(part(0), part(1), part(2)))
+        .when(color.startswith("rgb") & sound, _rgb(part(0), part(1), part(2)))
         .otherwise(_rgb(D(0), D(0), D(0)))
     )
 

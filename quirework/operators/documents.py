@@ -80,12 +80,18 @@ def recent_stamps(uses: DataFrame, stamps: DataFrame, keep=10, show=5) -> DataFr
 
 
 def active_after_close(tabs: DataFrame, closed: DataFrame) -> DataFrame:
-    """Tab that becomes active when the active one is closed: the previous, else the next (then first)."""
-    scanned = ordered_scan(
-        tabs, ["user_id"], F.floor(F.col("ord") / 1024), [F.col("ord")],
-        lags={"_before": F.col("tab_id")}, leads={"_after": F.col("tab_id")})
-    return scanned.join(closed.select("user_id", "tab_id"), ["user_id", "tab_id"]).select(
-        "user_id", F.col("tab_id").alias("closed_id"), F.coalesce("_before", "_after").alias("active_id"))
+    """Tab that becomes active when ``closed`` ones go: the nearest before it that stays open, else the nearest after."""
+    gone = closed.select("user_id", "tab_id").distinct().withColumn("_gone", F.lit(True))
+    marked = tabs.join(gone, ["user_id", "tab_id"], "left")
+
+    def nearest(df, place, name):
+        """Tab id of the last open row before each one, along ``place``."""
+        open_ = F.when(F.col("_gone").isNull(), F.struct((-place).alias("p"), F.col("tab_id").alias("t")))
+        return ordered_scan(df, ["user_id"], F.floor(place / 1024), [place], mins={name: open_})
+
+    both = nearest(nearest(marked, F.col("ord"), "_before"), -F.col("ord"), "_after")
+    return both.filter("_gone").select(
+        "user_id", F.col("tab_id").alias("closed_id"), F.coalesce("_before.t", "_after.t").alias("active_id"))
 
 
 def document_status(events: DataFrame) -> DataFrame:
@@ -106,7 +112,12 @@ def active_documents(opens: DataFrame) -> DataFrame:
 
 
 def fill_forms(fields: DataFrame, given: DataFrame) -> DataFrame:
-    """Set field values by document and name: text and date also as default, toggles as Yes / Off."""
+    """Set field values by document and name: text and date also as default, toggles as Yes / Off.
+
+    Of several values for one field the one with the highest ``ord`` counts (a column of ``given``; without it, the
+    largest value)."""
+    order = F.struct(*([F.col("ord")] if "ord" in given.columns else []), "value_str", "value_bool")
+    given = given.groupBy("doc_id", "field_name").agg(F.max(order).alias("_last")).select("doc_id", "field_name", "_last.*")
     v = given.select(
         "doc_id", "field_name", F.col("value_str").alias("_s"), F.col("value_bool").alias("_b"), F.lit(True).alias("_set"))
     j = fields.join(v, ["doc_id", "field_name"], "left")

@@ -81,43 +81,68 @@ def adjust_current(current: DataFrame, deletions: DataFrame, counts: DataFrame)
 # -- insertion -----------------------------------------------------------------------------------------------
 
 
+def _request_key(df):
+    """Order of a document's insertions: ``ord`` where given, then position and source."""
+    zero = F.lit(0).cast("long")
+    own = [F.col(c).cast("long") if c in df.columns else zero for c in ("ord", "at", "source_doc_id")]
+    return F.struct(*[v.alias(n) for v, n in zip(own, ("ord", "at", "src"))])
+
+
+def _insert_lists(inserts: DataFrame) -> DataFrame:
+    """(doc_id, _ops): a document's insertions in their order; as many as it has requests."""
+    return inserts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        _request_key(inserts).alias("key"), F.col("at").cast("int").alias("at"), F.col("count").cast("int").alias("n")))).alias("_ops"))
+
+
+def _shifted(page, ops):
+    """Page number after a list of insertions, each of which sees the pages as the one before has left them."""
+    return F.aggregate(ops, page.cast("int"), lambda p, o: (p + F.when(p >= o["at"], o["n"]).otherwise(0)).cast("int"))
+
+
 def shift_for_insert(df: DataFrame, inserts: DataFrame) -> DataFrame:
-    """Move rows at or after ``at`` up by ``count`` pages; ``inserts`` has one row per document."""
-    joined = df.join(inserts.select("doc_id", F.col("at").alias("_at"), F.col("count").alias("_n")), "doc_id", "left")
-    moved = F.when(F.col("page_number") >= F.col("_at"), F.col("page_number") + F.col("_n")).otherwise(F.col("page_number")).cast("int")
+    """Move rows at or after ``at`` up by ``count`` pages, for each insertion of the document in turn."""
+    joined = df.join(_insert_lists(inserts), "doc_id", "left")
+    moved = F.when(F.col("_ops").isNull(), F.col("page_number")).otherwise(_shifted(F.col("page_number"), F.col("_ops"))).cast("int")
     return joined.select(*[moved.alias(c) if c == "page_number" else F.col(c) for c in df.columns])
 
 
 def _picked_pages(requests: DataFrame, source: DataFrame) -> DataFrame:
-    """Source pages per request with their position ``idx``: the listed ones in list order, or all."""
+    """Source pages per request with their position ``idx``: the listed ones in list order, or all; ``_key`` orders a
+    document's requests, and requests of one key are one."""
     counts = page_count(source).select(F.col("doc_id").alias("source_doc_id"), F.col("page_count").alias("_m"))
-    r = requests.join(counts, "source_doc_id")
+    r = requests.withColumn("_key", _request_key(requests)).dropDuplicates(["doc_id", "_key"]).join(counts, "source_doc_id")
     valid = F.filter("source_pages", lambda p: (p >= 0) & (p < F.col("_m")))
     listed = r.filter(F.size("source_pages") > 0).select(
-        "doc_id", "at", "source_doc_id", F.posexplode(valid).alias("idx", "_p"))
+        "doc_id", "_key", "at", "source_doc_id", F.posexplode(valid).alias("idx", "_p"))
     src = source.withColumnsRenamed({"doc_id": "source_doc_id", "page_number": "_p"})
     some = listed.join(src, ["source_doc_id", "_p"])
-    every = r.filter(F.coalesce(F.size("source_pages"), F.lit(0)) <= 0).select("doc_id", "at", "source_doc_id").join(
+    every = r.filter(F.coalesce(F.size("source_pages"), F.lit(0)) <= 0).select("doc_id", "_key", "at", "source_doc_id").join(
         src, "source_doc_id").withColumn("idx", F.col("_p"))
     return some.unionByName(every)
 
 
+def _placed(picked: DataFrame):
+    """The insertions of each document, and the picked pages with their final page number."""
+    counts = picked.groupBy("doc_id", "_key", "at").agg(F.count(F.lit(1)).alias("count")).select(
+        "doc_id", F.col("_key.ord").alias("ord"), "at", F.col("_key.src").alias("source_doc_id"), "count")
+    later = F.filter("_ops", lambda o: o["key"] > F.col("_key"))
+    placed = picked.join(_insert_lists(counts), "doc_id").withColumn("page_number", _shifted(F.col("at") + F.col("idx"), later))
+    return counts, placed
+
+
 def insert_pages(target: DataFrame, source: DataFrame, requests: DataFrame) -> DataFrame:
-    """Insert pages of other documents; ``requests`` has ``doc_id, at, source_doc_id, source_pages``."""
-    picked = _picked_pages(requests, source)
-    counts = picked.groupBy("doc_id", "at").agg(F.count(F.lit(1)).alias("count"))
-    fresh = picked.withColumn("page_number", (F.col("at") + F.col("idx")).cast("int")).select(*target.columns)
-    return shift_for_insert(target, counts).unionByName(fresh)
+    """Insert pages of other documents; ``requests`` has ``doc_id, at, source_doc_id, source_pages`` and, to order
+    several requests of a document, ``ord``: each one's position counts in the pages that those before it have left."""
+    counts, placed = _placed(_picked_pages(requests, source))
+    return shift_for_insert(target, counts).unionByName(placed.select(*target.columns))
 
 
 def paste_annotations(annotations: DataFrame, source_annotations: DataFrame, source_pages: DataFrame,
                       requests: DataFrame, stamp: str) -> DataFrame:
     """Annotations after ``insert_pages``: existing ones shifted, those of the copied pages added under new ids."""
-    picked = _picked_pages(requests, source_pages.select(*PAGE_KEY))
-    counts = picked.groupBy("doc_id", "at").agg(F.count(F.lit(1)).alias("count"))
+    counts, placed = _placed(_picked_pages(requests, source_pages.select(*PAGE_KEY)))
     src = source_annotations.withColumnsRenamed({"doc_id": "source_doc_id", "page_number": "_p"})
-    copies = picked.join(src, ["source_doc_id", "_p"]).withColumn(
-        "page_number", (F.col("at") + F.col("idx")).cast("int")).withColumn(
+    copies = placed.join(src, ["source_doc_id", "_p"]).withColumn(
         "ann_id", F.concat(F.col("ann_id").cast("string"), F.lit(f"_copy_{stamp}_"), F.col("idx").cast("string")))
     kept = shift_for_insert(annotations, counts).withColumn("ann_id", F.col("ann_id").cast("string"))
     return kept.unionByName(copies.select(*annotations.columns))

@@ -13,7 +13,7 @@ NAMES = {"pageSize": "page_size", "orientation": "orientation", "pagesPerSheet":
 def read_settings(df: DataFrame, json_col="json") -> DataFrame:
     parsed = F.from_json(json_col, f"settings MAP<STRING, {SETTING}>")["settings"]
     return df.select(F.explode(parsed).alias("_k", "_v")).select(
-        F.col("_k").cast("long").alias("doc_id"), *[F.col(f"_v.{j}").alias(n) for j, n in NAMES.items()])
+        F.col("_k").try_cast("long").alias("doc_id"), *[F.col(f"_v.{j}").alias(n) for j, n in NAMES.items()])
 
 
 def write_settings(settings: DataFrame, per_file=1000) -> DataFrame:

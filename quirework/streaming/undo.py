@@ -48,15 +48,15 @@ def _result(doc_id, history, cursor, pushes):
 #
 # A document's log is cut into blocks of BLOCK_ROWS events.  The effect of a block on any state it may start from
 # is small: before its first push only the cursor moves, and what follows the first push depends on the cursor
-# alone.  So each block is folded once for every possible cursor (0..50), side by side, into a table; chaining the
-# tables of a document gives its final state.  Kept old entries appear in the tables as negative places.
+# alone.  So each block is folded once for every possible cursor (0..limit), side by side, into a table; chaining the
+# tables of a document gives its final state.  Kept old entries appear in the tables by their places.
 
 
-def fold_block(ops, ids, limit=HISTORY_LIMIT):
+def fold_block(ops, limit=HISTORY_LIMIT):
     """Effect of a block: ``(moves before the first push, lanes)``; a lane per cursor at the first push.
 
-    A lane is ``(cursor, history)`` at the end of the block, where history entries below zero are old places
-    (``-1`` is the first).  ``lanes`` is None when nothing is pushed.
+    A lane is ``(cursor, history)`` at the end of the block.  A history entry from zero on is the number of an event of
+    the block; one below zero is an old place (``-1`` is the first).  ``lanes`` is None when nothing is pushed.
     """
     first = next((i for i, op in enumerate(ops) if op not in ("undo", "redo")), len(ops))
     moves = [1 if op == "redo" else -1 for op in ops[:first]]
@@ -68,7 +68,7 @@ def fold_block(ops, ids, limit=HISTORY_LIMIT):
     cursor = np.arange(n_lanes)
     length = cursor.copy()
     rows = np.arange(n_lanes)
-    for op, event in zip(ops[first:], ids[first:]):
+    for event, op in enumerate(ops[first:], first):
         if op == "undo":
             np.maximum(cursor - 1, 0, out=cursor)
         elif op == "redo":
@@ -84,7 +84,7 @@ def fold_block(ops, ids, limit=HISTORY_LIMIT):
     return moves, (cursor, length, table)
 
 
-def _pack(moves, lanes):
+def _pack(moves, lanes, ids, limit):
     # Runs of equal moves clamp like their single steps.
     runs = []
     for m in moves:
@@ -93,29 +93,25 @@ def _pack(moves, lanes):
         else:
             runs.append(m)
     if lanes is None:
-        return runs, None, None, None
+        return runs, None, None, None, None
     cursor, length, table = lanes
-    return runs, cursor.tolist(), length.tolist(), table[:, :HISTORY_LIMIT].ravel().tolist()
+    flat = table[:, :limit].ravel()
+    old = flat < 0
+    return (runs, cursor.tolist(), length.tolist(), np.where(old, 0, np.asarray(ids, np.int64)[np.where(old, 0, flat)]).tolist(),
+            np.where(old, -flat, 0).tolist())
 
 
-_BLOCK = "doc_id BIGINT, block BIGINT, pushes BIGINT, runs ARRAY<INT>, cursors ARRAY<INT>, lengths ARRAY<INT>, entries ARRAY<BIGINT>"
+_BLOCK = "doc_id BIGINT, block BIGINT, pushes BIGINT, runs ARRAY<INT>, cursors ARRAY<INT>, lengths ARRAY<INT>, entries ARRAY<BIGINT>, places ARRAY<BIGINT>"
 
 
-def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold(key: tuple, pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     pdf = pdf.sort_values("_i")
     ops, ids = pdf["op"].tolist(), pdf["event_id"].tolist()
-    if pdf["_only"].iloc[0]:
-        # The only block of its document starts from nothing: one lane is enough.
-        history, cursor = [], 0
-        for op, e in zip(ops, ids):
-            cursor = step(history, cursor, op, e)
-        runs, cursors, lengths, entries = [], [cursor], [len(history)], history
-    else:
-        runs, cursors, lengths, entries = _pack(*fold_block(ops, ids))
+    runs, cursors, lengths, entries, places = _pack(*fold_block(ops, limit), ids, limit)
     pushes = sum(op not in ("undo", "redo") for op in ops)
     return pd.DataFrame({
         "doc_id": [key[0]], "block": [key[1]], "pushes": [pushes], "runs": [runs], "cursors": [cursors],
-        "lengths": [lengths], "entries": [entries]})
+        "lengths": [lengths], "entries": [entries], "places": [places]})
 
 
 def _advance(row, history, cursor, pushes):
@@ -123,10 +119,10 @@ def _advance(row, history, cursor, pushes):
     for run in row.runs:
         cursor = min(max(cursor + int(run), 0), len(history))
     if row.cursors is not None:
-        lane = cursor if len(row.cursors) > 1 else 0
-        width = HISTORY_LIMIT if len(row.cursors) > 1 else len(row.entries)
-        entries = row.entries[lane * width:lane * width + int(row.lengths[lane])]
-        history, cursor = [history[-int(e) - 1] if e < 0 else int(e) for e in entries], int(row.cursors[lane])
+        width = len(row.entries) // len(row.cursors)
+        at = slice(cursor * width, cursor * width + int(row.lengths[cursor]))
+        history = [history[int(p) - 1] if p else int(e) for e, p in zip(row.entries[at], row.places[at])]
+        cursor = int(row.cursors[cursor])
     return history, cursor, pushes + int(row.pushes)
 
 
@@ -147,8 +143,8 @@ def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_result(doc, *state)], dtype=object)
 
 
-def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS) -> DataFrame:
-    """Final history of every document from its whole log, in ``(ts, event_id)`` order.
+def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS, limit=HISTORY_LIMIT) -> DataFrame:
+    """Final history of every document from its whole log, in ``(ts, event_id)`` order; ``limit`` entries are kept.
 
     A task holds one block of events, or streams through block tables; a log of any length is spread.
     """
@@ -157,8 +153,7 @@ def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS) -> DataFrame:
         events.select("doc_id", "ts", "event_id", "op"), ["doc_id"], F.floor(seconds / 3600),
         [F.col("ts"), F.col("event_id")], rank="_i")
     blocks = ranked.withColumn("block", F.floor(F.col("_i") / block_rows))
-    sizes = events.groupBy("doc_id").agg((F.count(F.lit(1)) <= block_rows).alias("_only"))
-    folded = blocks.join(sizes, "doc_id").groupBy("doc_id", "block").applyInPandas(_fold, _BLOCK)
+    folded = blocks.groupBy("doc_id", "block").applyInPandas(lambda key, pdf: _fold(key, pdf, limit), _BLOCK)
     return folded.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInPandas(_chain, RESULT)
 
 
@@ -168,6 +163,9 @@ def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS) -> DataFrame:
 class UndoProcessor(StatefulProcessor):
     """History and cursor of one document; the events of a micro-batch are taken in ``(ts, event_id)`` order."""
 
+    def __init__(self, limit=HISTORY_LIMIT):
+        self.limit = limit
+
     def init(self, handle) -> None:
         self.state = handle.getValueState("undo", "history ARRAY<BIGINT>, cursor INT, pushes BIGINT")
 
@@ -175,7 +173,7 @@ class UndoProcessor(StatefulProcessor):
         old = self.state.get() if self.state.exists() else ([], 0, 0)
         history, cursor, pushes = list(old[0]), old[1], old[2]
         for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            cursor = step(history, cursor, row.op, int(row.event_id))
+            cursor = step(history, cursor, row.op, int(row.event_id), self.limit)
             pushes += row.op not in ("undo", "redo")
         self.state.update((history, cursor, pushes))
         yield pd.DataFrame([_result(key[0], history, cursor, pushes)])
@@ -184,7 +182,7 @@ class UndoProcessor(StatefulProcessor):
         pass
 
 
-def undo_redo_stream(events: DataFrame, late="10 minutes", deduplicate=True) -> DataFrame:
+def undo_redo_stream(events: DataFrame, late="10 minutes", deduplicate=True, limit=HISTORY_LIMIT) -> DataFrame:
     """History per document after every micro-batch.
 
     Repeated deliveries of an event within ``late`` are dropped first.  Across micro-batches a document's events
@@ -193,5 +191,5 @@ def undo_redo_stream(events: DataFrame, late="10 minutes", deduplicate=True) ->
     if deduplicate:
         events = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return events.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=UndoProcessor(), outputStructType=RESULT, outputMode="Update", timeMode="None")
+        statefulProcessor=UndoProcessor(limit), outputStructType=RESULT, outputMode="Update", timeMode="None")
 

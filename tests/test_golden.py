@@ -572,3 +572,33 @@ def test_ordered_scan_null_keys(spark):
         mine = sorted((r for r in got if r.k == k), key=lambda r: r.r)
         assert [r.v for r in mine] == [None, 1, 2, 70, 71, 200] and [r.s for r in mine] == [0, 0, 1, 3, 73, 144]
         assert [r.p for r in mine] == [None, None, 1, 2, 70, 71]
+
+
+def test_several_requests_for_a_document(spark):
+    page = spark.createDataFrame([(1, i, float(i), 1.0, 0) for i in range(3)] + [(2, i, 10.0 + i, 1.0, 0) for i in range(2)],
+                                 "doc_id long, page_number int, width double, height double, rotation int")
+    req = spark.createDataFrame([(1, 1, 2, [0], 1), (1, 0, 2, [1, 0], 2), (1, 1, 2, None, 3)],
+                                "doc_id long, at int, source_doc_id long, source_pages array<int>, ord int")
+    got = {r.page_number: r.width for r in pages.insert_pages(page.filter("doc_id = 1"), page, req).collect()}
+    want = [0.0, 1.0, 2.0]
+    for at, fresh in ((1, [10.0]), (0, [11.0, 10.0]), (1, [10.0, 11.0])):  # each in what the one before has left
+        want[at:at] = fresh
+    assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+
+
+def test_repeated_values_and_closed_tabs(spark):
+    fields = spark.createDataFrame([(1, "a", "text", "old", None)], "doc_id long, field_name string, field_type string, value_str string, value_bool boolean")
+    given = spark.createDataFrame([(1, "a", "x", None, 2), (1, "a", "z", None, 1)], "doc_id long, field_name string, value_str string, value_bool boolean, ord int")
+    assert [r.value_str for r in documents.fill_forms(fields, given).collect()] == ["x"]
+    tabs = spark.createDataFrame([(1, i, i) for i in range(4)], "user_id long, tab_id long, ord long")
+    got = rows(documents.active_after_close(tabs, tabs.filter("tab_id in (1, 2)")), "closed_id", "active_id")
+    assert got == [(1, 0), (2, 0)]
+    got = rows(documents.active_after_close(tabs, tabs.filter("tab_id in (0, 1)")), "closed_id", "active_id")
+    assert got == [(0, 2), (1, 2)]
+
+
+def test_bad_records_are_skipped(spark):
+    got = spark.createDataFrame([("rgb(1.2.3,4,5)",), ("rgb(255,0,0)",)], "c string").select(values.parse_color(F.col("c")).alias("v")).collect()
+    assert [round(sum(tuple(r.v)), 3) for r in got] == [0.0, 1.0]
+    df = spark.createDataFrame([('{"settings": {"x": {"pageSize": "a4"}, "7": {"pageSize": "legal"}}}',)], "json string")
+    assert sorted(((r.doc_id, r.page_size) for r in settings_src.read_settings(df).collect()), key=str) == [(7, "legal"), (None, "a4")]

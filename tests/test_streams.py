@@ -52,6 +52,19 @@ def test_blocks_chain_to_the_whole_fold(spark):
         assert got(undo.undo_redo_batch(df, block)) == fold(events)
 
 
+def test_any_event_ids_and_limits(spark):
+    """Ids below zero are as good as others, in one block and in several; the limit is the caller's."""
+    events = [(-i * 7 + 3, t, d, op) for i, t, d, op in log(600, [1, 1, 2])]
+    events.sort(key=lambda e: (e[1], e[0]))
+    df = spark.createDataFrame(events, SCHEMA).repartition(3)
+    for block in (29, 100000):
+        assert got(undo.undo_redo_batch(df, block)) == fold(events)
+    short = {r.doc_id: r.history_length for r in undo.undo_redo_batch(df, 29, limit=5).collect()}
+    assert max(short.values()) <= 5
+    whole = {r.doc_id: r.history for r in undo.undo_redo_batch(df, 100000, limit=5).collect()}
+    assert {r.doc_id: r.history for r in undo.undo_redo_batch(df, 29, limit=5).collect()} == whole
+
+
 def test_only_moves_in_a_block(spark):
     events = [(i, START + timedelta(seconds=i), 1, op) for i, op in enumerate(["push"] * 3 + ["undo"] * 9 + ["redo"] * 2 + ["undo"])]
     assert got(undo.undo_redo_batch(spark.createDataFrame(events, SCHEMA), 2)) == fold(events)
