@@ -1,15 +1,17 @@
 """Exact Jaccard join of word n-gram sets by a token-group matrix.
 
 1. Every text becomes its set of hashed n-grams; equal sets form a class, which is joined once.
-2. Classes whose rarest n-gram is the same form a group (in chunks), split until every member is similar to the group's
-   leader.  A class of its own is a group of one.
+2. Classes with the same smallest hash (similar sets mostly have it in common) are dealt to units of bounded size and
+   compared with each other inside; the parts that links hold together are compared once more across the units of
+   one hash.  A unit of one part belongs to the part's group; a unit of several parts is a group by itself, and so is a
+   class that shares its smallest hash with no other.
 3. The matrix holds, for every group, the union of its members' prefixes: of a set's n-grams in one global order, rare
    ones first, as many as two sets must share ``SHARED`` of when they are similar.  Groups that meet in fewer columns,
    or whose sizes are too far apart, cannot hold a similar pair; the others are candidates.
-4. Candidate groups are opened: their members' whole sets are compared exactly until a similar pair links the groups.
-5. Linked groups make components.
+4. Candidate groups are opened: their members' whole sets are compared exactly, until all their parts are linked.
+5. Links between parts make components.
 
-All pairs inside a group are one link to its leader, so a family of near copies costs rows in proportion to its size.
+A family of near copies costs links in proportion to its size, as parts that are linked are not compared again.
 """
 
 import hashlib
@@ -27,9 +29,9 @@ from .common import bitmap, components, maybe
 
 #: n-grams that the prefixes of two similar sets share at least.
 SHARED = 3
-#: Members of a group; groups that are split by a broadcast list; n-grams with a known frequency; rows of the matrix
-#: in one task.  The first two bound memory, the third the broadcast order (about 2 MB), and none changes the result.
-MEMBERS, SPLIT, FREQUENT, TASK_ROWS = 256, 200_000, 100_000, 1_500_000
+#: Members of a unit; parts compared across units; hashes whose classes are split by a broadcast list; n-grams with a
+#: known frequency; rows of the matrix in one task.  They bound memory and broadcasts (a few MB); none changes the result.
+MEMBERS, PARTS, SPLIT, FREQUENT, TASK_ROWS = 256, 1024, 200_000, 100_000, 500_000
 _MASK = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,6 +71,13 @@ def gram_sets(texts: list, size: int = 5) -> list:
     return out
 
 
+def _slices(batches, rows=1024):
+    """Arrow batches in small slices: a task holds the sets of one slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _six(grams) -> bytes:
     """48-bit numbers as 6 bytes each."""
     return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -103,32 +112,29 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     that many of its sets hold, with counts."""
     def run(batches):
         seen = set()
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+        kind = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
+        for batch in _slices(batches):
             n, cls, sets, fresh = [], [], [], []
-            for at in range(0, len(texts), 512):
-                for grams in gram_sets(texts[at:at + 512], size):
-                    n.append(len(grams))
-                    if not len(grams):
-                        cls.append(None)
-                        sets.append(None)
-                        continue
-                    key = hashlib.blake2b(grams.tobytes(), digest_size=8).digest()
-                    cls.append(int.from_bytes(key, "little", signed=True))
-                    sets.append(None if key in seen else _six(grams))
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(grams)
+            for grams in gram_sets(batch.column(1).cast(pa.binary()).to_pylist(), size):
+                n.append(len(grams))
+                if not len(grams):
+                    cls.append(None)
+                    sets.append(None)
+                    continue
+                key = hashlib.blake2b(grams.tobytes(), digest_size=8).digest()
+                cls.append(int.from_bytes(key, "little", signed=True))
+                sets.append(None if key in seen else _six(grams))
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(grams)
             often = [None] * len(n)
             if fresh:
                 grams, counts = np.unique(np.concatenate(fresh), return_counts=True)
-                many = counts >= 8
-                if many.any():
-                    pairs = zip(grams[many].astype(np.int64).tolist(), counts[many].tolist())
-                    often[0] = [{"gram": g, "n": c} for g, c in pairs]
-            kind = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
+                many = counts >= 4
+                pairs = zip(grams[many].astype(np.int64).tolist(), counts[many].tolist())
+                often[0] = [{"gram": g, "n": c} for g, c in pairs]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary()), pa.array(often, kind)],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary()), pa.array(often, kind)],
                 ["doc_id", "n", "cls", "set", "often"])
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -168,60 +174,93 @@ def _order(sets: DataFrame, percent: int) -> Order:
     return Order(rows["gram"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64), percent)
 
 
-def _first(sets: DataFrame, order: Order) -> DataFrame:
-    """(head, cls) of every class: its first n-gram in the order."""
+def _first(sets: DataFrame) -> DataFrame:
+    """(head, cls) of every class: the smallest of its hashes."""
     def run(batches):
-        for batch in batches:
-            heads = [int(order.prefix(_eight(s))[0]) for s in batch.column(1).to_pylist()]
+        for batch in _slices(batches):
+            heads = [int(_eight(s.as_buffer()[:6])[0]) for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), batch.column(0)], ["head", "cls"])
 
     return sets.select("cls", "set").mapInArrow(run, "head long, cls long").distinct()
 
 
-def _grouped(sets: DataFrame, order: Order, bits, large: dict) -> DataFrame:
-    """Groups of classes with a common head: (grp, cls, set, columns); ``columns`` holds the group's union of prefixes
-    and stands on its leader's row."""
+def _parts(members, percent) -> np.ndarray:
+    """Part of each set: sets that links reach from one another; a part is named by one of its places."""
+    label = np.arange(len(members))
+    sizes = np.array([len(m) for m in members])
+    for k in np.argsort(sizes, kind="stable")[::-1].tolist():
+        other = np.flatnonzero((label != label[k]) & (100 * sizes >= percent * sizes[k]) & (100 * sizes[k] >= percent * sizes))
+        if len(other):
+            flat, cuts = _stack([members[o] for o in other.tolist()])
+            near = other[_similar(_common(members[k], flat, cuts), sizes[k], sizes[other], percent)]
+            for name in np.unique(label[near]).tolist():
+                label[label == name] = label[k]
+    return label
+
+
+def _compared(rows: DataFrame, keys: list, order: "Order", unit: bool) -> DataFrame:
+    """(head, unit, cls, part, set, columns) of classes that are compared with all others of the same keys.  ``part`` is
+    the class that names the part; with ``unit``, ``columns`` holds the union of prefixes on the unit's first row.  Classes
+    that have less than half in common (they only share a passage) gain nothing as a unit: then each part is one."""
+    percent = order.percent
+
+    def run(given):
+        given = given.drop_duplicates("cls").sort_values("cls").reset_index(drop=True)
+        cls, members = given["cls"].to_numpy(), [_eight(s) for s in given["set"]]
+        out = given[["head"]].copy()
+        out["unit"], out["cls"], out["part"], out["set"] = cls[0], cls, cls[_parts(members, percent)], given["set"]
+        columns = [None] * len(out)
+        if unit:
+            prefixes = [order.prefix(m) for m in members]
+            union = np.unique(np.concatenate(prefixes))
+            if 2 * len(union) > sum(map(len, prefixes)):
+                out["unit"] = out["part"]
+            for name, places in out.groupby("unit").indices.items():
+                sizes = [len(members[k]) for k in places]
+                data = np.array([min(sizes), max(sizes)], "<u8").tobytes()
+                columns[places[0]] = data + _six(np.unique(np.concatenate([prefixes[k] for k in places])))
+        out["columns"] = pd.Series(columns, dtype=object)
+        return out
+
+    return rows.groupBy(*keys).applyInPandas(run, "head long, unit long, cls long, part long, set binary, columns binary")
+
+
+def _grouped(sets: DataFrame, order: "Order", bits, large: dict) -> DataFrame:
+    """(grp, unit, cls, part, set, columns) of the classes that share their smallest hash."""
     def pick(batches):
-        for batch in batches:
-            cls, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            heads = [int(order.prefix(_eight(s))[0]) for s in data]
-            keep = np.flatnonzero(maybe(bits, np.array(heads, np.int64))).tolist()
-            chunk = [cls[k] % large.get(heads[k], 1) for k in keep]
+        for batch in _slices(batches):
+            heads = np.array([int(_eight(s.as_buffer()[:6])[0]) for s in batch.column(1)], np.int64)
+            keep = np.flatnonzero(maybe(bits, heads))
+            cls = batch.column(0).to_numpy(zero_copy_only=False)[keep]
+            chunk = [c % large.get(h, 1) for h, c in zip(heads[keep].tolist(), cls.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([heads[k] for k in keep], pa.int64()), pa.array(chunk, pa.int64()),
-                 pa.array([cls[k] for k in keep], pa.int64()), pa.array([data[k] for k in keep], pa.binary())],
+                [pa.array(heads[keep]), pa.array(chunk, pa.int64()), pa.array(cls), batch.column(1).take(pa.array(keep))],
                 ["head", "chunk", "cls", "set"])
 
-    def split(rows):
-        rows = rows.drop_duplicates("cls").sort_values("cls")
-        cls, members = rows["cls"].tolist(), [_eight(s) for s in rows["set"]]
-        out, left = [], sorted(range(len(cls)), key=lambda k: len(members[k]))
-        while left:
-            lead = left[len(left) // 2]  # of middle size
-            flat, cuts = _stack([members[k] for k in left])
-            near = _similar(_common(members[lead], flat, cuts), len(members[lead]), np.diff(cuts), order.percent)
-            mine = [k for k, x in zip(left, near) if x]
-            left = [k for k, x in zip(left, near) if not x]
-            columns = np.unique(np.concatenate([order.prefix(members[k]) for k in mine]))
-            sizes = [len(members[k]) for k in mine]
-            head = np.array([min(sizes), max(sizes)], "<u8").tobytes() + _six(columns)
-            out += [(cls[lead], cls[k], rows["set"].iloc[k], head if k == lead else None) for k in mine]
-        return pd.DataFrame(out, columns=["grp", "cls", "set", "columns"])
-
     picked = sets.select("cls", "set").mapInArrow(pick, "head long, chunk long, cls long, set binary")
-    return picked.groupBy("head", "chunk").applyInPandas(split, "grp long, cls long, set binary, columns binary")
+    first = settle(_compared(picked, ["head", "chunk"], order, True))
+    named = first.filter(F.col("cls") == F.col("part"))
+    many = named.groupBy("head").agg(F.count_distinct("unit").alias("units"), F.count(F.lit(1)).alias("n")).filter("units > 1")
+    again = named.join(many, "head").withColumn("chunk", F.pmod(F.col("cls"), F.ceil(F.col("n") / PARTS)))
+    joined = _compared(again.select("head", "chunk", "cls", "set"), ["head", "chunk"], order, False)
+    renamed = settle(joined.select(F.col("cls").alias("part"), F.col("part").alias("whole")))
+    parts = first.select("unit", "cls", "part").join(renamed, "part", "left").select(
+        "unit", "cls", F.coalesce("whole", "part").alias("part"))
+    units = parts.groupBy("unit").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
+    group = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("unit"))
+    labels = parts.join(units, "unit").select("cls", "part", group.alias("grp"))
+    return first.select("unit", "cls", "set", "columns").join(labels, "cls")
 
 
 def _singles(sets: DataFrame, order: Order, bits) -> DataFrame:
-    """(grp, columns) of the classes that are groups of their own."""
+    """(grp, columns) of the classes that share their smallest hash with no other."""
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             cls, out = batch.column(0).to_pylist(), []
             for key, data in zip(cls, batch.column(1).to_pylist()):
                 grams = _eight(data)
-                columns = order.prefix(grams)
-                if not maybe(bits, columns[:1].astype(np.int64))[0]:
-                    out.append((key, np.array([len(grams)] * 2, "<u8").tobytes() + _six(columns)))
+                if not maybe(bits, grams[:1])[0]:
+                    out.append((key, np.array([len(grams)] * 2, "<u8").tobytes() + _six(order.prefix(grams))))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())],
                                              ["grp", "columns"])
 
@@ -236,7 +275,7 @@ _LOG = math.log(1.06)
 def _candidates(columns: DataFrame, order: Order, tasks: int) -> DataFrame:
     """(a, b) of the groups that may hold a similar pair."""
     def deal(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             grams, groups, low, high = [], [], [], []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 least, most = np.frombuffer(data, "<u8", 2).tolist()
@@ -272,7 +311,9 @@ def _candidates(columns: DataFrame, order: Order, tasks: int) -> DataFrame:
         gram, grp, low, high = gram[by], grp[by], table["low"][by].astype(np.int64), table["high"][by].astype(np.int64)
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (grp[1:] != grp[:-1])
-        gram, grp, low, high = gram[new], grp[new], low[new], high[new]
+        at = np.flatnonzero(new)
+        low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+        gram, grp = gram[at], grp[at]
         several = np.zeros(len(gram), bool)
         several[1:] = gram[1:] == gram[:-1]
         several[:-1] |= several[1:]
@@ -315,40 +356,58 @@ def _candidates(columns: DataFrame, order: Order, tasks: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, order: Order, bits) -> DataFrame:
-    """(u, v): candidate groups that hold a similar pair."""
+    """(u, v): parts of candidate groups that hold a similar pair."""
     wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("g")), "g")
+    percent = order.percent
 
     def alone(batches):
-        for batch in batches:
-            cls = batch.column(0)
-            keep = maybe(wanted, cls.to_numpy(zero_copy_only=False))
-            some = [k for k in np.flatnonzero(keep).tolist()
-                    if not maybe(bits, order.prefix(_eight(batch.column(1)[k].as_buffer()))[:1].astype(np.int64))[0]]
-            rows = pa.array(some, pa.int64())
-            yield pa.RecordBatch.from_arrays([cls.take(rows), batch.column(1).take(rows)], ["grp", "set"])
-
-    single = sets.select("cls", "set").mapInArrow(alone, "grp long, set binary").dropDuplicates(["grp"])
-    members = grouped.select("grp", "set").unionByName(single)
-    per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 512).alias("parts"))
+        for batch in _slices(batches):
+            keep = maybe(wanted, batch.column(0).to_numpy(zero_copy_only=False))
+            heads = np.array([int(_eight(s.as_buffer()[:6])[0]) for s in batch.column(1)], np.int64)
+            rows = pa.array(np.flatnonzero(keep & ~maybe(bits, heads)))
+            cls = batch.column(0).take(rows)
+            yield pa.RecordBatch.from_arrays([cls, cls, cls, batch.column(1).take(rows)], ["grp", "unit", "part", "set"])
+
+    single = sets.select("cls", "set").mapInArrow(alone, "grp long, unit long, part long, set binary").dropDuplicates(["grp"])
+    members = grouped.select("grp", "unit", "part", "set").unionByName(single)
+    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = pairs.join(sizes.select(F.col("grp").alias("a"), F.col("n").alias("na")), "a", "left").join(
+        sizes.select(F.col("grp").alias("b"), F.col("n").alias("nb")), "b", "left")
+    swap = F.coalesce("nb", F.lit(1)) > F.coalesce("na", F.lit(1))  # the smaller group is sent to the larger one's units
+    turned = settle(sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+                                 F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+                                 F.least(F.coalesce("na", F.lit(1)), F.coalesce("nb", F.lit(1))).alias("sets")))
+    per = turned.groupBy("a").agg(F.ceil(F.sum("sets") / MEMBERS).alias("turns"))
     here = members.join(per.withColumnRenamed("a", "grp"), "grp").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
-        F.col("grp").alias("here"), F.col("part").alias("here_part"), F.col("set").alias("mine"))
-    sent = pairs.join(per, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).join(
-        members.withColumnRenamed("grp", "b"), "b").select(
-        F.col("a").alias("there"), F.col("part").alias("there_part"), "b", F.col("set").alias("theirs"))
+        "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select(
+        F.col("unit").alias("here"), F.col("grp").alias("here_grp"), F.col("turn").alias("here_turn"), "part", F.col("set").alias("mine"))
+    units = grouped.select("grp", "unit").distinct().withColumnRenamed("grp", "a")
+    sent = turned.drop("sets").join(per, "a").withColumn("turn", F.pmod(F.xxhash64("b"), F.col("turns"))).join(units, "a", "left").withColumn(
+        "unit", F.coalesce("unit", "a"))
+    sent = sent.join(members.select(F.col("grp").alias("b"), F.col("part").alias("their_part"), F.col("set").alias("theirs")), "b").select(
+        F.col("unit").alias("there"), F.col("a").alias("there_grp"), F.col("turn").alias("there_turn"), "b", "their_part", "theirs")
 
     def compare(left, right):
-        flat, cuts = _stack([_eight(s) for s in left["mine"]])
-        sizes, out = np.diff(cuts), set()
-        for b, data in zip(right["b"].tolist(), right["theirs"]):
-            if b not in out:
-                other = _eight(data)
-                if _similar(_common(other, flat, cuts), len(other), sizes, order.percent).any():
-                    out.add(b)
-        return pd.DataFrame({"u": np.full(len(out), left["here"].iloc[0] if len(left) else 0), "v": list(out)}, dtype="int64")
-
-    return here.groupBy("here", "here_part").cogroup(sent.groupBy("there", "there_part")).applyInPandas(
-        compare, "u long, v long")
+        mine, parts = [_eight(s) for s in left["mine"]], left["part"].to_numpy()
+        sizes, out = np.array([len(m) for m in mine]), []
+        for _, some in right.groupby("b"):
+            names = np.unique(np.concatenate([parts, some["their_part"].to_numpy()]))
+            label = np.arange(len(names))
+            ours = np.searchsorted(names, parts)
+            for theirs, data in zip(np.searchsorted(names, some["their_part"].to_numpy()).tolist(), some["theirs"]):
+                n = len(data) // 6
+                open_ = np.flatnonzero((label[ours] != label[theirs]) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes))
+                if not len(open_):
+                    continue
+                flat, cuts = _stack([mine[k] for k in open_.tolist()])
+                near = _similar(_common(_eight(data), flat, cuts), n, sizes[open_], percent)
+                for name in np.unique(ours[open_[near]]).tolist():
+                    out.append((names[name], names[theirs]))
+                    label[label == label[name]] = label[theirs]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    keys = ["here", "here_grp", "here_turn"], ["there", "there_grp", "there_turn"]
+    return here.groupBy(*keys[0]).cogroup(sent.groupBy(*keys[1])).applyInPandas(compare, "u long, v long")
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -362,8 +421,7 @@ def similar_groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFra
     table = settle(_sets(docs, size))
     sets = table.filter(F.col("set").isNotNull()).select("cls", "set")
     order = _order(table, percent)
-    heads = _first(sets, order).groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = settle(heads)
+    heads = settle(_first(sets).groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     bits = bitmap(heads, "head")
     crowded = heads.filter(F.col("n") > MEMBERS).orderBy(F.desc("n"), "head").limit(SPLIT).collect()
     large = {r["head"]: -(-r["n"] // MEMBERS) for r in crowded}
@@ -374,8 +432,8 @@ def similar_groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFra
     pairs = settle(_candidates(columns, order, tasks))
     links = settle(_links(pairs, grouped, sets, order, bits))
     roots = components(links)
-    moved = grouped.select("cls", "grp").join(roots.withColumnRenamed("node", "grp"), "grp", "left").select(
-        "cls", F.coalesce("root", "grp").alias("root"))
+    moved = grouped.select("cls", F.col("part").alias("node")).join(roots, "node", "left").select(
+        "cls", F.coalesce("root", "node").alias("root"))
     known = moved.unionByName(roots.select(F.col("node").alias("cls"), "root")).dropDuplicates(["cls"])
     per = table.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"))
     per = per.join(known, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
