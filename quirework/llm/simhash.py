@@ -67,19 +67,21 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     characters it needs.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("_h"))
-    narrow = base.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).alias("n"))
-    placed = settle(numbered(narrow, [F.col("doc_id").asc_nulls_first(), F.col("_h")]))
+    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("k1"),
+                       F.xxhash64("text", F.col("doc_id").isNull()).alias("k2"))
+    narrow = base.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).alias("n"))
+    placed = settle(numbered(narrow, [F.col("doc_id").asc_nulls_first(), F.col("k2")]))
     total = F.lit(placed.count())
-    before = placed.select(F.pmod(F.col("idx") + 1, total).alias("idx"), F.floor(F.col("n") / 4).alias("asked"))
-    plan = placed.join(before, "idx").select(F.col("doc_id").alias("_d"), F.col("_h").alias("__h"), "idx", "asked", "n", "copies")
-    one = base.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("__h"))).select(
-        "idx", "doc_id", "text", "asked", "n", "copies")
-    sent = one.select(F.pmod(F.col("idx") - 1 + total, total).alias("idx"), F.substring("text", 1, F.col("asked")).alias("tail"))
-    own = one.dropDuplicates(["idx"])
-    sent = sent.dropDuplicates(["idx"])
+    before = placed.select(F.pmod(F.col("idx") + 1, total).alias("idx"), F.floor(F.col("n") / 4).alias("asked"),
+                           F.col("k1").alias("to1"), F.col("k2").alias("to2"))
+    plan = settle(placed.join(before, "idx"))
+    one = base.select("k1", "k2", "text").join(plan, ["k1", "k2"])  # the same columns in both uses: one shuffle of the texts
+    # Rows that repeat id and text all stay here: they multiply votes and weights alike.
+    sent = one.select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.substring("text", 1, F.col("asked")).alias("tail"))
+    sent = sent.dropDuplicates(["k1", "k2"])
     head = F.substring("text", 1, F.col("n") - F.floor(F.col("n") / 4))
-    met = own.join(sent, "idx").withColumn("edited", F.concat(head, "tail"))
+    met = one.join(sent, ["k1", "k2"]).withColumn("edited", F.concat(head, "tail"))
     both = met.select("idx", "doc_id", "copies", F.col("n").cast("long").alias("n_chars"),
                       F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")),
                                         F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
