@@ -15,7 +15,13 @@ _DEFAULTS = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp":
 def _never_null(df, names):
     """``{name: column}`` that tells the rows of ``df`` apart as the named columns and ``_NULLS`` do, null for null."""
     kinds = dict(df.dtypes)
-    return {f"_key_{n}": F.coalesce(F.col(n), F.lit(_DEFAULTS.get(kinds[n], 0)).cast(kinds[n])) for n in names}
+
+    def plain(n):
+        if kinds[n].startswith(("struct", "array")):  # chunks of several columns, which are built and not null
+            return F.col(n)
+        return F.coalesce(F.col(n), F.lit(_DEFAULTS.get(kinds[n], 0)).cast(kinds[n]))
+
+    return {f"_key_{n}": plain(n) for n in names}
 
 
 def ordered_scan(
