@@ -1,11 +1,13 @@
 """Helpers of the operators: global order without one big task, connected components, bounded membership bitmaps."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirework.plans.settle import settle
+from quirework.plans.settle import settle, shared_dir
 
 #: Code points between words: space and the controls tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,6 +22,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its place, for ``discard``."""
+    path = f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str):
+    """Delete stored tables that no later plan reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ascii_lower(text) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirework.plans.settle import settle
 
-from .common import bitmap, components, maybe
+from .common import bitmap, components, discard, maybe, stored
 
 #: n-grams that the prefixes of two similar sets share at least.
 SHARED = 3
@@ -212,8 +212,8 @@ def _compared(rows: DataFrame, keys: list, order: "Order", unit: bool) -> DataFr
         columns = [None] * len(out)
         if unit:
             prefixes = [order.prefix(m) for m in members]
-            union = np.unique(np.concatenate(prefixes))
-            if 2 * len(union) > sum(map(len, prefixes)):
+            flat = np.concatenate(members)
+            if 2 * len(np.unique(flat)) > len(flat):
                 out["unit"] = out["part"]
             for name, places in out.groupby("unit").indices.items():
                 sizes = [len(members[k]) for k in places]
@@ -225,8 +225,9 @@ def _compared(rows: DataFrame, keys: list, order: "Order", unit: bool) -> DataFr
     return rows.groupBy(*keys).applyInPandas(run, "head long, unit long, cls long, part long, set binary, columns binary")
 
 
-def _grouped(sets: DataFrame, order: "Order", bits, large: dict) -> DataFrame:
-    """(grp, unit, cls, part, set, columns) of the classes that share their smallest hash."""
+def _grouped(sets: DataFrame, order: "Order", bits, large: dict) -> tuple[DataFrame, str]:
+    """(grp, unit, cls, part, set, columns) of the classes that share their smallest hash, and the stored table that
+    it reads."""
     def pick(batches):
         for batch in _slices(batches):
             heads = np.array([int(_eight(s.as_buffer()[:6])[0]) for s in batch.column(1)], np.int64)
@@ -238,7 +239,7 @@ def _grouped(sets: DataFrame, order: "Order", bits, large: dict) -> DataFrame:
                 ["head", "chunk", "cls", "set"])
 
     picked = sets.select("cls", "set").mapInArrow(pick, "head long, chunk long, cls long, set binary")
-    first = settle(_compared(picked, ["head", "chunk"], order, True))
+    first, first_at = stored(_compared(picked, ["head", "chunk"], order, True))
     named = first.filter(F.col("cls") == F.col("part"))
     many = named.groupBy("head").agg(F.count_distinct("unit").alias("units"), F.count(F.lit(1)).alias("n")).filter("units > 1")
     again = named.join(many, "head").withColumn("chunk", F.pmod(F.col("cls"), F.ceil(F.col("n") / PARTS)))
@@ -249,7 +250,7 @@ def _grouped(sets: DataFrame, order: "Order", bits, large: dict) -> DataFrame:
     units = parts.groupBy("unit").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
     group = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("unit"))
     labels = parts.join(units, "unit").select("cls", "part", group.alias("grp"))
-    return first.select("unit", "cls", "set", "columns").join(labels, "cls")
+    return first.select("unit", "cls", "set", "columns").join(labels, "cls"), first_at
 
 
 def _singles(sets: DataFrame, order: Order, bits) -> DataFrame:
@@ -418,19 +419,24 @@ def similar_groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFra
     component is the smallest id of those it is linked with, null if none has one.  Rows that repeat an id are separate
     documents.  An empty table gives no rows; other columns are ignored.
     """
-    table = settle(_sets(docs, size))
-    sets = table.filter(F.col("set").isNotNull()).select("cls", "set")
-    order = _order(table, percent)
+    whole, sets_at = stored(_sets(docs, size))
+    sets = whole.filter(F.col("set").isNotNull()).select("cls", "set")
+    order = _order(whole, percent)
     heads = settle(_first(sets).groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     bits = bitmap(heads, "head")
     crowded = heads.filter(F.col("n") > MEMBERS).orderBy(F.desc("n"), "head").limit(SPLIT).collect()
     large = {r["head"]: -(-r["n"] // MEMBERS) for r in crowded}
-    grouped = settle(_grouped(sets, order, bits, large))
+    joined, first_at = _grouped(sets, order, bits, large)
+    grouped, grouped_at = stored(joined)
+    discard(docs.sparkSession, first_at)
     columns = grouped.filter(F.col("columns").isNotNull()).select("grp", "columns").unionByName(_singles(sets, order, bits))
-    grams = table.filter(F.col("set").isNotNull()).agg(F.sum("n")).first()[0] or 0
+    grams = whole.filter(F.col("set").isNotNull()).agg(F.sum("n")).first()[0] or 0
     tasks = max(8, int(grams * (100 - percent) / 100 / TASK_ROWS))
     pairs = settle(_candidates(columns, order, tasks))
     links = settle(_links(pairs, grouped, sets, order, bits))
+    # Only the classes are needed from here on: the sets, by far the largest tables, make room.
+    table, grouped = settle(whole.select("doc_id", "n", "cls")), settle(grouped.select("cls", "part"))
+    discard(docs.sparkSession, sets_at, grouped_at)
     roots = components(links)
     moved = grouped.select("cls", F.col("part").alias("node")).join(roots, "node", "left").select(
         "cls", F.coalesce("root", "node").alias("root"))
