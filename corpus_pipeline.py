@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import mixing, ngram_join, packing, pii, quality
-from quirework.llm.common import read
+from quirework.llm.common import read, small_batches
 from quirework.plans.settle import shared_dir
 
 
@@ -24,6 +24,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.  Of rows with one id and text one
     stays; rows with a null id have nothing to be told apart by and all stay."""
+    small_batches(spark)
     groups = ngram_join.similar_groups(docs)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.withColumn("_text", F.xxhash64("text")).join(kept, "doc_id", "left_semi")
@@ -33,6 +34,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; ``n_chars`` follows."""
+    small_batches(spark)
     masked = pii.find_pii(docs, masked=True)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -45,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, spaced=False)
 
 

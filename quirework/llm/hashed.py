@@ -18,7 +18,8 @@ BUCKETS = 1 << 18
 #: Labelled rows that a model learns from at most, and buckets with a weight at most.  Both bound what is collected.
 TRAIN_ROWS, KEPT_TERMS = 16_384, 8_192
 #: Pieces whose buckets a worker keeps.
-_CACHED = 400_000
+_CACHED = 100_000
+_TABLES = {}
 _WORD = re.compile(r"\w+")
 _RUN = re.compile(r"(.)\1+")
 
@@ -91,9 +92,10 @@ def style(text, table) -> dict:
 
 
 def tables(kind):
-    """The caches that a feature function needs; one pair for each worker's task."""
-    words_ = Cached(word_terms)
-    return words_ if kind is presence else (words_, Cached(lambda p: bucket(f"shape:{shape(p)}")))
+    """The caches that a feature function needs; a worker keeps one of each."""
+    if not _TABLES:
+        _TABLES.update(words=Cached(word_terms), shapes=Cached(lambda p: bucket(f"shape:{shape(p)}")))
+    return _TABLES["words"] if kind is presence else (_TABLES["words"], _TABLES["shapes"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, grade: Column, rows: int = TRAIN_ROWS) -> DataFrame:

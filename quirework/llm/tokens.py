@@ -14,7 +14,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces whose ids a worker keeps (about 200 bytes each).
-KEPT = 1_000_000
+KEPT = 300_000
 _ENCODERS = {}
 #: Byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
