@@ -3,8 +3,8 @@
 1. Every text becomes its set of hashed n-grams; equal sets form a class, which is joined once.
 2. Classes with the same smallest hash (similar sets mostly have it in common) are dealt to units of bounded size and
    compared with each other inside; the parts that links hold together are compared once more across the units of
-   one hash.  A unit of one part belongs to the part's group; a unit of several parts is a group by itself, and so is a
-   class that shares its smallest hash with no other.
+   one hash.  A unit of one part belongs to the part's group; a unit of several parts is a group by itself, named apart
+   from all parts, and so is a class that shares its smallest hash with no other.
 3. The matrix holds, for every group, the union of its members' prefixes: of a set's n-grams in one global order, rare
    ones first, as many as two sets must share ``SHARED`` of when they are similar.  Groups that meet in fewer columns,
    or whose sizes are too far apart, cannot hold a similar pair; the others are candidates.
@@ -248,7 +248,8 @@ def _grouped(sets: DataFrame, order: "Order", bits, large: dict) -> tuple[DataFr
     parts = first.select("unit", "cls", "part").join(renamed, "part", "left").select(
         "unit", "cls", F.coalesce("whole", "part").alias("part"))
     units = parts.groupBy("unit").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
-    group = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("unit"))
+    # A unit is named by a class, as parts are: hashed with its kind, a unit of several parts never shares a part's group.
+    group = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.xxhash64(F.lit("unit"), "unit"))
     labels = parts.join(units, "unit").select("cls", "part", group.alias("grp"))
     return first.select("unit", "cls", "set", "columns").join(labels, "cls"), first_at
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -292,6 +293,22 @@ def test_ngram_join_small_units(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == plain_groups(rows)
 
 
+def test_ngram_join_group_names(spark, monkeypatch):
+    """A unit of two parts whose smallest class also names the part of another unit: the second unit's way to the other
+    part is compared too.  Sets are runs of numbers behind a common smallest one; shifts up to 9 link, from 11 on not."""
+    run = lambda at, n=100: np.concatenate([[1], np.arange(1000 + at, 1000 + at + n)]).astype(np.uint64)
+    sets = {10: run(0, 103), 12: run(1), 14: run(24), 16: run(25),  # even: first unit, two parts, the first named 10
+            11: run(8, 102), 13: run(9), 15: run(16), 17: run(15)}  # odd: second unit, one part named 11
+    pure = {k: set(v.tolist()) for k, v in sets.items()}
+    linked = lambda a, b: 10 * len(pure[a] & pure[b]) >= 8 * len(pure[a] | pure[b])
+    assert linked(10, 11) and linked(11, 15) and linked(15, 14) and not any(linked(a, b) for a in (10, 12, 11, 13) for b in (14, 16))
+    rows = [(k, len(v), k, ngram_join._six(v), None) for k, v in sets.items()]
+    given = spark.createDataFrame(rows, "doc_id long, n long, cls long, set binary, often array<struct<gram:bigint,n:bigint>>")
+    monkeypatch.setattr(ngram_join, "MEMBERS", 4)
+    monkeypatch.setattr(ngram_join, "_sets", lambda docs, size: docs)
+    assert {r["component_id"] for r in ngram_join.similar_groups(given).collect()} == {10}
+
+
 # -- fingerprints
 
 def plain_print(text):
