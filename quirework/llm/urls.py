@@ -13,8 +13,8 @@ from .common import ascii_lower
 #: Rules of the registered query: (verdict, host/path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
          ("block", "net/fr/"))
-#: Rows that the trees learn from at most, and suffixes and first path segments with statistics of their own.
-TRAIN_ROWS, LISTED = 20_000, 5_000
+#: Rows that the trees learn from at most.
+TRAIN_ROWS = 20_000
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params",
             "fragment", "suffix_rate", "suffix_log_n", "segment_rate"]
 
@@ -73,12 +73,11 @@ def lexical(pages: DataFrame) -> DataFrame:
     })
 
 
-def _rates(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked URLs and count of the LISTED most frequent keys; the others get the overall share."""
-    per = labelled.groupBy(key).agg(F.sum("label").alias("_bad"), F.count(F.lit(1)).alias("_n"))
-    top = per.orderBy(F.desc("_n"), key).limit(LISTED)
-    return top.select(F.col(key), ((F.col("_bad") + 1.0) / (F.col("_n") + 2.0)).alias(f"{key}_rate"),
-                      F.log1p("_n").alias(f"{key}_log_n"))
+def _rates(pages: DataFrame, key: str) -> DataFrame:
+    """Of every key: smoothed share of blocked URLs among its labelled ones (null without any), and count of all its URLs."""
+    per = pages.groupBy(key).agg(F.sum("label").alias("_bad"), F.count("label").alias("_known"), F.count(F.lit(1)).alias("_n"))
+    rate = F.when(F.col("_known") > 0, (F.col("_bad") + 1.0) / (F.col("_known") + 2.0))
+    return per.select(key, rate.alias(f"{key}_rate"), F.log1p("_n").alias(f"{key}_log_n"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
@@ -87,8 +86,8 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 12, depth: int = 4, seed:
     Where a rule fits, its verdict holds.  URLs with a rule are the labelled ones: boosted trees learn block or allow
     from their lexical features (length, depth, digit ratio, entropy, parameters and suffix statistics) on at most
     TRAIN_ROWS rows, picked by a hash of the URL, and judge the rest: block when the score is at least 0.5.  Statistics
-    count all labelled rows; those of at most LISTED suffixes are broadcast.  With no labelled row, or labels of one
-    kind, that kind (allow if none) is the verdict.  Null URL or no ``://``: host and path are empty, the model judges.
+    cover every suffix and first path segment: rates are of all labelled rows (the overall rate where a key has none),
+    suffix counts of all rows.  With no labelled row, or labels of one kind, that kind (allow if none) is the verdict.  Null URL or no ``://``: host and path are empty, the model judges.
     Repeated rows are judged alike, an empty table gives no rows, other columns are ignored.
     """
     host, path = host_path(F.col("url"))
@@ -96,11 +95,11 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 12, depth: int = 4, seed:
     ruled = base.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn(
         "label", (F.col("_rule.verdict") == "block").cast("double"))
     labelled = lexical(ruled.filter(F.col("label").isNotNull()))
-    suffixes, segments = (settle(_rates(labelled, k)) for k in ("suffix", "segment"))
+    suffixes, segments = settle(_rates(lexical(ruled), "suffix")), settle(_rates(labelled, "segment"))
     overall = labelled.agg(F.count(F.lit(1)), F.avg("label")).first()
 
     def featured(df):
-        met = df.join(F.broadcast(suffixes), "suffix", "left").join(F.broadcast(segments), "segment", "left")
+        met = df.join(suffixes, "suffix", "left").join(segments, "segment", "left")
         return met.fillna({"suffix_rate": overall[1] or 0.0, "segment_rate": overall[1] or 0.0, "suffix_log_n": 0.0})
 
     if overall[0] and 0 < overall[1] < 1:

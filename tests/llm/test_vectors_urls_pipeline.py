@@ -161,6 +161,25 @@ def test_url_trees_learn(spark):
     assert len(free) == 120 and sum((r["verdict"] == "block") == (r["page_id"] % 2 == 0) for r in free) >= 110
 
 
+def test_url_statistics_have_no_end(spark):
+    """6,000 first segments that alone tell block from allow: those of the tail are judged by their own rate, too."""
+    rows = []
+    for k in range(6000):
+        host = "abc.com" if k * 7919 % 2 ^ k // 3 % 2 else "cab.com"  # the same letters: no lexical feature tells
+        rows += [(k, f"http://{host}/{k:04d}/{n}") for n in range(4)] + [(k, f"http://bca.org/{k:04d}/4")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=(("block", "abc.com/"), ("allow", "cab.com/"))).collect()
+    bad = {r["page_id"] for r in got if r["rule"] == "abc.com/"}
+    tail = [r for r in got if r["rule"] is None and r["page_id"] >= 5000]
+    assert len(tail) == 1000 and sum((r["verdict"] == "block") == (r["page_id"] in bad) for r in tail) >= 950
+
+
+def test_url_suffix_counts_unlabelled(spark):
+    pages = spark.createDataFrame([("com", 1.0), ("com", 0.0), ("com", None), ("org", None), ("org", None)], "suffix string, label double")
+    got = {r["suffix"]: r for r in urls._rates(pages, "suffix").collect()}
+    assert got["com"]["suffix_rate"] == 0.5 and got["org"]["suffix_rate"] is None
+    assert got["com"]["suffix_log_n"] == pytest.approx(np.log(4)) and got["org"]["suffix_log_n"] == pytest.approx(np.log(3))
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input against a plain version of what it should keep, mask or take."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
