@@ -19,6 +19,8 @@ BUCKETS = 1 << 18
 TRAIN_ROWS, KEPT_TERMS = 16_384, 8_192
 #: Pieces whose buckets a worker keeps.
 _CACHED = 100_000
+#: Characters of a shape: longer pieces have a shape for each window of so many.
+WINDOW = 64
 _TABLES = {}
 _WORD = re.compile(r"\w+")
 _RUN = re.compile(r"(.)\1+")
@@ -42,7 +44,7 @@ def word_terms(piece: str) -> tuple:
 
 def shape(piece: str) -> str:
     """Kinds of characters with runs as one: ``THE!!`` is ``A!``, ``Word,`` is ``Aa,``."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in piece[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in piece)
     return _RUN.sub(r"\1", kinds)
 
 
@@ -71,7 +73,8 @@ def presence(text, table) -> dict:
 
 def style(text, table) -> dict:
     """{bucket: value}: the words, as in ``presence``, and how the text is written: root shares of word shapes, share of
-    words equal to the one before, of distinct words and of distinct lines in tenths, and length by doublings."""
+    words equal to the one before, of distinct words and of distinct lines in tenths, and length by doublings.  A piece of
+    more than WINDOW characters, as in text without spaces, counts as its consecutive windows in the shares of shapes."""
     text = text or ""
     words_, shapes = table
     pieces = text.split()
@@ -80,9 +83,11 @@ def style(text, table) -> dict:
     n = len(pieces)
     share = Counter()
     for piece, k in counts.items():
-        share[shapes[piece]] += k
+        for at in range(0, len(piece), WINDOW):
+            share[shapes[piece[at:at + WINDOW]]] += k
+    total = share.total()
     for b, k in share.items():
-        out[b] = (k / n) ** 0.5
+        out[b] = (k / total) ** 0.5
     same = sum(map(eq, pieces, pieces[1:]))
     lines = text.split("\n")
     for name, part in (("same", same / max(1, n)), ("distinct", len(counts) / max(1, n)), ("lines", len(set(lines)) / len(lines))):

@@ -386,6 +386,28 @@ def test_classifiers_held_out(spark):
     assert sum(p for p, y in hits if y) >= 0.97 * sum(y for _, y in hits) and sum(p == y for p, y in hits) >= 0.96 * len(hits)
 
 
+def test_quality_of_text_without_spaces(spark):
+    """Long texts without spaces that turn bad after their start are told from those that don't."""
+    import random
+
+    dice = random.Random(2)
+    clean = lambda n: "".join(dice.choice("天地玄黃宇宙洪荒日月盈昃辰宿列張") for _ in range(n))
+    rows = [(k, clean(100) + "%#" * 150 if k % 2 else clean(400)) for k in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, 1 - k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = [r for r in quality.score(texts, quality.train(texts, known)).collect() if r["held_out"]]
+    assert len(got) > 40 and sum(r["kept"] == (r["doc_id"] % 2 == 0) for r in got) >= 0.95 * len(got)
+
+
+def test_shapes_of_whole_pieces():
+    from quirework.llm import hashed
+
+    table = hashed.tables(hashed.style)
+    of = lambda text: {b: v for b, v in hashed.style(text, table).items() if v != 1.0}
+    a, junk = hashed.bucket("shape:a"), hashed.bucket("shape:#")
+    assert of("x" * 128 + "#" * 64) == {a: (2 / 3) ** 0.5, junk: (1 / 3) ** 0.5}
+
+
 def test_factorization_learns_pairs():
     """Terms that are harmless alone and toxic together: only the pairwise part can tell."""
     import numpy as np
