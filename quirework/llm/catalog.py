@@ -4,11 +4,13 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, ngram_join, packing, pii, quality, simhash, sql, token_codes, toxicity, urls
+from . import filter_audit, mixing, near_vectors, ngram_join, packing, pii, quality, simhash, sql, token_codes, toxicity, urls
+from . import whitening
 from .common import read
 
 QUERIES = {}
-ORACLE = {"op3_mixing": sql.MIXING, "op4_near_vectors": sql.NEAR_VECTORS, "op6_ngram_join": sql.NGRAM_JOIN}
+ORACLE = {"op3_mixing": sql.MIXING, "op4_near_vectors": sql.NEAR_VECTORS, "op6_ngram_join": sql.NGRAM_JOIN,
+          "op11_filter_audit": sql.FILTER_AUDIT}
 
 
 def query(fn):
@@ -74,6 +76,16 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, model).select("doc_id", "held_out", "expected_grade", "tail", "kept")
 
 
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.cells_of(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -63,3 +63,39 @@ r(node, other) as (select doc_id, doc_id from documents union select l.b, r.othe
 select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.other) as component_id
 from documents d join r on r.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """
+
+FILTER_AUDIT = r"""
+with recursive d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+f as (select text, min(doc_id) as first from d group by text),
+c as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+          100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text),
+          regexp_matches(d.text, '[#$%&*|]'), coalesce(d.doc_id > first, false)] as fails
+  from d join f on f.text = d.text left join l on l.doc_id = d.doc_id),
+m as (select part, good, toxic, fails, count(*) as n from c group by all),
+o(filter_order) as (select '' union all
+  select filter_order || x from o, (select unnest(['A', 'B', 'C', 'D', 'E']) as x) where not contains(filter_order, x)),
+s as (select filter_order, i::int as step, ascii(filter_order[i]) - 64 as letter,
+             [ascii(y) - 64 for y in string_split(filter_order[1:i - 1], '') if y <> ''] as earlier
+      from o, range(1, 6) r(i) where length(filter_order) = 5),
+a as (
+  select part, filter_order, step, letter, n, good, toxic, fails[letter] as here,
+         len([e for e in earlier if fails[e]]) > 0 as gone, len([b for b in fails if b]) = 1 as alone
+  from m, s),
+t as (
+  select part, filter_order, step, letter,
+         coalesce(sum(n) filter (not here and not gone), 0)::bigint as kept,
+         coalesce(sum(n) filter (here and not gone), 0)::bigint as removed,
+         coalesce(sum(n) filter (here and gone), 0)::bigint as redundant,
+         coalesce(sum(n) filter (here and alone), 0)::bigint as unique_fails,
+         coalesce(sum(n * good) filter (here and not gone), 0)::bigint as good_lost,
+         coalesce(sum(n * toxic) filter (here and not gone), 0)::bigint as toxic_lost
+  from a group by part, filter_order, step, letter)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) over (partition by part, letter)::bigint as shapley
+from t
+"""
