@@ -4,8 +4,8 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import filter_audit, mixing, near_vectors, ngram_join, packing, pii, quality, simhash, sql, token_codes, toxicity, urls
-from . import whitening
+from . import filter_audit, main_text, mixing, near_vectors, ngram_join, packing, pii, quality, simhash, sql, token_codes
+from . import toxicity, urls, whitening
 from .common import read
 
 QUERIES = {}
@@ -86,6 +86,11 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_main_text(spark, sf_dir):
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
