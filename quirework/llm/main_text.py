@@ -2,9 +2,10 @@
 
 1. A page is a stream of words, those of its blocks (``page_blocks``) one after the other, between ``PAD`` marks for
    its beginning and end: a menu that always comes first may be shorter than ``LONG`` words.
-2. A task concatenates the streams of a host's pages that it reads, builds the suffix array by doubling up to ``LONG``
-   words, and finds the strings of that length that a share of these pages have in common.  A string that this share of
-   *all* pages of the host have is so frequent in one part at least, so these candidates miss none.
+2. Pages are dealt out by ranges of hosts; a large host is cut into parts.  A task concatenates the streams of a part, builds
+   the suffix array by doubling up to ``LONG`` words, and finds the strings of that length that a share of its pages
+   have in common.  A string that this share of *all* pages of the host have is so frequent in one part at least, so
+   these candidates miss none.
 3. A second pass counts the pages of every candidate, over all parts.  Strings that enough pages share are boilerplate;
    longer repeated strings are runs of them.
 4. Covered words leave the text; the runs between them stay, in their blocks.
@@ -15,8 +16,6 @@ marks what a quarter of them share.  Pages that are copies of each other share e
 on twice as many pages as the strings of the page's longest block typically are on.
 """
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quirework.plans.settle import settle
 
-from .common import bitmap, maybe
+from .common import bitmap, maybe, partitions
 from .page_blocks import ARTICLE, FURNITURE, OPEN, blocks
 from .urls import host_path
 
@@ -113,26 +112,28 @@ def _parsed(batch: pa.RecordBatch):
         yield blocks(page.as_py() or ""), host.as_py()
 
 
-def _by_host(batches):
-    """Lists of the word streams of one host's pages: a task's pages, in parts of about PART_WORDS words."""
-    held, size = defaultdict(list), 0
+def _parts(batches):
+    """(host, streams, whole) of pages that come sorted by host, in parts of about PART_WORDS words.  The first and the last
+    part of a task may have more of their host elsewhere; the others are ``whole`` unless they were cut for their size."""
+    host, streams, size, cut = None, [], 0, True
     for batch in batches:
-        for found, host in _parsed(batch):
-            stream = _stream(found, host)
-            held[host].append(stream)
-            size += len(stream)
-            if size >= PART_WORDS:
-                yield from held.items()
-                held, size = defaultdict(list), 0
-    yield from held.items()
+        for found, name in _parsed(batch):
+            if streams and (name != host or size >= PART_WORDS):
+                yield host, streams, name != host and not cut
+                cut, streams, size = name == host, [], 0
+            host = name
+            streams.append(_stream(found, host))
+            size += len(streams[-1])
+    if streams:
+        yield host, streams, False
 
 
 _COUNTS = "host string, string long, pages long"
 
 
-def _counts(host, strings, pages):
+def _counts(hosts, strings, pages):
     return pa.RecordBatch.from_arrays([
-        pa.array([host] * len(strings), pa.string()), pa.array(strings, pa.int64()), pa.array(pages, pa.int64())],
+        pa.array(hosts, pa.string()), pa.array(strings, pa.int64()), pa.array(pages, pa.int64())],
         ["host", "string", "pages"])
 
 
@@ -142,22 +143,30 @@ def boilerplate(pages: DataFrame, share: float = SHARE) -> DataFrame:
     spark, pages = pages.sparkSession, pages.select("host", "html")
 
     def candidates(batches):
-        for host, streams in _by_host(batches):
-            yield _counts(host, [None], [len(streams)])
+        for host, streams, whole in _parts(batches):
+            yield _counts([host], [None], [len(streams)])
             strings, counts = shared_strings(streams, share)
-            yield _counts(host, strings, counts)
-
-    local = settle(pages.mapInArrow(candidates, _COUNTS))
+            if whole:
+                strings, counts = strings[counts >= 2], counts[counts >= 2]
+            yield _counts([host] * len(strings), strings, counts)
+
+    # Rows of a host are told apart by their number, so that no host is too large for a range.
+    by = [F.col("host"), F.monotonically_increasing_id()]
+    ranged = pages.repartitionByRange(partitions(spark), *by).sortWithinPartitions("host")
+    local = settle(ranged.mapInArrow(candidates, _COUNTS))
     totals = local.filter("string is null").groupBy("host").agg(F.sum("pages").alias("total"))
     wanted = settle(local.filter("string is not null").select("host", "string").distinct().join(totals, "host"))
     some = bitmap(wanted, "string")
 
     def counted(batches):
-        for host, streams in _by_host(batches):
-            seen = [np.unique(string_hashes(s, LONG)) for s in streams]
-            strings, counts = np.unique(np.concatenate(seen), return_counts=True)
-            keep = maybe(some, strings)
-            yield _counts(host, strings[keep], counts[keep])
+        for batch in batches:
+            hosts, met = [], [np.zeros(0, np.int64)]
+            for found, host in _parsed(batch):
+                strings = np.unique(string_hashes(_stream(found, host), LONG))
+                met.append(strings[maybe(some, strings)])
+                hosts += [host] * len(met[-1])
+            met = np.concatenate(met)
+            yield _counts(hosts, met, np.ones(len(met), np.int64))
 
     exact = pages.mapInArrow(counted, _COUNTS).groupBy("host", "string").agg(F.sum("pages").alias("pages"))
     return exact.join(wanted, ["host", "string"]).filter((F.col("pages") >= 2) & (F.col("pages") >= F.col("total") * share))
