@@ -80,10 +80,11 @@ def folded_changes(changes: DataFrame, fields: list[str], keys=("doc_id", "ann_i
     return folded.select(*keys, F.col("_reset.op").alias("base_op"), *[live(f).alias(f) for f in fields])
 
 
-def apply_changes(annotations: DataFrame, changes: DataFrame, fields: list[str], keys=("doc_id", "ann_id")) -> DataFrame:
+def apply_changes(annotations: DataFrame, changes: DataFrame, fields: list[str], keys=("doc_id", "ann_id"),
+                  order=("ts", "event_id")) -> DataFrame:
     """Annotation table after a batch of changes; an update of a missing annotation does nothing."""
     keys = list(keys)
-    net = folded_changes(changes, fields, keys).select(
+    net = folded_changes(changes, fields, keys, order).select(
         *keys, F.col("base_op").alias("_op"), F.lit(True).alias("_net"), *[F.col(f).alias(f"_n_{f}") for f in fields])
     old = annotations.withColumn("_old", F.lit(True))
     j = old.join(net, keys, "full_outer")

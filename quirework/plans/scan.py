@@ -8,6 +8,8 @@ came before each chunk from a small table with one row per chunk.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 _CHUNK, _NULLS = "_chunk", "_nulls"
 _DEFAULTS = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
 
@@ -101,6 +103,17 @@ def ordered_scan(
     return scanned.join(offsets, [*plain, _NULLS]).select(*[F.col(c) for c in df.columns], *fixed)
 
 
+def range_chunks(df: DataFrame, keys: list[str], order: list[Column], name: str = "chunk") -> DataFrame:
+    """``df`` with a chunk number for ``ordered_scan``: ranges of (keys, order) of about equal numbers of rows.
+
+    For orders without a natural cut, such as times that may all lie in one moment.  The ranges are written once, so that a row
+    keeps its chunk when a task is run again.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return settle(ranged.withColumn(name, F.spark_partition_id().cast("long")))
+
+
 def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """Split ``df`` into rows of ordinary keys and rows of keys with more than ``limit`` rows.
 

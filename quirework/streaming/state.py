@@ -49,10 +49,13 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFram
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_to_end(stream: DataFrame, mode="append") -> DataFrame:
-    """Run a stream over what is there now and return what it wrote, with the batch number as ``_batch``."""
+def run_to_end(stream: DataFrame, mode="append", base=None) -> DataFrame:
+    """Run a stream over what is there now and return what it wrote, with the batch number as ``_batch``.
+
+    ``base`` is the stream's folder: a later run with the same one goes on from its checkpoint, and returns the output of all runs.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -62,3 +65,26 @@ def run_to_end(stream: DataFrame, mode="append") -> DataFrame:
         availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out/*")
+
+
+def keep_state_on_disk(spark: SparkSession):
+    """State with timers and maps needs this provider; sessions of ``quirework.session`` have it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_in_batches(table: DataFrame, transform, mode="append", batches=3) -> DataFrame:
+    """Deliver a table with a time ``ts`` to a stream in several batches, in the order of time, and return what ``transform`` of
+    the stream wrote.  The stream is stopped after every batch and started again from its checkpoint."""
+    spark = table.sparkSession
+    keep_state_on_disk(spark)
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    micros = F.unix_micros("ts")
+    cuts = table.select(F.percentile_approx(micros, [k / batches for k in range(1, batches)])).first()[0] or []
+    number = sum((F.when(micros >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    out = None
+    for k in range(batches):
+        table.filter(F.coalesce(number, F.lit(0)) == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(table.schema).parquet(f"{base}/in")
+        out = run_to_end(transform(stream), mode, base)
+    return out

@@ -2,27 +2,28 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..plans.scan import ordered_scan
+from ..plans.keys import key_back, key_text
+from ..plans.scan import ordered_scan, range_chunks
+from ..plans.settle import settle
 
 # Fixed values in milliseconds: search input, drawing, live selection, notifications.
 SEARCH_DEBOUNCE, DRAW_GAP, EXTRACT_GAP, NOTIFICATION_LIFE = 300, 5, 16, 3000
-
-
-def _hour(ts="ts"):
-    return F.floor(F.unix_micros(ts) / 3_600_000_000)
+BLOCK_ROWS = 50_000
 
 
 def debounce_batch(events: DataFrame, key: str, millis=SEARCH_DEBOUNCE, id_col="event_id") -> DataFrame:
     """Last event of every burst: the next one of its key comes no earlier than ``millis`` later."""
+    at = [F.col("ts"), F.col(id_col)]
     scanned = ordered_scan(
-        events, [key], _hour(), [F.col("ts"), F.col(id_col)], leads={"_next": F.unix_micros("ts")})
+        range_chunks(events, [key], at, "_range"), [key], F.col("_range"), at, leads={"_next": F.unix_micros("ts")})
     quiet = F.col("_next").isNull() | (F.col("_next") - F.unix_micros("ts") >= millis * 1000)
-    return scanned.filter(quiet).drop("_next")
+    return scanned.filter(quiet).select(events.columns)
 
 
 def debounce_stream(events: DataFrame, key: str, millis=SEARCH_DEBOUNCE, late="10 seconds", id_col="event_id") -> DataFrame:
@@ -34,63 +35,139 @@ def debounce_stream(events: DataFrame, key: str, millis=SEARCH_DEBOUNCE, late="1
     return sessions.select(key, *[F.col(f"_e.{c}") for c in rest])
 
 
-def throttle_batch(events: DataFrame, key: str, millis=DRAW_GAP, id_col="event_id") -> DataFrame:
-    """Events at least ``millis`` after the last one let through.
+def _chains(us: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(next, last) of each event of a block: the first one at least ``gap`` later (the block's length if there is none), and
+    the last one of the chain of such steps, found by doubling the steps."""
+    count = len(us)
+    after = np.searchsorted(us, us + gap, "left")
+    last = np.where(after < count, after, np.arange(count))
+    for _ in range(count.bit_length()):
+        last = last[last]
+    return after, last
+
+
+def throttle_batch(events: DataFrame, key: str, millis=DRAW_GAP, id_col="event_id", block_rows=BLOCK_ROWS) -> DataFrame:
+    """Events at least ``millis`` after the last one let through, beginning with the first of their key.
+
+    An event let through leads to the next one: the first that is ``millis`` later.  So the events let through are a
+    chain from the first one, and it is followed in parallel:
 
-    After a pause of ``millis`` an event passes whatever came before, so the log falls apart into runs at its
-    pauses; only within a run the decision is sequential, and there it streams through sorted partitions.
+    1. A key's events are cut into blocks of ``block_rows``.  A block tells how chains leave it: the times from which they go on.
+    2. For these times the first event at or after is looked up, by one scan over times and events.  Events so found are
+       the places where a chain can enter a block; most chains have met by then, so there are few.
+    3. Leaps from entry to entry are doubled until they span all blocks, which marks the entries on the key's chain.
+    4. Each block follows the chain from its marked entry.
+
+    A null key is a key of its own; events without a time are not let through.
     """
-    micros = F.unix_micros("ts")
+    if millis <= 0:
+        return events.filter(F.col("ts").isNotNull())
+    gap = int(millis * 1000)
     at = [F.col("ts"), F.col(id_col)]
-    gaps = ordered_scan(events, [key], _hour(), at, lags={"_prev": micros})
-    fresh = F.when(F.col("_prev").isNull() | (micros - F.col("_prev") >= millis * 1000), 1).otherwise(0)
-    runs = ordered_scan(gaps.withColumn("_new", fresh), [key], _hour(), at, sums={"_run": F.col("_new")})
-    runs = runs.withColumn("_run", (F.col("_run") + F.col("_new")).cast("long")).withColumn("_us", micros)
-    columns = events.columns
-
-    def passed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, last = None, None
-        for pdf in frames:
-            keep = []
-            for k, run, us in zip(pdf[key], pdf["_run"], pdf["_us"]):
-                ok = (k, run) != where or us - last >= millis * 1000
-                if ok:
-                    where, last = (k, run), us
-                keep.append(ok)
-            yield pdf.loc[keep, columns]
-
-    ordered = runs.select(*columns, "_run", "_us").repartition(key, "_run").sortWithinPartitions(key, "_run", "_us", id_col)
-    return ordered.mapInPandas(passed, events.schema)
+    timed = events.filter(F.col("ts").isNotNull()).withColumns({"_key": key_text(key), "_us": F.unix_micros("ts")})
+    ranked = ordered_scan(range_chunks(timed, ["_key"], at, "_range"), ["_key"], F.col("_range"), at, rank="_i")
+    ranked = settle(ranked.withColumn("_block", F.floor(F.col("_i") / block_rows)))
+    slim = ranked.select("_key", "_block", "_i", "_us")
+
+    def leave(key, pdf):
+        us = np.sort(pdf["_us"].to_numpy())
+        return pd.DataFrame({"_key": key[0], "_until": np.unique(us[np.unique(_chains(us, gap)[1])] + gap)})
+
+    until = slim.groupBy("_key", "_block").applyInPandas(leave, "_key string, _until long").distinct()
+    both = slim.select("_key", F.col("_us").alias("_at"), F.lit(1).alias("_event")).unionByName(
+        until.select("_key", F.col("_until").alias("_at"), F.lit(0).alias("_event")))
+    seek = [F.col("_at"), F.col("_event")]
+    found = ordered_scan(range_chunks(both, ["_key"], seek, "_range"), ["_key"], F.col("_range"), seek,
+                         sums={"_to": F.col("_event")})
+    found = settle(found.filter("_event = 0").select("_key", F.col("_at").alias("_until"), F.col("_to").cast("long")))
+    heads = slim.filter("_i = 0").select("_key", "_i")
+    entries = found.select("_key", F.col("_to").alias("_i")).union(heads).distinct().withColumn(
+        "_block", F.floor(F.col("_i") / block_rows))
+
+    def cross(key, block, starts):
+        block = block.sort_values("_i")
+        us, first = block["_us"].to_numpy(), int(block["_i"].iloc[0]) if len(block) else 0
+        inside = starts["_i"].to_numpy() - first
+        inside = inside[(inside >= 0) & (inside < len(us))]
+        ends = us[_chains(us, gap)[1][inside]] + gap if len(inside) else np.zeros(0, np.int64)
+        return pd.DataFrame({"_key": key[0], "_i": inside + first, "_until": ends})
+
+    group = ["_key", "_block"]
+    leaps = slim.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(cross, "_key string, _i long, _until long")
+    leaps = leaps.join(found, ["_key", "_until"]).select("_key", "_i", "_to")
+    blocks = (slim.agg(F.max("_block")).first()[0] or 0) + 1
+    reached = heads
+    for _ in range((blocks - 1).bit_length()):  # a leap goes to a later block at least
+        leaps = settle(leaps)
+        gone = reached.join(leaps, ["_key", "_i"]).select("_key", F.col("_to").alias("_i"))
+        reached = settle(reached.union(gone).distinct())
+        leaps = leaps.join(leaps.select("_key", F.col("_i").alias("_to"), F.col("_to").alias("_far")), ["_key", "_to"]).select(
+            "_key", "_i", F.col("_far").alias("_to"))
+    reached = reached.withColumn("_block", F.floor(F.col("_i") / block_rows))
+
+    def follow(key, block, starts):
+        block = block.sort_values("_i")
+        us = block["_us"].to_numpy()
+        passed = []
+        if len(us) and len(starts):
+            first = int(block["_i"].iloc[0])
+            after, place = _chains(us, gap)[0], int(starts["_i"].min()) - first
+            while place < len(us):
+                passed.append(place + first)
+                place = int(after[place])
+        return pd.DataFrame({"_key": key[0], "_i": np.array(passed, np.int64)})
+
+    passed = slim.groupBy(*group).cogroup(reached.groupBy(*group)).applyInPandas(follow, "_key string, _i long")
+    return ranked.join(passed, ["_key", "_i"], "left_semi").select(events.columns)
 
 
 class ThrottleProcessor(StatefulProcessor):
-    """Time of the last event let through, per key."""
+    """Time of the last event let through, per key; forgotten once the watermark is past the gap after it."""
 
     def __init__(self, micros, id_col):
         self.micros, self.id_col = micros, id_col
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "us BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", self.id_col])
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["us_", self.id_col])
+        us = pdf["us_"].to_numpy()
         last = self.last.get()[0] if self.last.exists() else None
+        at = 0 if last is None else int(np.searchsorted(us, last + self.micros, "left"))
         keep = []
-        for us in pdf["ts"].astype("datetime64[us]").astype("int64"):
-            ok = last is None or us - last >= self.micros
-            last = int(us) if ok else last
-            keep.append(ok)
-        self.last.update((last,))
-        yield pdf[keep]
+        while at < len(us):
+            keep.append(at)
+            last = int(us[at])
+            at = max(at + 1, int(np.searchsorted(us, last + self.micros, "left")))
+        if keep:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.micros) // 1000 + 1)
+            self.last.update((last,))
+        yield pdf.iloc[keep].drop(columns="us_")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def throttle_stream(events: DataFrame, key: str, millis=DRAW_GAP, id_col="event_id") -> DataFrame:
-    return events.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=ThrottleProcessor(millis * 1000, id_col), outputStructType=events.schema,
-        outputMode="Append", timeMode="None")
+def throttle_stream(events: DataFrame, key: str, millis=DRAW_GAP, id_col="event_id", late="10 seconds") -> DataFrame:
+    """The same on a stream; a key's events must arrive in order, those behind the watermark are dropped."""
+    kind = events.schema[key].dataType
+    named = events.withWatermark("ts", late).withColumn(key, key_text(key)).withColumn("us_", F.unix_micros("ts"))
+    schema = named.drop("us_").schema
+    passed = named.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=ThrottleProcessor(millis * 1000, id_col), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime")
+    return passed.withColumn(key, key_back(key, kind)).select(events.columns)
 
 
 def live_at(events: DataFrame, as_of, millis=NOTIFICATION_LIFE) -> DataFrame:
@@ -100,30 +177,34 @@ def live_at(events: DataFrame, as_of, millis=NOTIFICATION_LIFE) -> DataFrame:
 
 
 class ExpiryProcessor(StatefulProcessor):
-    """Announces each notification and, by an event-time timer, its end."""
+    """Announces each notification and, by an event-time timer, its end.  State is kept by time of expiry, so a timer
+    reads what ends then and nothing else."""
 
     def __init__(self, millis):
         self.millis = millis
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.due = handle.getMapState("due", "event_id BIGINT", "until_ms BIGINT")
+        self.due = handle.getMapState("due", "until_ms BIGINT", "events ARRAY<BIGINT>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in pd.concat(list(rows)).itertuples():
-            until = int(row.us) // 1000 + self.millis
-            self.due.updateValue((int(row.event_id),), (until,))
-            self.handle.registerTimer(until)
-            out.append((key[0], int(row.event_id), "shown"))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "state"])
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            until = pdf["us"].to_numpy() // 1000 + self.millis
+            for at, events in pdf["event_id"].groupby(until):
+                at = int(at)
+                old = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
+                self.due.updateValue((at,), (old + [int(e) for e in events],))
+                self.handle.registerTimer(at)
+            yield pd.DataFrame({"user": key[0], "event_id": pdf["event_id"].to_numpy(), "state": "shown"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        gone = [k[0] for k, v in self.due.iterator() if v[0] <= now]
-        for e in gone:
-            self.due.removeKey((e,))
-        yield pd.DataFrame([(key[0], e, "expired") for e in gone], columns=["user_id", "event_id", "state"])
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.due.containsKey((at,)):
+            gone = list(self.due.getValue((at,))[0])
+            self.due.removeKey((at,))
+            yield pd.DataFrame({"user": key[0], "event_id": gone, "state": "expired"})
 
     def close(self) -> None:
         pass
@@ -131,7 +212,9 @@ class ExpiryProcessor(StatefulProcessor):
 
 def expire(events: DataFrame, millis=NOTIFICATION_LIFE, late="1 second") -> DataFrame:
     """``shown`` and ``expired`` rows of a stream of ``user_id, event_id, ts``."""
-    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=ExpiryProcessor(millis), outputStructType="user_id BIGINT, event_id BIGINT, state STRING",
+    timed = events.withWatermark("ts", late).select(
+        key_text("user_id").alias("user"), "event_id", F.unix_micros("ts").alias("us"), "ts")
+    out = timed.groupBy("user").transformWithStateInPandas(
+        statefulProcessor=ExpiryProcessor(millis), outputStructType="user STRING, event_id BIGINT, state STRING",
         outputMode="Append", timeMode="EventTime")
+    return out.select(key_back("user", events.schema["user_id"].dataType).alias("user_id"), "event_id", "state")

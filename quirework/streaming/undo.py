@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..plans.scan import ordered_scan
+from ..plans.keys import key_back, key_text
+from ..plans.scan import ordered_scan, range_chunks
 
 # Fixed value.
 HISTORY_LIMIT = 50
 BLOCK_ROWS = 20_000
 RESULT = (
-    "doc_id BIGINT, cursor INT, history_length INT, undo_event BIGINT, redo_event BIGINT, pushes BIGINT, "
+    "doc_id STRING, cursor INT, history_length INT, undo_event BIGINT, redo_event BIGINT, pushes BIGINT, "
     "history ARRAY<BIGINT>"
 )
 
@@ -44,6 +45,11 @@ def _result(doc_id, history, cursor, pushes):
     }
 
 
+def _with_keys(result: DataFrame, events: DataFrame) -> DataFrame:
+    """In Python a document goes by its key's text, as null is a document of its own and large ids must not change."""
+    return result.withColumn("doc_id", key_back("doc_id", events.schema["doc_id"].dataType))
+
+
 # -- batch ---------------------------------------------------------------------------------------------------
 #
 # A document's log is cut into blocks of BLOCK_ROWS events.  The effect of a block on any state it may start from
@@ -101,7 +107,7 @@ def _pack(moves, lanes, ids, limit):
             np.where(old, -flat, 0).tolist())
 
 
-_BLOCK = "doc_id BIGINT, block BIGINT, pushes BIGINT, runs ARRAY<INT>, cursors ARRAY<INT>, lengths ARRAY<INT>, entries ARRAY<BIGINT>, places ARRAY<BIGINT>"
+_BLOCK = "doc_id STRING, block BIGINT, pushes BIGINT, runs ARRAY<INT>, cursors ARRAY<INT>, lengths ARRAY<INT>, entries ARRAY<BIGINT>, places ARRAY<BIGINT>"
 
 
 def _fold(key: tuple, pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
@@ -148,13 +154,13 @@ def undo_redo_batch(events: DataFrame, block_rows=BLOCK_ROWS, limit=HISTORY_LIMI
 
     A task holds one block of events, or streams through block tables; a log of any length is spread.
     """
-    seconds = F.unix_micros("ts") / 1_000_000
-    ranked = ordered_scan(
-        events.select("doc_id", "ts", "event_id", "op"), ["doc_id"], F.floor(seconds / 3600),
-        [F.col("ts"), F.col("event_id")], rank="_i")
+    at = [F.col("ts"), F.col("event_id")]
+    named = events.select(key_text("doc_id").alias("doc_id"), "ts", "event_id", "op")
+    ranked = ordered_scan(range_chunks(named, ["doc_id"], at, "_range"), ["doc_id"], F.col("_range"), at, rank="_i")
     blocks = ranked.withColumn("block", F.floor(F.col("_i") / block_rows))
     folded = blocks.groupBy("doc_id", "block").applyInPandas(lambda key, pdf: _fold(key, pdf, limit), _BLOCK)
-    return folded.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInPandas(_chain, RESULT)
+    chained = folded.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInPandas(_chain, RESULT)
+    return _with_keys(chained, events)
 
 
 # -- stream --------------------------------------------------------------------------------------------------
@@ -190,6 +196,8 @@ def undo_redo_stream(events: DataFrame, late="10 minutes", deduplicate=True, lim
     """
     if deduplicate:
         events = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return events.groupBy("doc_id").transformWithStateInPandas(
+    named = events.withColumn("doc_id", key_text("doc_id"))
+    folded = named.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=UndoProcessor(limit), outputStructType=RESULT, outputMode="Update", timeMode="None")
+    return _with_keys(folded, events)
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quirework.streaming import state, timing, undo
+from quirework.streaming import restore, state, timing, undo
 
 START = datetime(2024, 1, 1)
 
@@ -111,3 +111,141 @@ def test_recents_over_batches(spark, tmp_path):
     write(second, 1)
     write(second, 1)
     assert [r.path for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).orderBy(F.desc("last_opened")).collect()] == ["a", "c"]
+
+
+BIG = (1 << 60) + 1
+
+
+def test_null_and_large_documents(spark):
+    """A null document is one document; a large id beside it stays as it is, in the table and in the stream."""
+    events = log(400, [None, BIG, None, 3])
+    df = spark.createDataFrame(events, SCHEMA).repartition(3)
+    for block in (31, 100000):
+        assert got(undo.undo_redo_batch(df, block)) == fold(events)
+    out = state.run_in_batches(df, undo.undo_redo_stream, "update")
+    cols = [c for c in out.columns if c not in ("doc_id", "_batch")]
+    last = out.groupBy("doc_id").agg(F.max_by(F.struct(*cols), "_batch").alias("r")).select("doc_id", "r.*")
+    assert got(last) == fold(events)
+
+
+def test_null_and_large_users_in_throttle(spark):
+    events = [(i, START + timedelta(milliseconds=2 * i), None if i % 2 else BIG, "x") for i in range(12)]
+    df = spark.createDataFrame(events, SCHEMA)
+    # A user's events are 4 ms apart, so every second one passes.
+    want = {(u, i) for i, _, u, _ in events if (i // 2) % 2 == 0}
+    assert {(r.doc_id, r.event_id) for r in timing.throttle_batch(df, "doc_id", 5).collect()} == want
+    out = state.run_in_batches(df, lambda s: timing.throttle_stream(s, "doc_id", 5))
+    assert {(r.doc_id, r.event_id) for r in out.collect()} == want
+
+
+def throttled(events, millis):
+    want, last = set(), {}
+    for i, ts, doc, _ in sorted((e for e in events if e[1] is not None), key=lambda e: (e[1], e[0])):
+        if doc not in last or ts - last[doc] >= timedelta(milliseconds=millis):
+            want.add(i)
+            last[doc] = ts
+    return want
+
+
+def test_throttle_follows_chains_over_blocks(spark):
+    rng = random.Random(7)
+    events, at = [], {1: 0, 2: 0, None: 0}
+    for i in range(3000):
+        doc = rng.choice([1, 1, 1, 2, None])
+        at[doc] += rng.choice([0, 0, 1, 2, 3, 4, 40]) if doc != 2 else 1
+        events.append((i, START + timedelta(milliseconds=at[doc]), doc, "x"))
+    events.append((9999, None, 1, "x"))
+    df = spark.createDataFrame(events, SCHEMA).repartition(4)
+    for millis, block in ((5, 10), (5, 333), (17, 7), (900, 50), (5, 100000)):
+        assert {r.event_id for r in timing.throttle_batch(df, "doc_id", millis, block_rows=block).collect()} == throttled(events, millis)
+    assert timing.throttle_batch(df.limit(0), "doc_id", 5).count() == 0
+    assert timing.throttle_batch(df, "doc_id", 0).count() == 3000
+
+
+def test_throttle_spreads_one_long_run(spark):
+    """One key whose events all lie within the gap of their neighbours: no task gets more than a block of them."""
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 1000).alias("ts"), F.lit(1).alias("k"))
+    out = timing.throttle_batch(df, "k", 5, block_rows=10_000)
+    assert out.agg(F.count("*"), F.max("event_id")).first() == (n // 5, n - 5)
+
+
+def restored(events, changes, base, limit=50):
+    """Snapshots of the whole store, put back and forth."""
+    docs = {}
+    for (doc, ann), value in base.items():
+        docs.setdefault(doc, [{}, [], 0, None])[0][ann] = dict(value)
+    for i, _, doc, op, before, after in events:
+        store, past, cursor, page = docs.setdefault(doc, [{}, [], 0, None])
+        if op == "undo":
+            if cursor:
+                cursor -= 1
+                old, _, pages = past[cursor]
+                store, page = dict(old), page if pages == (None, None) else pages[0] or 0
+        elif op == "redo":
+            if cursor < len(past):
+                _, new, pages = past[cursor]
+                cursor += 1
+                store, page = dict(new), page if pages == (None, None) else pages[1] or 0
+        else:
+            new = dict(store)
+            for ann, kind, v, note in changes.get(i, []):
+                if kind == "add":
+                    new[ann] = {"v": v, "note": note}
+                elif kind == "update" and ann in new:
+                    new[ann] = {"v": new[ann]["v"] if v is None else v, "note": new[ann]["note"] if note is None else note}
+                elif kind == "remove":
+                    new.pop(ann, None)
+            past = (past[:cursor] + [(store, new, (before, after))])[-limit:]
+            store, cursor = new, len(past)
+            page = page if (before, after) == (None, None) else after or 0
+        docs[doc] = [store, past, cursor, page]
+    rows = {(d, a, x["v"], x["note"]) for d, s in docs.items() for a, x in s[0].items()}
+    return rows, {(d, s[3]) for d, s in docs.items() if s[3] is not None}
+
+
+def edits(n, docs, seed):
+    rng = random.Random(seed)
+    events, changes = [], {}
+    for i in range(n):
+        op = rng.choice(["push"] * 5 + ["undo"] * 4 + ["redo"] * 2 + [None] * (i % 50 == 0))
+        paged = op not in ("undo", "redo") and rng.random() < 0.2
+        pages = (rng.choice([None, 1, 2]), rng.choice([3, 4])) if paged else (None, None)
+        events.append((i, START + timedelta(seconds=i // 2), rng.choice(docs), op, *pages))
+        if op not in ("undo", "redo"):
+            changes[i] = [(rng.randrange(8), rng.choice(["add", "update", "update", "remove"]), rng.choice([None, 0.5, float(i)]),
+                           rng.choice([None, f"n{i}"])) for _ in range(rng.choice([0, 1, 1, 3]))]
+    return events, changes
+
+
+def test_restored_annotations_and_page(spark):
+    docs = [1, 1, 1, 1, None, BIG]
+    events, changes = edits(900, docs, 5)
+    where = {e[0]: e[2] for e in events}
+    base = {(d, a): {"v": -1.0, "note": "old"} for d in set(docs) for a in (0, 3, 5)}
+    table = spark.createDataFrame([(d, a, v["v"], v["note"], "kept") for (d, a), v in base.items()], "doc_id long, ann_id long, v double, note string, other string")
+    df = spark.createDataFrame(events, SCHEMA + ", page_before int, page_after int").repartition(4)
+    flat = spark.createDataFrame([(where[i], i, k, *c) for i, cs in changes.items() for k, c in enumerate(cs)],
+                                 "doc_id long, event_id long, change_no int, ann_id long, op string, v double, note string")
+    for block, limit in ((23, 50), (100000, 50), (11, 4)):
+        want, pages = restored(events, changes, base, limit)
+        out = restore.annotations_after(df, flat, table, ["v", "note"], block_rows=block, limit=limit)
+        assert {(r.doc_id, r.ann_id, r.v, r.note) for r in out.collect()} == want
+        assert {tuple(r) for r in restore.page_after(df, block_rows=block, limit=limit).collect()} == pages
+    # Nothing logged: the table as it was, and no page.
+    none = df.limit(0)
+    assert restore.annotations_after(none, flat, table, ["v", "note"]).exceptAll(table).count() == 0
+    assert restore.page_after(none).count() == 0
+
+
+def test_restored_from_a_stream(spark):
+    events, changes = edits(300, [1, None, BIG], 9)
+    kind = SCHEMA + ", page_before int, page_after int, changes array<struct<ann_id: long, op: string, v: double, note: string>>"
+    df = spark.createDataFrame([(*e, changes.get(e[0])) for e in events], kind)
+    out = state.run_in_batches(df, lambda s: restore.restore_stream(s, "v double, note string", limit=6), "update", batches=4)
+    want, pages = restored(events, changes, {}, 6)
+    anns = out.filter("of_annotation").groupBy("doc_id", "ann_id").agg(F.max_by(F.struct("present", "v", "note"), "_batch").alias("r"))
+    assert {(r.doc_id, r.ann_id, r.r.v, r.r.note) for r in anns.filter("r.present").collect()} == want
+    last = out.filter("not of_annotation").groupBy("doc_id").agg(F.max_by(F.struct("current_page"), "_batch").alias("r"))
+    assert {(r.doc_id, r.r.current_page) for r in last.collect() if r.r.current_page is not None} == pages
+    assert out.select("_batch").distinct().count() >= 4
