@@ -76,6 +76,28 @@ def search_hits(spark, sf):
     return text.search(_page_text(spark, sf), QUERIES)
 
 
+# Ten needles of eight characters from every document, none of which can overlap itself.
+_MANY = """
+    , piece8 as (select lower(substr(text, ((doc_id * 37 + k * 101) % greatest(length(text) - 7, 1) + 1)::bigint, 8)) as query from documents, range(10) r(k)),
+    needle as (select distinct query from piece8 where regexp_full_match(query, '[a-z][a-z ]{6}[a-z]') and not contains(query, 'ss')
+        and len(list_filter(range(1, 8), lambda k: query[1:k] = query[9 - k:8])) = 0),
+    cut as (select doc_id, page_number, o, regexp_extract_all(substr(lower(text), o + 1), '(?s).{8}') as ps from ptext, range(8) t(o)),
+    spot as (select doc_id, page_number, (o + 8 * (generate_subscripts(ps, 1) - 1))::int as start, unnest(ps) as query from cut)
+    select doc_id, page_number, query, start, 8 as hit_length from spot join needle using (query)"""
+
+
+@query("A5", with_tables("ptext", _MANY))
+def search_many(spark, sf):
+    """Queries as a table: about ten for every document, all sought in one pass."""
+    docs = fx.table(spark, sf, "documents")
+    at = (c("doc_id") * 37 + c("k") * 101) % F.greatest(F.length("text") - 7, F.lit(1)) + 1
+    pieces = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select(
+        F.lower(F.substring(c("text"), at.cast("int"), F.lit(8))).alias("query")).distinct()
+    border = F.exists(F.sequence(F.lit(1), F.lit(7)), lambda k: F.left(c("query"), k) == F.right(c("query"), k))
+    needles = pieces.filter(c("query").rlike("^[a-z][a-z ]{6}[a-z]$") & ~c("query").contains("ss") & ~border)
+    return text.find_matches(_page_text(spark, sf), needles)
+
+
 @query("A6", with_tables("ptext", _HITS + """
     , p as (select query, doc_id, page_number, count(*) as page_hits from hit group by 1, 2, 3)
     select *, sum(page_hits) over (partition by query, doc_id)::bigint as doc_hits from p"""))

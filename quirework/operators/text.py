@@ -1,10 +1,13 @@
 """Reading order, page and document text, corpus search."""
 
-import re
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.folding import automaton, find_all, fold
 from ..plans.scan import ordered_scan, split_hot
 from ..plans.settle import settle
 
@@ -13,6 +16,8 @@ LINE_GAP = 5.0
 PAGES_PER_PART = 256
 # Pages with more spans than this leave the one-task-per-page plan.
 HOT_PAGE_ROWS = 2_000_000
+# Characters of queries in one automaton, which every task builds for itself (about 100 bytes a character).
+NEEDLE_CHARS = 1_000_000
 
 
 def _anchor(anchor):
@@ -134,59 +139,68 @@ def selection_text(selected: DataFrame, order=("read_index",)) -> DataFrame:
     return selected.groupBy("sel_id").agg(joined_text(F.struct(*order), F.col("text"), "").alias("text"))
 
 
-def _starts(text, needle, per_page):
-    """Starts of the hits of one needle: running lengths of the pieces between them.
-
-    The needle is sought in the text itself, not in a lower-cased copy, whose offsets may differ.  The pieces are summed
-    in blocks of about the root of their number, so that appending does not copy the whole list for each hit.
-    """
-    pieces = F.split(text, "(?iu)" + re_quote(needle), -1)
-    if per_page is not None:
-        pieces = F.slice(pieces, 1, per_page + 1)
-    count = F.size(pieces) - 1
-    block = F.greatest(F.ceil(F.sqrt(count)).cast("int"), F.lit(1))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / block).cast("int")),
-        lambda b: F.slice(pieces, b * block + 1, F.least(block, count - b * block)))
-    step = len(needle)
-
-    def inner(at, part):
-        return F.aggregate(
-            part, F.struct(at.alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p) + step).alias("at"),
-                F.concat(acc["starts"], F.array(acc["at"] + F.length(p))).alias("starts")))
-
-    def outer(acc, part):
-        done = inner(acc["at"], part)
-        return F.struct(done["at"].alias("at"), F.concat(acc["parts"], F.array(done["starts"])).alias("parts"))
-
-    none = F.array().cast("array<array<int>>")
-    found = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("parts")), outer)["parts"])
-    return F.when(count > 0, found).otherwise(F.array().cast("array<int>"))
-
-
-def find_matches(page_texts: DataFrame, queries: list[str], per_page=None) -> DataFrame:
-    """Case-insensitive literal hits; ``per_page`` limits them to the first ones of a page and query (default: all).
-
-    Every page is cut at the needles inside its own row: one pass, no shuffle.  Blank queries find nothing.  A character
-    and its other case have one place each, so a hit is as long as its query.
+def _needles(spark, queries):
+    """Parts of the distinct folded queries, each of at most NEEDLE_CHARS characters (or one query)."""
+    if isinstance(queries, DataFrame):
+        rows = (r[0] for r in queries.select("query").distinct().orderBy("query").toLocalIterator())
+    else:
+        rows = iter(sorted({q for q in queries if q}))
+    seen, part, size = set(), [], 0
+    for q in rows:
+        q = fold(q) if q else ""
+        if not q.strip() or q in seen:
+            continue
+        if part and size + len(q) > NEEDLE_CHARS:
+            yield part
+            part, size = [], 0
+        seen.add(q)
+        part.append(q)
+        size += len(q)
+    if part:
+        yield part
+
+
+def find_matches(page_texts: DataFrame, queries, per_page=None) -> DataFrame:
+    """Literal hits whatever the case (``functions.folding``); ``per_page`` limits them to the first ones of a page and query
+    (default: all).  ``query`` is the folded query; start and length are in the text itself.
+
+    ``queries`` is a list of strings or a table with a column ``query``; blank ones find nothing.  All queries are sought in one
+    pass over the text by one automaton; only beyond NEEDLE_CHARS characters of queries there is one pass per so many.
     """
-    wanted = sorted({q.lower() for q in queries if q.strip()})
-    if not wanted:
-        page_texts = page_texts.limit(0)
-    per_needle = F.array(*[
-        F.struct(F.lit(q).alias("query"), _starts(F.col("text"), q, per_page).alias("starts"), F.lit(len(q)).alias("hit_length"))
-        for q in wanted or ["-"]
-    ])
-    some = "(?iu)" + "|".join(re_quote(q) for q in wanted or ["-"])
-    return page_texts.filter(F.col("text").rlike(some)).select(
-        "doc_id", "page_number", F.explode(per_needle).alias("_m")).select(
-        "doc_id", "page_number", F.col("_m.query").alias("query"), F.explode("_m.starts").alias("start"),
-        F.col("_m.hit_length").alias("hit_length"))
-
-
-def search(page_texts: DataFrame, queries: list[str], per_page=None) -> DataFrame:
+    key = [f for f in page_texts.schema.fields if f.name in PAGE_KEY]
+    texts = page_texts.select(*PAGE_KEY, "text")
+    schema = StructType([*sorted(key, key=lambda f: PAGE_KEY.index(f.name)), StructField("query", StringType()),
+                         StructField("start", IntegerType()), StructField("hit_length", IntegerType())])
+
+    def finder(needles):
+        sizes = [len(n) for n in needles]
+
+        def find(batches):
+            machine = automaton(needles)
+            for batch in batches:
+                rows, hits = [], []
+                for row, text in enumerate(batch.column(2)):
+                    text = text.as_py()
+                    if text:
+                        found = find_all(machine, sizes, text, per_page)
+                        hits += found
+                        rows += [row] * len(found)
+                at = pa.array(rows, pa.int32())
+                number, start, size = zip(*hits) if hits else ((), (), ())
+                names = pa.array(needles, pa.string()).take(pa.array(number, pa.int32()))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(at), batch.column(1).take(at), names, pa.array(start, pa.int32()),
+                    pa.array(size, pa.int32())], schema.names)
+
+        return texts.mapInArrow(find, schema)
+
+    parts = [finder(needles) for needles in _needles(page_texts.sparkSession, queries)]
+    if not parts:
+        return page_texts.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def search(page_texts: DataFrame, queries, per_page=None) -> DataFrame:
     """Hits numbered through each document (``match_index``).
 
     The hits are written once: numbering reads them twice, and they are far smaller than the text.
@@ -197,11 +211,6 @@ def search(page_texts: DataFrame, queries: list[str], per_page=None) -> DataFram
         [F.col("page_number"), F.col("start")], rank="match_index")
 
 
-def re_quote(needle):
-    """Pattern for a literal, valid in Java."""
-    return re.sub(r"([^\w\s])", r"\\\1", needle)
-
-
 def search_counts(hits: DataFrame) -> DataFrame:
     """Hits per page and per document."""
     per_page = hits.groupBy("query", *PAGE_KEY).agg(F.count(F.lit(1)).alias("page_hits"))

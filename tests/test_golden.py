@@ -523,6 +523,78 @@ def test_search_offsets_of_the_original(spark):
     assert got == [("secret", 4, 6), ("secret", 18, 6), ("\u00fcber", 11, 4)]
 
 
+def test_folded_search(spark):
+    """Any case and length: a query and a text meet by their full case folding, at whole characters of the text."""
+    words = "\u0130stanbul and istanbul; STRASSE, stra\u00dfe Stra\u1e9ee; \ufb01n FIN; \u03a3\u03b1\u03c2"
+    t = spark.createDataFrame([(1, 0, words)], "doc_id long, page_number int, text string")
+
+    def at(query):
+        return [words[r.start:r.start + r.hit_length] for r in text.find_matches(t, [query]).orderBy("start").collect()]
+
+    assert at("\u0130stanbul") == at("ISTANBUL") == ["\u0130stanbul", "istanbul"] and at("\u0130") == ["\u0130", "i"] + at("i")[2:]
+    assert at("strasse") == at("STRA\u00dfE") == ["STRASSE", "stra\u00dfe", "Stra\u1e9ee"]
+    assert at("fin") == ["\ufb01n", "FIN"] and at("\u03c3\u03b1\u03c3") == ["\u03a3\u03b1\u03c2"]
+    assert at("ras") == ["RAS"] and at("n f") == ["n F"]  # half of a sharp s is no hit
+    assert {r.query for r in text.find_matches(t, ["Stra\u00dfe", "STRASSE"]).collect()} == {"strasse"}
+
+
+def brute_hits(page, needle):
+    from quirework.functions.folding import fold
+
+    starts, out, at = [0], [], 0
+    for ch in page:
+        starts.append(starts[-1] + len(fold(ch)))
+    folded, place = fold(page), {p: k for k, p in enumerate(starts)}
+    while (at := folded.find(needle, at)) >= 0:
+        if at in place and at + len(needle) in place:
+            out.append((place[at], place[at + len(needle)] - place[at]))
+            at += len(needle)
+        else:
+            at += 1
+    return out
+
+
+def test_many_needles_against_brute_force(spark):
+    import random
+
+    from quirework.functions.folding import fold
+
+    dice = random.Random(8)
+    letters = "aAbBsS\u00df\u0130i \ufb01"
+    pages = [(d, p, "".join(dice.choice(letters) for _ in range(dice.choice([0, 5, 400])))) for d in (1, 2, None) for p in range(4)]
+    needles = {"".join(dice.choice(letters) for _ in range(dice.randint(1, 5))) for _ in range(400)} | {"aaa", "abab", "a" * 40}
+    want = {(d, p, q, *h) for d, p, t in pages for q in {fold(n) for n in needles if n.strip()} for h in brute_hits(t, q)}
+    df = spark.createDataFrame([*pages, (5, 0, None)], "doc_id long, page_number int, text string")
+    table = spark.createDataFrame([(n,) for n in needles] + [(None,), ("",)], "query string")
+    got = text.find_matches(df, table)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert {tuple(r) for r in text.find_matches(df, sorted(needles)).collect()} == want
+
+
+def test_ten_thousand_needles_in_one_pass(spark):
+    table = spark.range(10_000).select(F.concat(F.lit("Word"), F.col("id").cast("string"), F.lit(".")).alias("query"))
+    df = spark.createDataFrame([(1, 0, " ".join(f"wORD{k}." for k in range(0, 10_000, 3)))], "doc_id long, page_number int, text string")
+    hits = text.find_matches(df, table)
+    assert hits.count() == 3334 and hits.select("query").distinct().count() == 3334
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_needles_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(text, "NEEDLE_CHARS", 10)
+    df = spark.createDataFrame([(1, 0, "alpha beta gamma delta")], "doc_id long, page_number int, text string")
+    hits = text.find_matches(df, ["ALPHA", "beta", "gamma", "delta", "epsilon"])
+    assert rows(hits, "query", "start") == [("alpha", 0), ("beta", 6), ("delta", 17), ("gamma", 11)]
+
+
+def test_folded_text_is_redacted(spark):
+    data = [(1, 0, k, w, 60.0 * k, 700.0, 60.0 * k + 7 * len(w), 712.0) for k, w in enumerate(["\u0130stanbul", "in", "Stra\u00dfe", "istanbul"])]
+    spans = spark.createDataFrame(data, "doc_id long, page_number int, span_id long, text string, x0 double, y0 double, x1 double, y1 double")
+    ordered = text.reading_order(spans, hot_rows=None)
+    hits = text.search(text.page_text(ordered, " "), ["\u0130stanbul", "STRASSE"])
+    left, _ = redact.search_and_redact(spans, text.hit_quads(hits, text.span_offsets(ordered, " ", hot_rows=None)))
+    assert [r.text for r in left.collect()] == ["in"]
+
+
 def test_no_redacted_text_survives(spark):
     """What was sought and removed is found no more, on dense pages and next to letters that change length."""
     import random
