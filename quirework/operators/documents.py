@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp_setting
-from ..plans.scan import ordered_scan
+from ..plans.keys import key_back, key_text
+from ..plans.scan import ordered_scan, range_chunks
 from ..plans.settle import settle
 
 # Paper sizes and margins in inches, and the settings of a document without any.
@@ -19,30 +20,74 @@ DEFAULTS = {
 # -- outline -------------------------------------------------------------------------------------------------
 
 
+def _list_ranks(steps: DataFrame) -> DataFrame:
+    """(doc, item, rank): number of counted items before each item of a document's list.
+
+    ``steps`` has doc, item, following (null at the end) and counts (0 or 1).  Links are doubled: in each round an item adds
+    what its link's end has added up, so a list of n items takes log n rounds.
+    """
+    now = settle(steps.select("doc", "item", "following", F.col("counts").cast("long").alias("sum")))
+    while not now.filter(F.col("following").isNotNull()).isEmpty():
+        ahead = now.select("doc", F.col("item").alias("following"), F.col("following").alias("_f"), F.col("sum").alias("_s"))
+        now = settle(now.join(ahead, ["doc", "following"], "left").select(
+            "doc", "item", F.col("_f").alias("following"), (F.col("sum") + F.coalesce("_s", F.lit(0))).alias("sum")))
+    total = now.groupBy("doc").agg(F.max("sum").alias("_all"))
+    return now.join(total, "doc").select("doc", "item", (F.col("_all") - F.col("sum")).alias("rank"))
+
+
 def flatten_outline(nodes: DataFrame) -> DataFrame:
     """Outline in depth-first order with path titles ``Parent > Child``.
 
-    ``nodes`` is an adjacency table.  One join per level carries titles and order paths down from the roots, each
-    level written once; nodes on a cycle have no root and drop out.  Unknown pages become 0, blank titles Untitled.
+    ``nodes`` is an adjacency table.  Links to parents are doubled, which brings titles from the roots down in a number of rounds
+    that is the logarithm of the depth; nodes on a cycle, or below one or an unknown parent, never arrive and drop out.  Positions
+    are ranks in the tour that enters and leaves every node, found by doubling too, so no key grows with the depth.  Siblings
+    follow ``ord``, then ``node_id``.  Unknown pages become 0, blank titles Untitled.
     """
-    step = F.struct(F.col("ord").alias("o"), F.col("node_id").alias("n"))
-    n = nodes.withColumn("title", F.coalesce("title", F.lit("")))
-    level = settle(n.filter(F.col("parent_id").isNull()).select(
-        "doc_id", "node_id", "page_number", "title", F.array(step).alias("_path"), F.lit(0).alias("depth")))
-    every, depth = level, 0
-    while not level.isEmpty():
-        depth += 1
-        up = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("title").alias("_t"), F.col("_path").alias("_p"))
-        below = n.join(up, ["doc_id", "parent_id"])
-        title = F.when(F.col("_t") != "", F.concat(F.col("_t"), F.lit(" > "), F.col("title"))).otherwise(F.col("title"))
-        level = settle(below.select(
-            "doc_id", "node_id", "page_number", title.alias("title"), F.concat("_p", F.array(step)).alias("_path"),
-            F.lit(depth).alias("depth")))
-        every = every.unionByName(level)
-    head = F.struct(*[F.get("_path", i).alias(f"p{i}") for i in range(3)])
-    placed = ordered_scan(every, ["doc_id"], head, [F.col("_path")], rank="position")
-    return placed.select(
-        "doc_id", "node_id", F.when(F.col("title") == "", "Untitled").otherwise(F.col("title")).alias("title"),
+    n = nodes.select(key_text("doc_id").alias("doc"), "node_id", "parent_id", "ord", F.coalesce("title", F.lit("")).alias("title"), "page_number")
+    n = settle(n)
+    links = settle(n.select("doc", "node_id", F.col("parent_id").alias("up")))
+    most = n.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(most - 1, 0).bit_length()):
+        above = links.select("doc", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.lit(True).alias("_there"))
+        # An unknown parent is an end that is no root.
+        links = settle(links.join(above, ["doc", "up"], "left").filter(F.col("up").isNull() | F.col("_there")).select(
+            "doc", "node_id", F.col("_up").alias("up")))
+        if links.filter(F.col("up").isNotNull()).isEmpty():
+            break
+    rooted = settle(links.filter(F.col("up").isNull()).select("doc", "node_id"))
+    # Up: the next node to ask; the titles from below it down to the node in a row, where the first one that isn't empty
+    # begins, whether there is none, and the number of steps.
+    blank, text = F.col("title") == "", F.col("path")
+    now = settle(n.join(rooted, ["doc", "node_id"], "left_semi").select(
+        "doc", "node_id", F.col("parent_id").alias("up"), F.col("title").alias("path"), F.lit(0).alias("skip"),
+        blank.alias("blank"), F.lit(1).alias("steps")))
+    while not now.filter(F.col("up").isNotNull()).isEmpty():
+        above = now.select("doc", F.col("node_id").alias("up"), *[F.col(c).alias(f"_{c}") for c in ("up", "path", "skip", "blank", "steps")])
+        root = F.col("_path").isNull()
+        now = settle(now.join(above, ["doc", "up"], "left").select(
+            "doc", "node_id", F.col("_up").alias("up"),
+            F.when(root, text).otherwise(F.concat("_path", F.lit(" > "), "path")).alias("path"),
+            F.when(root, F.col("skip")).when(F.col("_blank"), F.length("_path") + 3 + F.col("skip")).otherwise(F.col("_skip")).alias("skip"),
+            (F.col("blank") & F.coalesce("_blank", F.lit(True))).alias("blank"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+
+    tree = settle(n.join(rooted, ["doc", "node_id"], "left_semi"))
+    family, at = ["doc", "parent_id"], [F.col("ord"), F.col("node_id")]
+    tree = settle(ordered_scan(range_chunks(tree, family, at, "_range"), family, F.col("_range"), at, rank="nth", leads={"next": F.col("node_id")}))
+    child = tree.filter("nth = 0 and parent_id is not null").select("doc", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+    enter, leave = (lambda x, s=s: F.when(x.isNotNull(), F.struct(x.alias("n"), F.lit(s).alias("out"))) for s in (False, True))
+    me = F.col("node_id")
+    tour = tree.join(child, ["doc", "node_id"], "left").select("doc", F.explode(F.array(
+        F.struct(enter(me).alias("item"), F.coalesce(enter(F.col("child")), leave(me)).alias("following"), F.lit(1).alias("counts")),
+        F.struct(leave(me).alias("item"), F.coalesce(enter(F.col("next")), leave(F.col("parent_id"))).alias("following"), F.lit(0).alias("counts")),
+    )).alias("s")).select("doc", "s.*")
+    place = _list_ranks(tour).filter(~F.col("item.out")).select("doc", F.col("item.n").alias("node_id"), F.col("rank").alias("position"))
+    path = F.when(F.col("blank"), "").otherwise(F.substring(text, F.col("skip") + 1, F.length(text)))
+    out = now.select("doc", "node_id", path.alias("title"), (F.col("steps") - 1).alias("depth")).join(place, ["doc", "node_id"]).join(
+        n.select("doc", "node_id", "page_number"), ["doc", "node_id"])
+    return out.select(
+        key_back("doc", nodes.schema["doc_id"].dataType).alias("doc_id"), "node_id",
+        F.when(F.col("title") == "", "Untitled").otherwise(F.col("title")).alias("title"),
         F.coalesce("page_number", F.lit(0)).alias("page_number"), "depth", "position")
 
 

@@ -1,10 +1,16 @@
 """Matches within a tolerance, found by grid cell; and first-come de-duplication on top of them."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .components import components
+from .scan import ordered_scan, range_chunks
 from .settle import settle
 
+BLOCK_NODES = 500_000
+
 
 def cell(value, size) -> Column:
     return F.floor(value / F.lit(float(size))).cast("long")
@@ -44,25 +50,50 @@ def first_near(targets: DataFrame, stored: DataFrame, keys, dims, tol, strict=Tr
     return t.join(best, [*keys, *dims]).select("target_id", "hit")
 
 
-def keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> DataFrame:
     """Nodes that survive when each is dropped if an earlier *surviving* node is its neighbour.
 
-    ``nodes`` has ``node``, ``edges`` has ``earlier, later``.  A round decides every node whose earlier neighbours
-    are decided, so there are as many rounds as the longest chain of neighbours has links, mostly one or two.
-    Nodes without neighbours never enter the loop.
+    ``nodes`` has ``node``, ``edges`` has ``earlier, later``.  The decision runs along the order of the nodes, but only inside
+    connected groups: each group is scanned once, in order, by one task for ``block_nodes`` nodes.  A larger group takes a round
+    for each further block, in which the neighbours of earlier blocks are settled; ordinary data take one round in all.  Nodes without
+    neighbours never enter.
     """
     edges = settle(edges.distinct())
-    later = edges.select(F.col("later").alias("node")).distinct()
-    linked = edges.select(F.col("earlier").alias("node")).distinct()
-    state = linked.join(later, "node", "left_anti").withColumn("state", F.lit("kept")).unionByName(
-        later.withColumn("state", F.lit("open")))
-    while True:
-        state = settle(state)
-        if state.filter(F.col("state") == "open").isEmpty():
-            return nodes.join(state.filter(F.col("state") == "dropped"), "node", "left_anti").select("node")
-        seen = edges.join(state.withColumnsRenamed({"node": "earlier", "state": "_s"}), "earlier").groupBy(
-            F.col("later").alias("node")).agg(
-            F.max(F.col("_s") == "kept").alias("_kept"), F.max(F.col("_s") == "open").alias("_open"))
-        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("_kept"), "dropped").when(
-            F.col("_open"), "open").otherwise("kept")
-        state = state.join(seen, "node", "left").select("node", decided.alias("state"))
+    groups = components(edges.select(F.col("earlier").alias("u"), F.col("later").alias("v")))
+    at = [F.col("node")]
+    placed = ordered_scan(range_chunks(groups, ["root"], at, "_range"), ["root"], F.col("_range"), at, rank="rank")
+    placed = settle(placed.select("node", "root", "rank"))
+    first = placed.select(F.col("node").alias("earlier"), F.col("rank").alias("e"))
+    later = placed.select(F.col("node").alias("later"), "root", F.col("rank").alias("l"))
+    pairs = settle(edges.join(first, "earlier").join(later, "later").select("root", "e", "l"))
+
+    def scan(key, pdf):
+        pdf = pdf.sort_values("l", kind="stable")
+        kept, gone, now = {}, [], None
+        for e, l in zip(pdf["e"].tolist(), pdf["l"].tolist()):
+            if l != now:
+                now, kept[l] = l, True
+            # An earlier node without a line of its own has no earlier neighbour.  -1 stands for one kept in an earlier block.
+            if kept[l] and (e < 0 or kept.get(e, True)):
+                kept[l] = False
+                gone.append(l)
+        return pd.DataFrame({"root": [key[0]] * len(gone), "l": gone})
+
+    kind = StructType([StructField("root", groups.schema["root"].dataType), StructField("l", LongType())])
+    block = lambda c: F.floor(F.col(c) / block_nodes)
+    dropped = None
+    for k in range((pairs.agg(F.max(block("l"))).first()[0] or 0) + 1):
+        now = pairs.filter(block("l") == k)
+        inner = now.filter(block("e") == k)
+        if k:
+            kept = now.filter(block("e") < k).join(dropped.withColumnRenamed("l", "e"), ["root", "e"], "left_anti")
+            # A node with a surviving neighbour from before needs no other.
+            lost = kept.select("root", "l").distinct()
+            inner = inner.join(lost, ["root", "l"], "left_anti").select("root", "e", "l").unionByName(
+                lost.select("root", F.lit(-1).cast("long").alias("e"), "l"))
+        fresh = inner.groupBy("root").applyInPandas(scan, kind)
+        dropped = settle(fresh if dropped is None else dropped.unionByName(fresh))
+    if dropped is None:
+        return nodes.select("node")
+    gone = placed.join(dropped.withColumnRenamed("l", "rank"), ["root", "rank"], "left_semi")
+    return nodes.join(gone.select("node"), "node", "left_anti").select("node")

@@ -674,3 +674,106 @@ def test_bad_records_are_skipped(spark):
     assert [round(sum(tuple(r.v)), 3) for r in got] == [0.0, 1.0]
     df = spark.createDataFrame([('{"settings": {"x": {"pageSize": "a4"}, "7": {"pageSize": "legal"}}}',)], "json string")
     assert sorted(((r.doc_id, r.page_size) for r in settings_src.read_settings(df).collect()), key=str) == [(7, "legal"), (None, "a4")]
+
+
+# -- rounds of the iterative operators -----------------------------------------------------------------------------
+
+
+def jobs_of(spark, run):
+    """Spark jobs that a call takes."""
+    group = f"count {run.__name__}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def greedy(nodes, edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(b, []).append(a)
+    kept = set()
+    for n in sorted(nodes):
+        if not any(e in kept for e in near.get(n, [])):
+            kept.add(n)
+    return kept
+
+
+def test_first_come_against_brute_force(spark):
+    from quirework.plans import near
+
+    dice = random.Random(4)
+    nodes = list(range(400))
+    edges = {tuple(sorted(dice.sample(nodes[:150], 2))) for _ in range(120)} | {tuple(sorted(dice.sample(nodes[150:200], 2))) for _ in range(400)}
+    ndf = spark.createDataFrame([(n,) for n in nodes], "node long")
+    edf = spark.createDataFrame(list(edges) * 2, "earlier long, later long")
+    want = greedy(nodes, edges)
+    for block in (1000, 20):
+        assert {r.node for r in near.keep_first(ndf, edf, block).collect()} == want
+    assert near.keep_first(ndf, edf.limit(0)).count() == 400
+
+
+def test_a_long_chain_of_near_copies(spark):
+    """Ten thousand fields, each within a point of the one before: every second one goes, in a bounded number of jobs."""
+    cols = "ann_id string, doc_id long, page_number int, ord long, x double, y double"
+    found = spark.range(10_000).selectExpr("lpad(id, 6, '0') as ann_id", "1L as doc_id", "0 as page_number", "id as ord", "id * 0.75 as x", "5.0D as y")
+    listed = spark.createDataFrame([], cols)
+    out, jobs = jobs_of(spark, lambda: sorted(int(r.ann_id) for r in ann.dedupe_widgets(listed, found).collect()))
+    assert out == list(range(0, 10_000, 2)) and jobs < 200
+
+
+def test_components(spark):
+    from quirework.plans.components import components
+
+    dice = random.Random(3)
+    edges = [(dice.randrange(300), dice.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1300)]
+    label = {}
+    for a, b in edges:
+        label.setdefault(a, a), label.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: v for k, v in label.items() if k not in alone}
+
+
+def plain_outline(nodes):
+    """Depth-first walk with the reference's rule for titles."""
+    out = {}
+
+    def below(parent, path, depth):
+        for n in sorted((n for n in nodes if n[1] == parent), key=lambda n: (n[2], n[0])):
+            title = f"{path} > {n[3] or ''}" if path else n[3] or ""
+            out[n[0]] = (title or "Untitled", n[4] or 0, depth, len(out))
+            below(n[0], title, depth + 1)
+
+    below(None, "", 0)
+    return out
+
+
+def test_outline_with_cycles_gaps_and_blanks(spark):
+    dice = random.Random(5)
+    nodes = [(k, None if k < 4 else dice.randrange(k), dice.randrange(3), dice.choice(["", None, "A", "b > c"]), dice.choice([None, k])) for k in range(120)]
+    nodes += [(200, 201, 0, "c", 1), (201, 202, 0, "c", 1), (202, 200, 0, "c", 1), (203, 202, 0, "c", 1), (204, 204, 0, "s", 1), (205, 999, 0, "lost", 1)]
+    cols = "doc_id long, node_id long, parent_id long, ord int, title string, page_number long"
+    df = spark.createDataFrame([(d, *n) for d in (None, (1 << 60) + 1) for n in nodes], cols).repartition(3)
+    want = plain_outline(nodes)
+    got = documents.flatten_outline(df).collect()
+    for d in (None, (1 << 60) + 1):
+        assert {r.node_id: (r.title, r.page_number, r.depth, r.position) for r in got if r.doc_id == d} == want
+    assert documents.flatten_outline(df.limit(0)).count() == 0
+
+
+def test_deep_outline_in_logarithmic_rounds(spark):
+    deep = 3000
+    df = spark.range(deep).selectExpr("1L as doc_id", "id as node_id", "case when id > 0 then id - 1 end as parent_id", "0 as ord", "'t' as title", "id as page_number")
+    out, jobs = jobs_of(spark, lambda: documents.flatten_outline(df).select("node_id", "depth", "position", F.length("title").alias("n")).collect())
+    assert jobs < 300 and all(r.depth == r.position == r.node_id and r.n == 4 * r.node_id + 1 for r in out) and len(out) == deep
