@@ -94,34 +94,91 @@ def merge_bookmarks(spark, sf):
     return op.merge_bookmarks(mark("n", c("title")), app)
 
 
-# A quarter of the documents have a record without values.
-_SET = """(select doc_id, case when b then ['letter', 'a4', 'legal', 'tabloid', 'custom'][doc_id % 5 + 1] end as page_size, case when b then ['auto', 'portrait', 'landscape'][doc_id % 3 + 1] end as orientation, case when b then [1, 2, 4, 6, 9, 16][doc_id % 6 + 1] end as pages_per_sheet,
-    case when b then '1-' || (doc_id % 9 + 1) end as custom_range, case when b then ['none', 'narrow', 'normal', 'wide', 'custom'][doc_id % 5 + 1] end as margin_preset, case when b then ['fit', 'actual', 'custom'][doc_id % 3 + 1] end as scaling_mode, case when b then (doc_id % 500)::double end as custom_scale from (select *, doc_id % 4 > 0 as b from documents))"""
+# A quarter of the documents have a record without values; ids are text, some of which looks like no number.
+_ID = "case when doc_id % 3 = 0 then 'doc-' || doc_id else doc_id::varchar end"
+_SET = f"""(select {_ID} as doc_id, case when b then ['auto', 'portrait', 'landscape'][doc_id % 3 + 1] end as orientation, case when b then ['letter', 'a4', 'legal', 'tabloid', 'custom'][doc_id % 5 + 1] end as page_size,
+    case when b then [1, 2, 4, 6, 9, 16][doc_id % 6 + 1] end as pages_per_sheet, case when b then ['horizontal', 'vertical'][doc_id % 2 + 1] end as page_order,
+    case when b then ['none', 'narrow', 'normal', 'wide', 'custom'][doc_id % 5 + 1] end as margin_preset, case when b then ['fit', 'actual', 'custom'][doc_id % 3 + 1] end as scaling_mode, case when b then (doc_id % 500)::double end as custom_scale,
+    case when b then ['all', 'current', 'custom'][doc_id % 3 + 1] end as print_range, case when b then '1-' || (doc_id % 9 + 1) end as custom_range,
+    case when b and doc_id % 7 > 0 then (doc_id % 30) / 2 end::double as custom_width, case when b and doc_id % 7 > 0 then (doc_id % 40) / 2 end::double as custom_height,
+    case when b and doc_id % 2 > 0 then (doc_id % 8) / 4 end::double as margin_top, case when b and doc_id % 2 > 0 then (doc_id % 4) / 4 end::double as margin_right,
+    case when b and doc_id % 2 > 0 then (doc_id % 5) / 4 end::double as margin_bottom, case when b and doc_id % 2 > 0 then (doc_id % 16) / 4 end::double as margin_left from (select *, doc_id % 4 > 0 as b from documents))"""
+
+
+def _doc_name(d):
+    return F.when(d % 3 == 0, F.concat(F.lit("doc-"), d.cast("string"))).otherwise(d.cast("string"))
 
 
 def _settings(spark, sf):
     d = c("doc_id")
-    set_ = lambda v: F.when(d % 4 > 0, v)
+    set_ = lambda v, more=F.lit(True): F.when((d % 4 > 0) & more, v)
     pick = lambda vals: set_(F.element_at(F.array(*map(F.lit, vals)), (d % len(vals) + 1).cast("int")))
+    sized = lambda n: set_((d % n) / 2, d % 7 > 0)
+    edge = lambda n: set_((d % n) / 4, d % 2 > 0)
     return fx.table(spark, sf, "documents").select(
-        "doc_id", pick(("letter", "a4", "legal", "tabloid", "custom")).alias("page_size"),
-        pick(("auto", "portrait", "landscape")).alias("orientation"), pick((1, 2, 4, 6, 9, 16)).alias("pages_per_sheet"),
-        set_(F.concat(F.lit("1-"), (d % 9 + 1).cast("string"))).alias("custom_range"),
-        pick(("none", "narrow", "normal", "wide", "custom")).alias("margin_preset"),
-        pick(("fit", "actual", "custom")).alias("scaling_mode"), set_((d % 500).cast("double")).alias("custom_scale"))
+        _doc_name(d).alias("doc_id"), pick(("auto", "portrait", "landscape")).alias("orientation"),
+        pick(("letter", "a4", "legal", "tabloid", "custom")).alias("page_size"), pick((1, 2, 4, 6, 9, 16)).alias("pages_per_sheet"),
+        pick(("horizontal", "vertical")).alias("page_order"), pick(("none", "narrow", "normal", "wide", "custom")).alias("margin_preset"),
+        pick(("fit", "actual", "custom")).alias("scaling_mode"), set_((d % 500).cast("double")).alias("custom_scale"),
+        pick(("all", "current", "custom")).alias("print_range"), set_(F.concat(F.lit("1-"), (d % 9 + 1).cast("string"))).alias("custom_range"),
+        sized(30).alias("custom_width"), sized(40).alias("custom_height"), edge(8).alias("margin_top"), edge(4).alias("margin_right"),
+        edge(5).alias("margin_bottom"), edge(16).alias("margin_left"))
 
 
 @query("S8", f"select * from {_SET}")
 def settings_round_trip(spark, sf):
+    """All eleven settings, the custom size and the four margins included, through the file format."""
     return st.read_settings(st.write_settings(_settings(spark, sf)))
 
 
-@query("E9 P25", f"""with s as {_SET}, d as (select doc_id from documents), j as (select d.doc_id, coalesce(orientation, 'auto') as orientation, coalesce(page_size, 'letter') as page_size, coalesce(pages_per_sheet, 1)::int as pages_per_sheet,
-        coalesce(margin_preset, 'none') as margin_preset, coalesce(scaling_mode, 'fit') as scaling_mode, greatest(25, least(coalesce(custom_scale, 100), 400))::double as custom_scale, coalesce(custom_range, '') as custom_range from d left join s using (doc_id))
-    select *, 'horizontal' as page_order, 'all' as print_range, (case page_size when 'a4' then 8.27 when 'tabloid' then 11 else 8.5 end)::double as paper_width,
-        (case page_size when 'a4' then 11.69 when 'legal' then 14 when 'tabloid' then 17 else 11 end)::double as paper_height, (case margin_preset when 'narrow' then 0.25 when 'normal' then 0.5 when 'wide' then 1 when 'custom' then 0.5 else 0 end)::double as margin from j""")
+_PAPER = "(case {p} when 'a4' then 8.27 when 'tabloid' then 11 else 8.5 end)::double", "(case {p} when 'a4' then 11.69 when 'legal' then 14 when 'tabloid' then 17 else 11 end)::double"
+_MARGIN = "(case {m} when 'narrow' then 0.25 when 'normal' then 0.5 when 'wide' then 1 when 'custom' then 0.5 else 0 end)::double"
+_EDGES = ("margin_top", "margin_right", "margin_bottom", "margin_left")
+_W, _H, _M = _PAPER[0].format(p="page_size"), _PAPER[1].format(p="page_size"), _MARGIN.format(m="margin_preset")
+
+
+@query("E9 P25", f"""with s as {_SET}, d as (select {_ID} as doc_id from documents), j as (select d.doc_id, coalesce(orientation, 'auto') as orientation, coalesce(page_size, 'letter') as page_size, coalesce(pages_per_sheet, 1)::int as pages_per_sheet,
+        coalesce(page_order, 'horizontal') as page_order, coalesce(margin_preset, 'none') as margin_preset, coalesce(scaling_mode, 'fit') as scaling_mode, greatest(25, least(coalesce(custom_scale, 100), 400))::double as custom_scale,
+        coalesce(print_range, 'all') as print_range, coalesce(custom_range, '') as custom_range, custom_width as cw, custom_height as ch, {', '.join(f'{e} as c{e}' for e in _EDGES)} from d left join s using (doc_id))
+    select doc_id, orientation, page_size, pages_per_sheet, page_order, margin_preset, scaling_mode, custom_scale, print_range, custom_range,
+        case page_size when 'custom' then coalesce(cw, {_W}) else {_W} end as custom_width, case page_size when 'custom' then coalesce(ch, {_H}) else {_H} end as custom_height,
+        {', '.join(f"case margin_preset when 'custom' then coalesce(c{e}, {_M}) else {_M} end as {e}" for e in _EDGES)} from j""")
 def effective_settings(spark, sf):
-    return op.effective_settings(fx.table(spark, sf, "documents"), _settings(spark, sf))
+    docs = fx.table(spark, sf, "documents").select(_doc_name(c("doc_id")).alias("doc_id"))
+    return op.effective_settings(docs, _settings(spark, sf))
+
+
+# Edits of a few documents: sizes, margins, own margins, resets and removals by the type of the event.
+_EDIT_SQL = f"""with recursive e as (select event_id, 'u' || (user_id % 40) as doc_id, event_type as k, event_id % 5 as n, row_number() over (partition by user_id % 40 order by ts, event_id) as i from events),
+    z as (select 'u' || doc_id as doc_id, true as there, ['letter', 'a4', 'legal', 'tabloid', 'custom'][doc_id % 5 + 1] as page_size, 'wide' as margin_preset, 1::double as margin_top, 7::double as custom_width, 3::int as pages_per_sheet from documents where doc_id % 2 = 0 and doc_id < 40),
+    s as (select 'u' || g as doc_id, 0::bigint as i, coalesce(there, false) as there, coalesce(page_size, 'letter') as page_size, coalesce(margin_preset, 'none') as margin_preset, coalesce(margin_top, 0)::double as margin_top,
+            coalesce(custom_width, 8.5)::double as custom_width, coalesce(pages_per_sheet, 1)::int as pages_per_sheet from range(40) t(g) left join z on z.doc_id = 'u' || g
+        union all select s.doc_id, e.i, not (e.k = 'error' and n = 0),
+            case when e.k = 'error' and n < 2 then 'letter' when e.k = 'click' then ['letter', 'a4', 'legal', 'tabloid', 'custom'][n + 1] else s.page_size end,
+            case when e.k = 'error' and n < 2 then 'none' when e.k = 'view' then ['none', 'narrow', 'normal', 'wide', 'custom'][n + 1] when e.k = 'purchase' then 'custom' else s.margin_preset end,
+            case when e.k = 'error' and n < 2 then 0 when e.k = 'view' then [0, 0.25, 0.5, 1, 0.5][n + 1] when e.k = 'purchase' then n / 2 else s.margin_top end::double,
+            case when e.k = 'error' and n < 2 then 8.5 when e.k = 'click' then [8.5, 8.27, 8.5, 11, 8.5][n + 1] else s.custom_width end::double,
+            case when e.k = 'error' and n < 2 then 1 when e.k = 'signup' then [1, 2, 4, 6, 9][n + 1] else s.pages_per_sheet end::int
+        from s join e on e.doc_id = s.doc_id and e.i = s.i + 1)
+    select doc_id, page_size, margin_preset, margin_top, custom_width, pages_per_sheet from s where there and i = (select count(*) from e where e.doc_id = s.doc_id)"""
+
+
+@query("E9", _EDIT_SQL)
+def setting_edits(spark, sf):
+    """Stored settings after a log of edits, resets and removals."""
+    kind, n = c("event_type"), c("event_id") % 5
+    pick = lambda when, *vals: F.when(kind == when, F.element_at(F.array(*map(F.lit, vals)), (n + 1).cast("int")))
+    edits = fx.table(spark, sf, "events").select(
+        F.concat(F.lit("u"), (c("user_id") % 40).cast("string")).alias("doc_id"), "ts", "event_id",
+        F.when((kind == "error") & (n == 0), "remove").when((kind == "error") & (n == 1), "reset").otherwise("set").alias("action"),
+        pick("click", "letter", "a4", "legal", "tabloid", "custom").alias("page_size"), pick("view", "none", "narrow", "normal", "wide", "custom").alias("margin_preset"),
+        F.when(kind == "purchase", n / 2).alias("margin_top"), pick("signup", 1, 2, 4, 6, 9).alias("pages_per_sheet"))
+    d = c("doc_id")
+    stored = fx.table(spark, sf, "documents").filter((d % 2 == 0) & (d < 40)).select(
+        F.concat(F.lit("u"), d.cast("string")).alias("doc_id"),
+        F.element_at(F.array(*map(F.lit, ("letter", "a4", "legal", "tabloid", "custom"))), (d % 5 + 1).cast("int")).alias("page_size"),
+        F.lit("wide").alias("margin_preset"), F.lit(1.0).alias("margin_top"), F.lit(7.0).alias("custom_width"), F.lit(3).alias("pages_per_sheet"))
+    return op.edit_settings(stored, edits).select("doc_id", "page_size", "margin_preset", "margin_top", "custom_width", "pages_per_sheet")
 
 
 @query("S9", with_tables("ptext", """

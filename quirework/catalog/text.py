@@ -193,7 +193,7 @@ def select_by_quads(spark, sf):
     , g as (select *, (y0 + y1) / 2 as m from span),
     b as (select *, case when lag(m) over (partition by doc_id, page_number order by m desc, x0, span_id) - m > 5 then 1 else 0 end as brk from g),
     l as (select *, sum(brk) over (partition by doc_id, page_number order by m desc, x0, span_id rows between unbounded preceding and current row) as li from b),
-    o as (select *, row_number() over (partition by doc_id, page_number order by li, x0, span_id) - 1 as ri from l),
+    o as materialized (select doc_id, page_number, span_id, x0, y0, x1, y1, m, row_number() over (partition by doc_id, page_number order by li, x0, span_id) - 1 as ri from l),
     s as (select ann_id as sel_id, doc_id, page_number, x as sx, y + 300 as sy, x + width as ex, y + 330 - height * 3 as ey from annv where type = 'text'),
     w as (select *, ey > sy or (abs(ey - sy) < 5 and ex < sx) as sw from s),
     t as (select sel_id, doc_id, page_number, case when sw then ex else sx end as sx, case when sw then ey else sy end as sy, case when sw then sx else ex end as ex, case when sw then sy else ey end as ey from w),
@@ -206,8 +206,7 @@ def select_by_flow(spark, sf):
     sels = a.select(
         c("ann_id").alias("sel_id"), *KEY, c("x").alias("sx"), (c("y") + 300).alias("sy"),
         (c("x") + c("width")).alias("ex"), (c("y") + 330 - c("height") * 3).alias("ey"))
-    return selection.select_by_flow(_ordered(spark, sf, "center"), sels).select(
-        "sel_id", *KEY, "span_id", "read_index")
+    return selection.flow_text(fx.spans(spark, sf), sels, hot_rows=None).select("sel_id", *KEY, "span_id", "read_index")
 
 
 _REDACT = f"""

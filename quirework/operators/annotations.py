@@ -49,11 +49,17 @@ def page_annotation_stats(annotations: DataFrame) -> DataFrame:
 
 
 def merge_updates(base: DataFrame, patch: DataFrame, keys: list[str], set_keys="set_keys") -> DataFrame:
-    """``{...base, ...patch}``: only given values overwrite; fields listed in ``set_keys`` overwrite even with null."""
-    fields = [c for c in patch.columns if c not in [*keys, set_keys]]
-    renamed = patch.select(
-        *keys, *[F.col(c).alias(f"_p_{c}") for c in fields],
-        (F.col(set_keys) if set_keys in patch.columns else F.array().cast("array<string>")).alias("_set"))
+    """``{...base, ...patch}``: only given values overwrite; fields listed in ``set_keys`` overwrite even with null.
+
+    Of several patches for a key one stays, so that no row of ``base`` is doubled: the last in the order of ``patch_no`` if the patch
+    has that column, else the largest.
+    """
+    fields = [c for c in patch.columns if c not in [*keys, set_keys, "patch_no"]]
+    values = [*[F.col(c).alias(f"_p_{c}") for c in fields],
+              (F.col(set_keys) if set_keys in patch.columns else F.array().cast("array<string>")).alias("_set")]
+    first = [F.col("patch_no")] if "patch_no" in patch.columns else []
+    last = patch.groupBy(*keys).agg(F.max(F.struct(*first, *values)).alias("_p"))
+    renamed = last.select(*keys, *[F.col(f"_p._p_{c}").alias(f"_p_{c}") for c in fields], F.col("_p._set").alias("_set"))
     j = base.join(renamed, keys, "left")
     forced = lambda c: F.coalesce(F.array_contains("_set", c), F.lit(False))
     return j.select(*[

@@ -187,19 +187,66 @@ def _lookup(table, key):
     return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
 
 
+_SIZE, _MARGINS = ("custom_width", "custom_height"), ("margin_top", "margin_right", "margin_bottom", "margin_left")
+
+
+def _by_preset(value):
+    """Custom size and margins that a preset stands for, by the names of their columns."""
+    out = {c: _lookup({k: v[i] for k, v in PAPER.items()}, value("page_size")) for i, c in enumerate(_SIZE)}
+    return out | {c: _lookup(MARGINS, value("margin_preset")) for c in _MARGINS}
+
+
 def effective_settings(docs: DataFrame, settings: DataFrame) -> DataFrame:
-    """Settings of every document: stored values over defaults; a preset overwrites the custom size and margins."""
-    own = settings.withColumnsRenamed({c: f"_s_{c}" for c in settings.columns if c != "doc_id"})
-    j = docs.select("doc_id").join(own, "doc_id", "left")
+    """Settings of every document: stored values over defaults; a preset overwrites the custom size and margins.
+
+    Ids are compared as text, as the stored ones are text.  Columns of ``settings`` may be missing.
+    """
+    own = settings.select(F.col("doc_id").cast("string").alias("_doc"), *[F.col(c).alias(f"_s_{c}") for c in settings.columns if c != "doc_id"])
+    j = docs.select("doc_id", F.col("doc_id").cast("string").alias("_doc")).join(own, "_doc", "left")
     value = {n: F.coalesce(f"_s_{n}", F.lit(d)) if f"_s_{n}" in own.columns else F.lit(d) for n, d in DEFAULTS.items()}
     value["custom_scale"] = clamp_setting(value["custom_scale"], "print_scale")
-    custom = lambda n, d: F.coalesce(f"_s_{n}", d) if f"_s_{n}" in own.columns else d
-    size, margin = value["page_size"], value["margin_preset"]
-    w = _lookup({k: v[0] for k, v in PAPER.items()}, size)
-    h = _lookup({k: v[1] for k, v in PAPER.items()}, size)
-    m = _lookup(MARGINS, margin)
-    return j.select(
-        "doc_id", *[v.alias(n) for n, v in value.items()],
-        F.when(size == "custom", custom("paper_width", w)).otherwise(w).alias("paper_width"),
-        F.when(size == "custom", custom("paper_height", h)).otherwise(h).alias("paper_height"),
-        F.when(margin == "custom", custom("margin", m)).otherwise(m).alias("margin"))
+    preset = _by_preset(value.get)
+
+    def custom(name, by):
+        given = F.coalesce(f"_s_{name}", preset[name]) if f"_s_{name}" in own.columns else preset[name]
+        return F.when(value[by] == "custom", given).otherwise(preset[name]).alias(name)
+
+    return j.select("doc_id", *[v.alias(n) for n, v in value.items()],
+                    *[custom(c, "page_size") for c in _SIZE], *[custom(c, "margin_preset") for c in _MARGINS])
+
+
+def edit_settings(settings: DataFrame, edits: DataFrame) -> DataFrame:
+    """Stored settings after a log of edits: ``doc_id, ts, event_id, action`` and any of the setting columns.
+
+    ``set`` takes over the values that are given; a size or margin preset takes its custom values along, a custom size or margin
+    makes the preset ``custom``.  ``reset`` puts all defaults, ``remove`` drops the document.  An edit of a document that isn't
+    there begins with the defaults.  One aggregation with partial results per document.
+    """
+    fields = [*DEFAULTS, *_SIZE, *_MARGINS]
+    at = F.struct("ts", "event_id")
+    given = {f: F.col(f) if f in edits.columns else F.lit(None) for f in fields}
+    preset = _by_preset(given.get)
+    sized, framed = (F.coalesce(*[given[c].cast("double") for c in cs]).isNotNull() for cs in (_SIZE, _MARGINS))
+    new = {f: F.coalesce(given[f], preset[f]) if f in preset else given[f] for f in fields}
+    new["page_size"] = F.when(sized, F.lit("custom")).otherwise(given["page_size"])
+    new["margin_preset"] = F.when(framed, F.lit("custom")).otherwise(given["margin_preset"])
+    whole = F.col("action").isin("reset", "remove")
+    aggs = [F.max(F.when(whole, F.struct(at.alias("at"), F.col("action").alias("action")))).alias("_whole"),
+            F.max(F.when(F.col("action") == "set", at)).alias("_set")]
+    aggs += [F.max(F.when((F.col("action") == "set") & new[f].isNotNull(), F.struct(at.alias("at"), new[f].alias("v")))).alias(f"_n_{f}") for f in fields]
+    net = edits.withColumn("_doc", F.col("doc_id").cast("string")).groupBy("_doc").agg(*aggs)
+    old = settings.select(F.col("doc_id").cast("string").alias("_doc"), F.lit(True).alias("_old"),
+                          *[(F.col(f) if f in settings.columns else F.lit(None)).alias(f"_o_{f}") for f in fields])
+    j = old.join(net, "_doc", "full_outer")
+    base = {**{f: F.lit(v) for f, v in DEFAULTS.items()}, **{c: F.lit(PAPER[DEFAULTS["page_size"]][i]) for i, c in enumerate(_SIZE)},
+            **{c: F.lit(MARGINS[DEFAULTS["margin_preset"]]) for c in _MARGINS}}
+    fresh = F.col("_whole").isNotNull() | F.col("_old").isNull()
+    later = lambda x: F.col("_whole").isNull() | (x > F.col("_whole.at"))
+
+    def final(f):
+        start = F.when(fresh, base[f]).otherwise(F.col(f"_o_{f}"))
+        return F.when(F.col(f"_n_{f}").isNotNull() & later(F.col(f"_n_{f}.at")), F.col(f"_n_{f}.v")).otherwise(start).alias(f)
+
+    dropped = F.coalesce(F.col("_whole.action") == "remove", F.lit(False)) & ~F.coalesce(later(F.col("_set")), F.lit(False))
+    something = F.col("_old").isNotNull() | F.col("_whole").isNotNull() | F.col("_set").isNotNull()
+    return j.filter(~dropped & something).select(F.col("_doc").alias("doc_id"), *[final(f) for f in fields])

@@ -7,6 +7,7 @@ from ..functions.geometry import intersects, quad_bbox
 from ..plans.bands import band_of, bands, home_band
 from ..plans.scan import ordered_scan
 from ..plans.settle import settle
+from .text import reading_order
 
 PAGE_KEY = ["doc_id", "page_number"]
 BAND = 5.0
@@ -63,6 +64,13 @@ def select_by_quads(spans: DataFrame, quads: DataFrame) -> DataFrame:
 INDEX_BLOCK = 256
 
 
+def flow_text(spans: DataFrame, sels: DataFrame, **how) -> DataFrame:
+    """``select_by_flow`` on spans without a reading order: only pages with a selection are put in order."""
+    sels = settle(sels)
+    picked = spans.join(sels.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_semi")
+    return select_by_flow(reading_order(picked, "center", **how), sels)
+
+
 def select_by_flow(ordered: DataFrame, sels: DataFrame) -> DataFrame:
     """Everything between two points in reading order.
 
@@ -79,6 +87,7 @@ def select_by_flow(ordered: DataFrame, sels: DataFrame) -> DataFrame:
     i, first, none = F.col("read_index"), F.col("first"), F.lit(None).cast("long")
     out = ["sel_id", *PAGE_KEY, "a", "b", "c"]  # smallest start, largest end, smallest index past the end
 
+    ordered = settle(ordered)  # read three times
     spans = ordered.select(*PAGE_KEY, "read_index", "x0", "y0", "x1", "y1")
     near = spans.withColumn("_band", F.explode(bands(F.col("y0") - BAND, F.col("y1") + BAND)))
     beside = points.withColumn("_band", band_of(F.col("py"))).join(near, [*PAGE_KEY, "_band"]).filter(
