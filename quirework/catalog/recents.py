@@ -17,7 +17,7 @@ def _ntz(df, *cols):
 @query("T1", with_tables("opened", """
     select path, max(ts) as last_opened, first(name order by ts desc) as name from opened group by 1 order by 2 desc, 1 limit 30"""))
 def recent_files(spark, sf):
-    return _ntz(op.recent_files(fx.open_events(spark, sf)), "last_opened")
+    return _ntz(op.recent_files(fx.open_events(spark, sf), 30), "last_opened")
 
 
 _BY_USER = """
@@ -45,7 +45,7 @@ def recent_stamps(spark, sf):
     known = e.select((c("event_id") % 37).alias("stamp_id")).distinct()
     stamps = known.filter(c("stamp_id") % 5 > 0).select(
         "stamp_id", F.concat(F.lit("stamp "), c("stamp_id").cast("string")).alias("name"))
-    return _ntz(op.recent_stamps(uses, stamps), "last_used")
+    return _ntz(op.recent_stamps(uses, stamps, keep=10, show=5), "last_used")
 
 
 @query("W12", """with t as (select user_id, event_id as tab_id,

@@ -298,10 +298,21 @@ def smooth_path(spark, sf):
         "event_id", "i", c("p.x").alias("x"), c("p.y").alias("y"))
 
 
-@query("P29")
+# Segments of a path, cut at the farthest point while that is beyond the tolerance; a cut makes two of one.
+@query("P29", f"""with recursive pts as (select event_id, list(px order by k) as xs, list(py order by k) as ys, count(*)::int as n from {_PATH.format(n=160)} group by 1),
+    seg(event_id, lo, hi) as (select event_id, 1, n from pts where n > 100
+        union all select event_id, case side when 0 then lo else lo + spot end, case side when 0 then lo + spot else hi end from (
+            select *, list_position(ds, far)::int as spot from (select *, list_max(ds) as far from (
+                select s.event_id, lo, hi, list_transform(list_transform(list_transform(range(lo + 1, hi), lambda i: {{'x': xs[i] - xs[lo], 'y': ys[i] - ys[lo]}}),
+                    lambda d: {{'x': d.x, 'y': d.y, 'a': case when q > 0 then greatest(0, least(1, (d.x * rx + d.y * ry) / q)) else 0 end}}),
+                    lambda d: sqrt((d.x - d.a * rx) * (d.x - d.a * rx) + (d.y - d.a * ry) * (d.y - d.a * ry))) as ds
+                from (select seg.event_id, lo, hi, xs, ys, xs[hi] - xs[lo] as rx, ys[hi] - ys[lo] as ry, (xs[hi] - xs[lo]) * (xs[hi] - xs[lo]) + (ys[hi] - ys[lo]) * (ys[hi] - ys[lo]) as q
+                    from seg join pts on pts.event_id = seg.event_id where hi - lo > 1) s)) where far > 30), (values (0), (1)) t(side)),
+    k as (select event_id, (2 + (count(*) - 1) // 2)::int as kept from seg group by 1)
+    select event_id, n as n_points, coalesce(kept, n)::int as n_kept from pts left join k using (event_id)""")
 def simplify_path(spark, sf):
     return _paths(spark, sf, 160).select("event_id", F.size("path").alias("n_points"),
-                                         paths.simplify_path(c("path"), 30.0).alias("p")).select(
+                                         paths.simplify_path(c("path"), 30.0, 100).alias("p")).select(
         "event_id", "n_points", F.size("p").alias("n_kept"))
 
 

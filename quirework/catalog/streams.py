@@ -227,7 +227,7 @@ def recent_files_stream(spark, sf):
     opened = _stream(spark, sf).filter(c("event_type") == "view").select(
         "ts", F.concat(F.lit("/d/"), name).alias("path"), name.alias("name"))
     run = opened.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
-        state.recent_files_writer(f"{base}/out")).start()
+        state.recent_files_writer(f"{base}/out", 30)).start()
     run.awaitTermination()
     last = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/*")
     newest = last.agg(F.max("version")).scalar()

@@ -14,7 +14,7 @@ def path_bbox(path) -> Column:
     return F.when(F.size(path) > 0, bbox(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 
-def tail_points(path, count=100) -> Column:
+def tail_points(path, count) -> Column:
     """Last ``count`` points of a live path."""
     return F.when(F.size(path) > count, F.slice(path, -count, count)).otherwise(path)
 
@@ -83,10 +83,12 @@ def _keep_mask(xy, tolerance):
         lo, hi = todo.pop()
         if hi - lo < 2:
             continue
-        inner, start, run = xy[lo + 1:hi], xy[lo], xy[hi] - xy[lo]
-        square = float(run @ run)
-        along = np.clip((inner - start) @ run / square, 0, 1) if square else np.zeros(len(inner))
-        far = np.hypot(*(inner - start - along[:, None] * run).T)
+        # Plain products and sums, so that the result doesn't depend on how a library adds them up.
+        (dx, dy), (rx, ry) = (xy[lo + 1:hi] - xy[lo]).T, xy[hi] - xy[lo]
+        square = rx * rx + ry * ry
+        along = np.clip((dx * rx + dy * ry) / square, 0, 1) if square else np.zeros(len(dx))
+        ox, oy = dx - along * rx, dy - along * ry
+        far = np.sqrt(ox * ox + oy * oy)
         at = int(far.argmax())
         if far[at] > tolerance:
             keep[lo + 1 + at] = True
@@ -94,7 +96,7 @@ def _keep_mask(xy, tolerance):
     return keep
 
 
-def simplify_path(path, tolerance=2.0, only_above=100) -> Column:
+def simplify_path(path, tolerance, only_above) -> Column:
     """Drop points within ``tolerance`` of the simplified line, for paths of more than ``only_above`` points.
 
     The subdivision has no fixed depth, so it runs as an Arrow UDF; one path is one value.

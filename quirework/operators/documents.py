@@ -103,7 +103,7 @@ def merge_bookmarks(native: DataFrame, app: DataFrame) -> DataFrame:
 # -- recents -------------------------------------------------------------------------------------------------
 
 
-def recent_files(events: DataFrame, k=30, by=None) -> DataFrame:
+def recent_files(events: DataFrame, k, by=None) -> DataFrame:
     """Latest opening per path, newest first, ``k`` in all or per value of ``by``."""
     keys = [by] if by else []
     last = events.groupBy(*keys, "path").agg(F.max("ts").alias("last_opened"), F.max_by("name", "ts").alias("name"))
@@ -114,7 +114,7 @@ def recent_files(events: DataFrame, k=30, by=None) -> DataFrame:
     return last.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def recent_stamps(uses: DataFrame, stamps: DataFrame, keep=10, show=5) -> DataFrame:
+def recent_stamps(uses: DataFrame, stamps: DataFrame, keep, show) -> DataFrame:
     """Stamps used last per user: ``keep`` are remembered, the first ``show`` that still exist are returned."""
     last = uses.groupBy("user_id", "stamp_id").agg(F.max("ts").alias("last_used"))
     w = Window.partitionBy("user_id").orderBy(F.desc("last_used"), "stamp_id")

@@ -27,7 +27,7 @@ def present(folded: DataFrame) -> DataFrame:
     return folded.filter(F.col("base_op") == "add").drop("base_op")
 
 
-def recent_files_writer(path: str, k=30):
+def recent_files_writer(path: str, k):
     """``foreachBatch`` function keeping the newest ``k`` paths as a table: each batch writes a new version.
 
     A repeated batch writes its own version again from the one before, so the result does not depend on retries.

@@ -495,11 +495,45 @@ def test_exports(spark, tmp_path):
 
 
 def test_settings_parts(spark):
-    s = spark.createDataFrame([(d, "a4", "auto", 1, "", "none", "fit", 100.0) for d in (1, 2, 2500)],
+    s = spark.createDataFrame([(d, "a4", "auto", 1, "", "none", "fit", 100.0) for d in range(1, 2501)],
                               "doc_id long, page_size string, orientation string, pages_per_sheet int, custom_range string, margin_preset string, scaling_mode string, custom_scale double")
     written = settings_src.write_settings(s)
-    assert written.count() == 2
-    assert rows(settings_src.read_settings(written), "doc_id") == [(1,), (2,), (2500,)]
+    assert written.count() == 3
+    assert sorted(int(r.doc_id) for r in settings_src.read_settings(written).collect()) == list(range(1, 2501))
+
+
+def test_settings_file_has_all_settings_and_any_id(spark):
+    whole = {"orientation": "portrait", "pageSize": "custom", "customPageSize": {"width": 4.0, "height": 6.5}, "pagesPerSheet": 4, "pageOrder": "vertical",
+             "marginPreset": "custom", "customMargins": {"top": 1.0, "right": 0.5, "bottom": 0.25, "left": 0.0}, "scalingMode": "custom", "customScale": 80.0,
+             "printRange": "custom", "customRange": "1-5, 8"}
+    given = {"settings": {"doc_a/b \u00fc": whole, "7": {"pageSize": "a4"}, "12345678901234567890": {}}}
+    read = settings_src.read_settings(spark.createDataFrame([(json.dumps(given),)], "json string"))
+    assert {r.doc_id for r in read.collect()} == set(given["settings"])
+    back = {}
+    for r in settings_src.write_settings(read).collect():
+        back |= json.loads(r.json)["settings"]
+    assert back == given["settings"]
+    docs = spark.createDataFrame([("doc_a/b \u00fc",), ("7",), ("other",)], "doc_id string")
+    got = {r.doc_id: (r.page_order, r.print_range, r.custom_width, r.custom_height, r.margin_top, r.margin_left) for r in documents.effective_settings(docs, read).collect()}
+    assert got == {"doc_a/b \u00fc": ("vertical", "custom", 4.0, 6.5, 1.0, 0.0), "7": ("horizontal", "all", 8.27, 11.69, 0.0, 0.0), "other": ("horizontal", "all", 8.5, 11.0, 0.0, 0.0)}
+
+
+def test_edits_of_settings(spark):
+    stored = spark.createDataFrame([("a", "legal", 9.0), ("b", "a4", None), ("c", "a4", 1.0)], "doc_id string, page_size string, custom_width double")
+    cols = "doc_id string, ts long, event_id long, action string, page_size string, custom_width double, margin_preset string"
+    edits = [("a", 1, 1, "set", "tabloid", None, None), ("a", 2, 2, "set", None, 3.5, None), ("b", 1, 3, "remove", None, None, None),
+             ("c", 1, 4, "set", "legal", None, None), ("c", 2, 5, "reset", None, None, None), ("c", 2, 6, "set", None, None, "wide"),
+             ("new", 5, 7, "set", "a4", None, None), ("gone", 1, 8, "set", "a4", None, None), ("gone", 2, 9, "remove", None, None, None)]
+    got = documents.edit_settings(stored, spark.createDataFrame(edits, cols)).collect()
+    assert {r.doc_id: (r.page_size, r.custom_width, r.margin_preset, r.margin_left) for r in got} == {
+        "a": ("custom", 3.5, None, None), "c": ("letter", 8.5, "wide", 1.0), "new": ("a4", 8.27, "none", 0.0)}
+
+
+def test_two_patches_for_one_key(spark):
+    base = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k long, x string, y string")
+    patch = spark.createDataFrame([(1, "new", None, 2), (1, "old", "late", 1), (1, "older", None, 0)], "k long, x string, y string, patch_no int")
+    assert rows(ann.merge_updates(base, patch, ["k"]), "k", "x", "y") == [(1, "new", "b"), (2, "c", "d")]
+    assert ann.merge_updates(base, patch.drop("patch_no"), ["k"]).count() == 2
 
 
 def test_search_all_hits_and_blank(spark):
@@ -673,7 +707,7 @@ def test_bad_records_are_skipped(spark):
     got = spark.createDataFrame([("rgb(1.2.3,4,5)",), ("rgb(255,0,0)",)], "c string").select(values.parse_color(F.col("c")).alias("v")).collect()
     assert [round(sum(tuple(r.v)), 3) for r in got] == [0.0, 1.0]
     df = spark.createDataFrame([('{"settings": {"x": {"pageSize": "a4"}, "7": {"pageSize": "legal"}}}',)], "json string")
-    assert sorted(((r.doc_id, r.page_size) for r in settings_src.read_settings(df).collect()), key=str) == [(7, "legal"), (None, "a4")]
+    assert sorted(((r.doc_id, r.page_size) for r in settings_src.read_settings(df).collect()), key=str) == [("7", "legal"), ("x", "a4")]
 
 
 # -- rounds of the iterative operators -----------------------------------------------------------------------------
