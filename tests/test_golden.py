@@ -289,7 +289,7 @@ def test_simplify(spark):
             pts.append((x, y))
         data.append((k, pts))
     df = spark.createDataFrame(data, "k int, path array<struct<x: double, y: double>>")
-    got = {r.k: [tuple(p) for p in r.s] for r in df.select("k", paths.simplify_path(F.col("path")).alias("s")).collect()}
+    got = {r.k: [tuple(p) for p in r.s] for r in df.select("k", paths.simplify_path(F.col("path"), 2.0, 100).alias("s")).collect()}
     assert got == {k: simplify(p, 2.0) if len(p) > 100 else p for k, p in data}
 
 
