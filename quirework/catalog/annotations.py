@@ -338,6 +338,28 @@ def load_annotations(spark, sf):
         "highlight_mode", "stroke_width", "opacity", "color", "stamp_id", "field_type")
 
 
+# The page's own list has every widget again, half of them moved by half a point to one and a half.
+@query("S4c J7", with_tables("annv", """
+    , l as (select ord, doc_id, page_number, x + 200 as x, y from annv where ann_id % 12 = 6),
+    f as (select ord + 10000000 as ord, doc_id, page_number, x + (ord % 4) * 0.5::double as x, y from l),
+    c as (select *, row_number() over (partition by doc_id, page_number order by ord) as i from f where not exists
+        (select 1 from l where l.doc_id = f.doc_id and l.page_number = f.page_number and abs(l.x - f.x) < 1 and abs(l.y - f.y) < 1)),
+    s as (select distinct doc_id, page_number, 0::bigint as i, []::struct(ord bigint, x double, y double)[] as kept from c
+        union all select s.doc_id, s.page_number, c.i, case when len(list_filter(kept, lambda k: abs(k.x - c.x) < 1 and abs(k.y - c.y) < 1)) > 0 then kept
+            else list_append(kept, {'ord': c.ord, 'x': c.x, 'y': c.y}) end from s join c on c.doc_id = s.doc_id and c.page_number = s.page_number and c.i = s.i + 1),
+    z as (select doc_id, page_number, last(kept order by i) as kept from s group by 1, 2)
+    select ord::int as ord, doc_id, page_number, x, y from l union all select k.ord::int, doc_id, page_number, k.x, k.y from z, unnest(kept) u(k)""", recursive=True))
+def load_widgets(spark, sf):
+    """Raw records of both widget passes, loaded and merged."""
+    typed, pages = typed_annotations(spark, sf).filter(c("type") == "formField"), fx.pages(spark, sf)
+    again = typed.withColumn("x", c("x") + (c("ord") % 4) * F.lit(0.5)).withColumn("ord", (c("ord") + 10_000_000).cast("int"))
+    r, h = c("rect"), c("page_height")
+    # The list gives rectangles from the top of the page, the page's own array from its bottom.
+    second = src.to_raw(again, pages).withColumn("source", F.lit("page")).withColumn("rect", F.array(r[0], h - r[3], r[2], h - r[1]))
+    raw = src.to_raw(typed, pages).unionByName(second)
+    return src.load_annotations(raw).select("ord", *KEY, "x", "y")
+
+
 @query("S6", with_tables("annv", "select count(*) as n, count(distinct ann_id) as ids from annv"))
 def annotation_ids(spark, sf):
     back = src.load_annotations(src.to_raw(typed_annotations(spark, sf), fx.pages(spark, sf)), merge_widgets=False)
