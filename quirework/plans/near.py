@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .components import components
 from .scan import ordered_scan, range_chunks
@@ -28,26 +29,77 @@ def first_near(targets: DataFrame, stored: DataFrame, keys, dims, tol, strict=Tr
     """First stored row (smallest ``hit`` struct) within ``tol`` of each target in all ``dims``.
 
     ``targets`` has ``target_id``, ``keys`` and ``dims``; ``stored`` has ``hit``, ``keys`` and ``dims``.  Equal
-    positions are merged on both sides before they meet, so copies cost nothing; rows with a null dimension do
-    not match.
+    positions are merged on both sides before they meet, so copies cost nothing; rows with a null, NaN or infinite
+    dimension do not match.  Two dimensions go by ``_first_in_plane``, whose work follows the rows however dense a page is.
     """
-    full = [F.col(d).isNotNull() for d in dims]
-    cond = full[0]
-    for f in full[1:]:
-        cond = cond & f
-    t = targets.filter(cond)
-    places = t.select(*keys, *dims).distinct().withColumn("_cx", cell(F.col(dims[0]), tol)).withColumn(
-        "_cy", cell(F.col(dims[1]), tol))
-    s = stored.filter(cond).groupBy(*keys, *dims).agg(F.min("hit").alias("hit"))
-    s = s.withColumn("_c", F.explode(around(F.col(dims[0]), F.col(dims[1]), tol))).select(
-        *keys, *[F.col(d).alias(f"_s{i}") for i, d in enumerate(dims)], "hit",
-        F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
-    j = places.join(s, [*keys, "_cx", "_cy"])
+    good = F.lit(True)
+    for d in dims:
+        good = good & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double")) & (F.abs(F.col(d)) < float("inf"))
+    t = targets.filter(good)
+    places = t.select(*keys, *dims).distinct()
+    s = stored.filter(good).groupBy(*keys, *dims).agg(F.min("hit").alias("hit"))
+    if len(dims) == 2:
+        best = _first_in_plane(places, s, keys, dims, tol, strict)
+    else:
+        there = s.withColumn("_c", F.explode(around(F.col(dims[0]), F.col(dims[1]), tol))).select(
+            *keys, *[F.col(d).alias(f"_s{i}") for i, d in enumerate(dims)], "hit",
+            F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+        here = places.withColumn("_cx", cell(F.col(dims[0]), tol)).withColumn("_cy", cell(F.col(dims[1]), tol))
+        best = _within(here.join(there, [*keys, "_cx", "_cy"]), dims, tol, strict).groupBy(*keys, *dims).agg(
+            F.min("hit").alias("hit"))
+    return t.join(best, [*keys, *dims]).select("target_id", "hit")
+
+
+def _within(pairs, dims, tol, strict):
     for i, d in enumerate(dims):
         gap = F.abs(F.col(d) - F.col(f"_s{i}"))
-        j = j.filter(gap < tol if strict else gap <= tol)
-    best = j.groupBy(*keys, *dims).agg(F.min("hit").alias("hit"))
-    return t.join(best, [*keys, *dims]).select("target_id", "hit")
+        pairs = pairs.filter(gap < tol if strict else gap <= tol)
+    return pairs
+
+
+#: Fine cells to a tolerance; cells at most two apart lie within it whole, from six on beyond it (one is left for rounding).
+FINE = 4
+
+
+def _first_in_plane(places, stored, keys, dims, tol, strict) -> DataFrame:
+    """(keys, dims, hit): the first of ``stored`` near each of ``places``.
+
+    Both sides are gathered in fine cells, a quarter of the tolerance wide.  A cell of places first meets cells of stored rows, of
+    which each has its first row only: what lies within the tolerance whole bounds the result for all its places.  Single rows
+    are looked at only in the cells on the rim, and of those only rows that come before that bound, which are few.  A cell meets
+    at most 120 others, so a page of any density makes rows in proportion to its own.
+    """
+    size = tol / FINE
+    # Positions no page has share the outermost cells.
+    held = lambda d: F.greatest(F.lit(-1e15), F.least(F.lit(1e15), F.col(d).cast("double")))
+    fine = lambda df: df.withColumn("_fx", cell(held(dims[0]), size)).withColumn("_fy", cell(held(dims[1]), size))
+    places, stored = settle(fine(places)), settle(fine(stored))
+    coarse = lambda c: F.floor(F.col(c) / FINE)
+    mine = places.select(*keys, "_fx", "_fy").distinct().withColumn("_cx", coarse("_fx")).withColumn("_cy", coarse("_fy"))
+    steps = F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)])
+    theirs = stored.groupBy(*keys, F.col("_fx").alias("_gx"), F.col("_fy").alias("_gy")).agg(F.min("hit").alias("_first"))
+    theirs = theirs.withColumn("_cx", F.explode(F.transform(steps, lambda k: coarse("_gx") + k))).withColumn(
+        "_cy", F.explode(F.transform(steps, lambda k: coarse("_gy") + k)))
+    # Of the 25 coarse cells around, those that no place within reach can lie in are left out before the rows meet.
+    reach = lambda c, g: ((F.col(c) + 1) * FINE > F.col(g) - FINE - 1) & (F.col(c) * FINE <= F.col(g) + FINE + 1)
+    theirs = theirs.filter(reach("_cx", "_gx") & reach("_cy", "_gy"))
+    dx, dy = F.abs(F.col("_fx") - F.col("_gx")), F.abs(F.col("_fy") - F.col("_gy"))
+    far = F.greatest(dx, dy)
+    # Beyond this a double has too few digits left to tell cells apart: such rows are compared one by one.
+    sure = (far <= FINE - 2) & (F.greatest(F.abs(F.col("_gx")), F.abs(F.col("_gy"))) < F.lit(10 ** 12))
+    own = Window.partitionBy(*keys, "_fx", "_fy")
+    met = mine.join(theirs, [*keys, "_cx", "_cy"]).filter(far <= FINE + 1).withColumn("_sure", sure).withColumn(
+        "_bound", F.min(F.when(F.col("_sure"), F.col("_first"))).over(own))
+    met = settle(met.select(*keys, "_fx", "_fy", "_gx", "_gy", "_first", "_sure", "_bound"))
+    before = lambda c: F.col("_bound").isNull() | (F.col(c) < F.col("_bound"))
+    rows = stored.select(*keys, F.col("_fx").alias("_gx"), F.col("_fy").alias("_gy"), "hit",
+                         *[F.col(d).alias(f"_s{i}") for i, d in enumerate(dims)])
+    rim = met.filter(~F.col("_sure") & before("_first")).join(rows, [*keys, "_gx", "_gy"]).filter(before("hit")).select(
+        *keys, "_fx", "_fy", "hit", *[f"_s{i}" for i in range(len(dims))])
+    single = _within(places.join(rim, [*keys, "_fx", "_fy"]), dims, tol, strict).select(*keys, *dims, "hit")
+    bounds = met.filter("_bound is not null").select(*keys, "_fx", "_fy", F.col("_bound").alias("hit")).distinct()
+    whole = places.join(bounds, [*keys, "_fx", "_fy"]).select(*keys, *dims, "hit")
+    return whole.unionByName(single).groupBy(*keys, *dims).agg(F.min("hit").alias("hit"))
 
 
 def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> DataFrame:
