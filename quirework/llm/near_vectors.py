@@ -6,8 +6,11 @@
 3. In each block, every point's nearest members are pruned robustly: a candidate is dropped when a kept neighbour is
    closer to it than the point is.  The adjacency lists of a point from all its blocks are united.
 4. Each point is sought in the blocks of its home cell: a greedy search from the block's medoid over the united lists,
-   which then widens to all neighbours of what lies within the range.
-5. A sample's links are held against an exhaustive comparison; when recall is too low, the points join more cells.
+   which then widens to all neighbours of what lies within the range.  A found point whose own home cell does not hold the
+   asking one cannot find it back, and is counted the link as well.
+5. Recall is audited on a sample that grows with the table and on planted neighbours at the edge of the range.  While it is
+   too low the points join more cells, at last all cells whose points can lie within the range; if that is still too
+   low, the run fails.
 
 A block's tasks return one row per point with the number of vectors found and one link into its connected part of the
 block, never the pairs, so a large group of near copies costs rows in proportion to its size.
@@ -26,8 +29,10 @@ from .common import components
 #: Vectors per leader, most leaders, sampled vectors per leader, members and queries of a block, list lengths.
 PER_LEADER, LEADERS, PER_SAMPLE, BLOCK, QUERIES = 1000, 4096, 8, 2048, 2048
 DEGREE, POOL, BEAM, MEDOIDS, NEAREST, SLACK = 24, 48, 64, 32, 8, 1.2
-#: Audited vectors, wanted recall, and cells of a point in the first and the second attempt.
-AUDITED, RECALL, OVERLAP = 256, 0.99, (4, 12)
+#: Audited vectors at least, and for each root of the number of points; recall to go on with, and to fail without.
+AUDITED, PER_ROOT, RECALL, LEAST_RECALL = 256, 8, 0.99, 0.9
+#: Cells of a point in each attempt; None: all that can hold a point within the range.
+OVERLAP = (4, 12, 36, None)
 
 
 def _unit(rows) -> np.ndarray:
@@ -59,30 +64,50 @@ def leaders_of(points: DataFrame, count: int, apart: float = 0.8) -> dict:
     return out
 
 
-def members_of(points: DataFrame, leaders: dict, overlap: int) -> DataFrame:
-    """(pid, mult, embedding, cell, home) for each cell of a point."""
+def cells_of(x: np.ndarray, known: np.ndarray, overlap: int | None, within: float) -> list:
+    """The leaders that each row of ``x`` is a member of, its home first.
+
+    ``overlap``: so many nearest ones.  None: the home h and every leader c that can be home of a point q within the range.  Such a q
+    has q.c >= q.h, so x.h - x.c <= (x - q).(h - c) <= |x - q| |h - c|, and |x - q| is at most the chord of the range."""
+    close = x @ known.T
+    if overlap is not None:
+        return list(np.argsort(-close, axis=1, kind="stable")[:, :overlap])
+    home, chord, out = close.argmax(axis=1), np.sqrt(max(0.0, 2 - 2 * within)), []
+    for h, row in zip(home, close):
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (known @ known[h])))
+        may = np.flatnonzero(row[h] - row <= chord * apart + 1e-9)
+        out.append(np.concatenate([[h], may[may != h]]))
+    return out
+
+
+def members_of(points: DataFrame, leaders: dict, overlap: int | None, within: float) -> DataFrame:
+    """(pid, mult, embedding, cell, home, cells) for each cell of a point: its home cell, and where that is this one all its cells."""
     def run(batches):
         for batch in batches:
             pid, mult, rows = (batch.column(k).to_pylist() for k in range(3))
             by = {}
             for k, r in enumerate(rows):
                 by.setdefault(len(r), []).append(k)
-            take, cells, home = [], [], []
+            take, cells, home, lists = [], [], [], []
             for dim, some in by.items():
                 known = leaders.get(dim)
                 if known is None:  # no sampled vector has this length: one cell
-                    near = np.zeros((len(some), 1), int)
+                    near = [np.zeros(1, int)] * len(some)
                 else:
-                    near = np.argsort(-(_unit([rows[k] for k in some]) @ known.T), axis=1, kind="stable")[:, :overlap]
-                take += np.repeat(some, near.shape[1]).tolist()
-                cells += (near.ravel() + dim * (LEADERS + 1)).tolist()
-                home += (np.arange(near.size) % near.shape[1] == 0).tolist()
+                    near = cells_of(_unit([rows[k] for k in some]), known, overlap, within)
+                for k, its in zip(some, near):
+                    its = (its + dim * (LEADERS + 1)).tolist()
+                    take += [k] * len(its)
+                    cells += its
+                    home += its[:1] * len(its)
+                    lists += [its] + [None] * (len(its) - 1)
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at),
-                                              pa.array(cells, pa.int64()), pa.array(home)], ["pid", "mult", "embedding", "cell", "home"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cells, pa.int64()),
+                 pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["pid", "mult", "embedding", "cell", "home", "cells"])
 
     return points.select("pid", "mult", "embedding").mapInArrow(
-        run, "pid long, mult long, embedding array<float>, cell long, home boolean")
+        run, "pid long, mult long, embedding array<double>, cell long, home long, cells array<long>")
 
 
 def prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, slack: float = SLACK) -> np.ndarray:
@@ -221,9 +246,10 @@ def _roots(rows, cols, n):
 
 
 def _found(points: DataFrame, members: DataFrame, within: float) -> DataFrame:
-    """(pid, root, found): of each point in the blocks of its home cell, the number of other vectors found; and links
-    (pid, root) of the points that are linked inside a block."""
-    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
+    """(pid, root, found): of each point in the blocks of its home cell, the number of other vectors found; what points of
+    other cells found of it that it cannot find itself; and links (pid, root) of the points that are linked inside a block."""
+    at_home = F.col("home") == F.col("cell")
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(at_home.cast("long")).alias("homes"))
     sizes = settle(sizes.select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks"),
                                 F.greatest(F.lit(1), F.ceil(F.col("homes") / QUERIES)).alias("turns")))
     placed = settle(members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks"))))
@@ -231,11 +257,11 @@ def _found(points: DataFrame, members: DataFrame, within: float) -> DataFrame:
     united = lists.groupBy("pid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     zero = F.lit(0).cast("long")
     here = placed.join(united, "pid").withColumn("turn", F.explode(F.sequence(zero, F.col("turns") - 1))).select(
-        "cell", "block", "turn", "pid", "mult", "embedding", "near")
-    asked = placed.filter("home").withColumn("turn", F.pmod(F.xxhash64("pid", F.lit(1)), F.col("turns")))
+        "cell", "block", "turn", "pid", "mult", "embedding", "near", "home")
+    asked = placed.filter(at_home).withColumn("turn", F.pmod(F.xxhash64("pid", F.lit(1)), F.col("turns")))
     asked = asked.withColumn("to", F.explode(F.sequence(zero, F.col("blocks") - 1))).select(
         F.col("cell").alias("q_cell"), F.col("to").alias("q_block"), F.col("turn").alias("q_turn"), F.col("pid").alias("q"),
-        F.col("embedding").alias("q_embedding"))
+        F.col("embedding").alias("q_embedding"), F.col("mult").alias("q_mult"), F.col("cells").alias("q_cells"))
 
     def run(left, right):
         none = pd.DataFrame({"pid": [], "root": [], "found": []}, dtype="int64")
@@ -252,20 +278,42 @@ def _found(points: DataFrame, members: DataFrame, within: float) -> DataFrame:
         found = search(x, links, q, within)
         found &= asks[:, None] != pid[None, :]
         counts = (found * left["mult"].to_numpy()[None, :]).sum(axis=1)
+        homes, of = np.unique(left["home"].to_numpy(), return_inverse=True)
+        known = np.zeros((len(asks), len(homes)), bool)  # does the home cell of a found point hold the asking one?
+        row = np.repeat(np.arange(len(asks)), right["q_cells"].map(len))
+        its = np.concatenate(right["q_cells"].tolist())
+        slot = np.minimum(np.searchsorted(homes, its), len(homes) - 1)
+        same = homes[slot] == its
+        known[row[same], slot[same]] = True
+        back = ((found & ~known[:, of]) * right["q_mult"].to_numpy()[:, None]).sum(axis=0)
+        met = np.flatnonzero(back)
         r, c = np.nonzero(found)
         keys = np.unique(np.concatenate([asks, pid]))
         label = _roots(np.searchsorted(keys, asks[r]), np.searchsorted(keys, pid[c]), len(keys))
         tied = np.flatnonzero(label != np.arange(len(keys)))
-        return pd.DataFrame({"pid": np.concatenate([asks, keys[tied]]), "root": np.concatenate([asks, keys[label[tied]]]),
-                             "found": np.concatenate([counts, np.zeros(len(tied), np.int64)])})
+        return pd.DataFrame({"pid": np.concatenate([asks, pid[met], keys[tied]]),
+                             "root": np.concatenate([asks, pid[met], keys[label[tied]]]),
+                             "found": np.concatenate([counts, back[met], np.zeros(len(tied), np.int64)])})
 
     return here.groupBy("cell", "block", "turn").cogroup(asked.groupBy("q_cell", "q_block", "q_turn")).applyInPandas(
         run, "pid long, root long, found long")
 
 
-def audit(points: DataFrame, counts: DataFrame, within: float, sample: int = AUDITED) -> float:
-    """Found links of a sample (the points of the smallest hashes) over those that an exhaustive comparison finds."""
-    some = points.orderBy(F.xxhash64("embedding", F.lit(7)), "pid").limit(sample).select("pid", "embedding").toPandas()
+def audited(points: DataFrame, counts: DataFrame, total: int) -> pd.DataFrame:
+    """(pid, embedding, found) of AUDITED + PER_ROOT * sqrt(total) points, those of the smallest hashes of each stratum; a stratum is
+    the number of links found, by doublings, and all have equal shares, so that a hot group is one of many."""
+    size = AUDITED + int(PER_ROOT * total ** 0.5)
+    level = F.when(F.col("found") > 0, F.floor(F.log2("found")) + 1).otherwise(0)
+    known = settle(points.join(counts, "pid", "left").select("pid", "embedding", F.coalesce("found", F.lit(0)).alias("found")).withColumn(
+        "level", level.cast("int")))
+    levels = [r["level"] for r in known.select("level").distinct().collect()]  # at most 64
+    parts = [known.filter(F.col("level") == k).orderBy(F.xxhash64("embedding", F.lit(7)), "pid").limit(-(-size // len(levels)))
+             for k in levels]
+    return pd.concat([p.select("pid", "embedding", "found").toPandas() for p in parts]) if parts else pd.DataFrame({"pid": []})
+
+
+def audit(points: DataFrame, some: pd.DataFrame, within: float) -> float:
+    """Recall of the audited points: of those that an exhaustive comparison finds links of, the mean share found."""
     if not len(some):
         return 1.0
     by = {dim: (part["pid"].to_numpy(), _unit(part["embedding"])) for dim, part in some.groupby(some["embedding"].map(len))}
@@ -273,18 +321,38 @@ def audit(points: DataFrame, counts: DataFrame, within: float, sample: int = AUD
     def run(batches):
         for batch in batches:
             pid, mult, rows = (batch.column(k).to_pylist() for k in range(3))
-            sums = {}
-            for k, r in enumerate(rows):
-                if len(r) in by:
-                    keys, q = by[len(r)]
-                    for a in np.flatnonzero(q @ _unit([r])[0] >= within).tolist():
-                        if keys[a] != pid[k]:
-                            sums[int(keys[a])] = sums.get(int(keys[a]), 0) + mult[k]
+            pid, mult, sums = np.array(pid), np.array(mult), {}
+            size = np.array([len(r) for r in rows])
+            for dim, (keys, q) in by.items():
+                these = np.flatnonzero(size == dim)
+                for cut in range(0, len(these), 256):
+                    at = these[cut:cut + 256]
+                    near = (q @ _unit([rows[k] for k in at]).T >= within) & (keys[:, None] != pid[at][None, :])
+                    for a, n in enumerate((near * mult[at][None, :]).sum(axis=1)):
+                        if n:
+                            sums[int(keys[a])] = sums.get(int(keys[a]), 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["pid", "n"])
 
     truth = points.select("pid", "mult", "embedding").mapInArrow(run, "pid long, n long").groupBy("pid").agg(F.sum("n").alias("n"))
-    met = truth.join(counts, "pid", "left").agg(F.sum("n"), F.sum(F.coalesce("found", F.lit(0)))).first()
-    return met[1] / met[0] if met[0] else 1.0
+    met = truth.toPandas().merge(some[["pid", "found"]], on="pid")  # at most one row for each audited point
+    return float(np.minimum(1, met["found"] / met["n"]).mean()) if len(met) else 1.0
+
+
+def planted(some: pd.DataFrame, leaders: dict, overlap: int | None, within: float) -> float:
+    """The share of audited points that would meet a neighbour just within the range, planted in a random direction: one of the two
+    must be a member of the other's home cell.  It measures the cells where real links are too rare to."""
+    rng, met, asked = np.random.default_rng(5), 0, 0
+    for dim, part in some.groupby(some["embedding"].map(len)) if len(some) else ():
+        if dim not in leaders or dim < 2:
+            continue
+        x = _unit(part["embedding"])
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        y = within * x + np.sqrt(max(0.0, 1 - within * within)) * side / np.sqrt((side * side).sum(axis=1, keepdims=True))
+        pairs = zip(cells_of(x, leaders[dim], overlap, within), cells_of(y, leaders[dim], overlap, within))
+        met += sum(a[0] in b or b[0] in a for a, b in pairs)
+        asked += len(x)
+    return met / asked if asked else 1.0
 
 
 def near_vectors(vectors: DataFrame, within: float = 0.95, overlap: tuple = OVERLAP) -> DataFrame:
@@ -292,19 +360,23 @@ def near_vectors(vectors: DataFrame, within: float = 0.95, overlap: tuple = OVER
     precision), the smallest vec_id that links reach, and whether that is the row's own.
 
     A vector that is null, zero, or holds a null or non-finite component links with nothing.  Vectors of different
-    length don't link.  Equal vectors link.  Rows that repeat a vec_id are separate vectors; a null vec_id takes part,
+    length don't link.  Equal vectors link.  Raises where the audited recall stays below LEAST_RECALL.  Rows that repeat a vec_id are separate vectors; a null vec_id takes part,
     and a component of null ids only has a null id and is not kept.  An empty table gives no rows; other columns are
     ignored.
     """
-    given = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    given = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     points = settle(points_of(given))
-    count = max(1, min(LEADERS, points.count() // PER_LEADER))
-    leaders = leaders_of(points, count)
+    total = points.count()
+    leaders = leaders_of(points, max(1, min(LEADERS, total // PER_LEADER)))
     for cells in overlap:
-        found = settle(_found(points, members_of(points, leaders, cells), within))
+        found = settle(_found(points, members_of(points, leaders, cells, within), within))
         counts = found.groupBy("pid").agg(F.sum("found").alias("found"))
-        if audit(points, counts, within) >= RECALL:
+        some = audited(points, counts, total)
+        recall = min(audit(points, some, within), planted(some, leaders, cells, within))
+        if recall >= RECALL:
             break
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"recall of near vectors is {recall:.3f} in the last attempt; {LEAST_RECALL} is wanted")
     roots = components(found.filter("pid != root").select(F.col("pid").alias("u"), F.col("root").alias("v")))
     per = points.join(roots.withColumnRenamed("node", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
     least = per.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -73,11 +73,31 @@ def lexical(pages: DataFrame) -> DataFrame:
     })
 
 
+#: Folds of the labelled URLs: a training row's rates come from the other folds.
+FOLDS = 5
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+
+
 def _rates(pages: DataFrame, key: str) -> DataFrame:
     """Of every key: smoothed share of blocked URLs among its labelled ones (null without any), and count of all its URLs."""
     per = pages.groupBy(key).agg(F.sum("label").alias("_bad"), F.count("label").alias("_known"), F.count(F.lit(1)).alias("_n"))
-    rate = F.when(F.col("_known") > 0, (F.col("_bad") + 1.0) / (F.col("_known") + 2.0))
-    return per.select(key, rate.alias(f"{key}_rate"), F.log1p("_n").alias(f"{key}_log_n"))
+    return per.select(key, _share("_bad", "_known").alias(f"{key}_rate"), F.log1p("_n").alias(f"{key}_log_n"))
+
+
+def _share(bad, known) -> Column:
+    return F.when(F.col(known) > 0, (F.col(bad) + 1.0) / (F.col(known) + 2.0))
+
+
+def _other_rates(labelled: DataFrame, key: str) -> DataFrame:
+    """Of every key and fold: the share of blocked URLs among those of the key in other folds (null without any), so that
+    no training row, and no copy of it, gives its own label away."""
+    per = settle(labelled.groupBy(key, _fold().alias("fold")).agg(F.sum("label").alias("_in"), F.count(F.lit(1)).alias("_k")))
+    every = per.groupBy(key).agg(F.sum("_in").alias("_all"), F.sum("_k").alias("_n"))
+    rest = per.join(every, key).withColumn("_bad", F.col("_all") - F.col("_in")).withColumn("_known", F.col("_n") - F.col("_k"))
+    return rest.select(key, "fold", _share("_bad", "_known").alias(f"{key}_rate"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
@@ -87,7 +107,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 12, depth: int = 4, seed:
     from their lexical features (length, depth, digit ratio, entropy, parameters and suffix statistics) on at most
     TRAIN_ROWS rows, picked by a hash of the URL, and judge the rest: block when the score is at least 0.5.  Statistics
     cover every suffix and first path segment: rates are of all labelled rows (the overall rate where a key has none),
-    suffix counts of all rows.  With no labelled row, or labels of one kind, that kind (allow if none) is the verdict.  Null URL or no ``://``: host and path are empty, the model judges.
+    suffix counts of all rows; a training row's rates leave out the labels of its own fold.  With no labelled row, or labels of one kind, that kind (allow if none) is the verdict.  Null URL or no ``://``: host and path are empty, the model judges.
     Repeated rows are judged alike, an empty table gives no rows, other columns are ignored.
     """
     host, path = host_path(F.col("url"))
@@ -98,14 +118,22 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 12, depth: int = 4, seed:
     suffixes, segments = settle(_rates(lexical(ruled), "suffix")), settle(_rates(labelled, "segment"))
     overall = labelled.agg(F.count(F.lit(1)), F.avg("label")).first()
 
+    def filled(df):
+        return df.fillna({"suffix_rate": overall[1] or 0.0, "segment_rate": overall[1] or 0.0, "suffix_log_n": 0.0})
+
     def featured(df):
-        met = df.join(suffixes, "suffix", "left").join(segments, "segment", "left")
-        return met.fillna({"suffix_rate": overall[1] or 0.0, "segment_rate": overall[1] or 0.0, "suffix_log_n": 0.0})
+        return filled(df.join(suffixes, "suffix", "left").join(segments, "segment", "left"))
+
+    def learned(df):
+        met = df.withColumn("fold", _fold()).join(suffixes.drop("suffix_rate"), "suffix", "left")
+        for key in ("suffix", "segment"):
+            met = met.join(_other_rates(labelled, key), [key, "fold"], "left")
+        return filled(met)
 
     if overall[0] and 0 < overall[1] < 1:
         some = labelled.orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
         join = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = settle(featured(some).select("label", *FEATURES)).repartition(2)
+        train = settle(learned(some).select("label", *FEATURES)).repartition(2)
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=seed).fit(join.transform(train))
         scored = model.transform(join.transform(featured(lexical(ruled))))
         scored = scored.withColumn("block_score", vector_to_array("probability")[1])

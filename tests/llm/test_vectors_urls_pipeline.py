@@ -71,6 +71,48 @@ def test_near_vectors_blocks(spark, monkeypatch):
     assert sum(want.values()) and all(r["n_links"] <= max(n for (i, _), n in want.items() if i == r["vec_id"]) for r in got)
 
 
+def planted_rows(n, pairs, dim):
+    """Random vectors without a link, and pairs at a cosine a little over the range."""
+    dice = np.random.default_rng(8)
+    x = dice.normal(size=(n, dim))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    side = dice.normal(size=(pairs, dim))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    side /= np.sqrt((side * side).sum(axis=1, keepdims=True))
+    x[n - pairs:] = 0.957 * x[:pairs] + np.sqrt(1 - 0.957 ** 2) * side
+    return x
+
+
+@pytest.mark.parametrize("per_leader", [1000, 50])
+def test_near_vectors_rare_links(spark, monkeypatch, per_leader):
+    """Both ends of a link are counted, whichever of them finds the other."""
+    monkeypatch.setattr(near_vectors, "PER_LEADER", per_leader)
+    x = planted_rows(6000, 200, 64)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(df).collect()}
+    linked = [k for k, r in got.items() if r["n_links"]]
+    assert set(linked) <= set(range(200)) | set(range(5800, 6000)) and len(linked) >= 0.99 * 400
+    for k in linked:
+        assert got[k]["n_links"] == 1 and got[k]["component_id"] == k % 5800
+
+
+def test_near_vectors_audit_fails(spark, monkeypatch):
+    """One cell a point, many leaders: links are lost, and the run says so."""
+    monkeypatch.setattr(near_vectors, "PER_LEADER", 20)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(planted_rows(3000, 100, 64).tolist())], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        near_vectors.near_vectors(df, overlap=(1,))
+
+
+def test_cells_hold_the_range():
+    """All cells that can hold a neighbour: no planted one is missed."""
+    x, within = planted_rows(2000, 1000, 16), 0.95
+    known = planted_rows(60, 0, 16)
+    cells = near_vectors.cells_of(x, known, None, within)
+    assert all(cells[k + 1000][0] in cells[k] and cells[k][0] in cells[k + 1000] for k in range(1000))
+    assert all(c[0] == (known @ v).argmax() for c, v in zip(cells, x))
+
+
 def test_search_reaches_tight_groups():
     """Every member of groups around hubs is found over the pruned lists."""
     dice = np.random.default_rng(4)
@@ -210,6 +252,24 @@ def test_pipeline_odd_rows(spark):
         assert corpus_pipeline.pack(spark, docs, SF_DIR).count() >= docs.count()
 
 
+@pytest.mark.parametrize("own_segments", [False, True])
+def test_urls_learn_what_others_tell(spark, own_segments):
+    """Digits follow the label in 85 % of the URLs; a first segment of its own for each URL must not give its label away."""
+    dice, rows, truth = random.Random(3), [], {}
+    for k in range(3000):
+        bad = k % 2 == 0
+        host = ("stop" if bad else "post") + ".org" if k % 5 else "tops.org"  # of the same letters
+        odd = bad if dice.random() < 0.85 else not bad
+        word = "".join(dice.choice("0123456789" if odd else "abcdefghij") for _ in range(12))
+        segment = "".join(dice.choice("klmnopqrst") for _ in range(8)) if own_segments else "pageroot"
+        rows.append((k, f"http://{host}/{segment}/{word}"))
+        if k % 5 == 0:
+            truth[k] = bad
+    rules = (("block", "stop.org/"), ("allow", "post.org/"))
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).filter("rule is null").collect()
+    assert len(got) == len(truth) and sum((r["verdict"] == "block") == truth[r["page_id"]] for r in got) > 0.8 * len(got)
+
+
 @pytest.mark.parametrize("name", ["op3_mixing", "op4_near_vectors", "op6_ngram_join"])
 def test_sql_twins(spark, name):
     from quirework.llm import catalog
