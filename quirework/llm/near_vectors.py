@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quirework.plans.settle import settle
 
@@ -32,7 +33,7 @@ DEGREE, POOL, BEAM, MEDOIDS, NEAREST, SLACK = 24, 48, 64, 32, 8, 1.2
 #: Audited vectors at least, and for each root of the number of points; recall to go on with, and to fail without.
 AUDITED, PER_ROOT, RECALL, LEAST_RECALL = 256, 8, 0.99, 0.9
 #: Cells of a point in each attempt; None: all that can hold a point within the range.
-OVERLAP = (4, 12, 36, None)
+OVERLAP = (4, 8, 16, None)
 
 
 def _unit(rows) -> np.ndarray:
@@ -82,6 +83,8 @@ def cells_of(x: np.ndarray, known: np.ndarray, overlap: int | None, within: floa
 
 def members_of(points: DataFrame, leaders: dict, overlap: int | None, within: float) -> DataFrame:
     """(pid, mult, embedding, cell, home, cells) for each cell of a point: its home cell, and where that is this one all its cells."""
+    kind = points.schema["embedding"].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
             pid, mult, rows = (batch.column(k).to_pylist() for k in range(3))
@@ -107,7 +110,7 @@ def members_of(points: DataFrame, leaders: dict, overlap: int | None, within: fl
                  pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["pid", "mult", "embedding", "cell", "home", "cells"])
 
     return points.select("pid", "mult", "embedding").mapInArrow(
-        run, "pid long, mult long, embedding array<double>, cell long, home long, cells array<long>")
+        run, f"pid long, mult long, embedding {kind}, cell long, home long, cells array<long>")
 
 
 def prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, slack: float = SLACK) -> np.ndarray:
@@ -364,7 +367,9 @@ def near_vectors(vectors: DataFrame, within: float = 0.95, overlap: tuple = OVER
     and a component of null ids only has a null id and is not kept.  An empty table gives no rows; other columns are
     ignored.
     """
-    given = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # Floats travel as floats, every other kind as doubles.
+    kind = "float" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "double"
+    given = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     points = settle(points_of(given))
     total = points.count()
     leaders = leaders_of(points, max(1, min(LEADERS, total // PER_LEADER)))
