@@ -256,7 +256,9 @@ def _paths(spark, sf, n=24):
     pts = F.transform(
         F.sequence(F.lit(0), (e % n).cast("int")),
         lambda k: g.point(((e * 3 + i(k) * 17) % 500).cast("double"), ((e * 5 + i(k) * i(k) * 7) % 700).cast("double")))
-    return fx.table(spark, sf, "events").select("event_id", pts.alias("path"))
+    # Dealt out while an event is one number: few files hold many events, and a path costs far more than its event.
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return fx.table(spark, sf, "events").select("event_id").repartition(n_tasks, "event_id").select("event_id", pts.alias("path"))
 
 
 _PATH = """(select event_id, k, ((event_id * 3 + k * 17) % 500)::double as px, ((event_id * 5 + k * k * 7) % 700)::double as py

@@ -1,7 +1,8 @@
 """Freehand paths: arrays of ``{x, y}`` points."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,45 +75,65 @@ def smooth_path(path, steps=10) -> Column:
     return F.when(n < 3, path).otherwise(F.concat(F.slice(path, 1, 1), middle, F.slice(path, -1, 1)))
 
 
-def _keep_mask(xy, tolerance):
-    """Points that survive simplification: cut at the farthest point while it is beyond the tolerance."""
-    keep = np.zeros(len(xy), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(xy) - 1)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < 2:
-            continue
+def _keep_mask(x, y, starts, ends, tolerance):
+    """Points that survive simplification, for many paths at once: path ``i`` has the points ``starts[i]`` to ``ends[i] - 1``.
+
+    A path is cut at the farthest point while that is beyond the tolerance.  All segments of a depth are measured together, and the
+    work is the same as path by path.
+    """
+    keep = np.ones(len(x), bool)
+    lo, hi = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - 1
+    fresh = True
+    while True:
+        open_ = hi - lo > 1
+        lo, hi = lo[open_], hi[open_]
+        if not len(lo):
+            return keep
+        size = hi - lo - 1
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(lo + 1 - first, size)
+        if fresh:
+            keep[at], fresh = False, False
         # Plain products and sums, so that the result doesn't depend on how a library adds them up.
-        (dx, dy), (rx, ry) = (xy[lo + 1:hi] - xy[lo]).T, xy[hi] - xy[lo]
+        rx, ry = x[hi] - x[lo], y[hi] - y[lo]
         square = rx * rx + ry * ry
-        along = np.clip((dx * rx + dy * ry) / square, 0, 1) if square else np.zeros(len(dx))
+        dx, dy = x[at] - np.repeat(x[lo], size), y[at] - np.repeat(y[lo], size)
+        rx, ry = np.repeat(rx, size), np.repeat(ry, size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            along = np.clip((dx * rx + dy * ry) / np.repeat(square, size), 0, 1)
+        along[np.repeat(square == 0, size)] = 0
         ox, oy = dx - along * rx, dy - along * ry
         far = np.sqrt(ox * ox + oy * oy)
-        at = int(far.argmax())
-        if far[at] > tolerance:
-            keep[lo + 1 + at] = True
-            todo += [(lo, lo + 1 + at), (lo + 1 + at, hi)]
-    return keep
+        most = np.maximum.reduceat(far, first)
+        tops = np.flatnonzero(far == np.repeat(most, size))
+        cut = np.flatnonzero(most > tolerance)
+        spot = at[tops[np.searchsorted(tops, first[cut])]]  # the first one of equally far points
+        keep[spot] = True
+        lo, hi = np.concatenate([lo[cut], spot]), np.concatenate([spot, hi[cut]])
 
 
 def simplify_path(path, tolerance, only_above) -> Column:
     """Drop points within ``tolerance`` of the simplified line, for paths of more than ``only_above`` points.
 
-    The subdivision has no fixed depth, so it runs as an Arrow UDF; one path is one value.
+    The subdivision has no fixed depth, so it runs as an Arrow UDF, which sees the paths beyond ``only_above`` only; one path is
+    one value.
     """
-
-    @F.pandas_udf(POINTS)
-    def simplify(paths: pd.Series) -> pd.Series:
-        def one(p):
-            if p is None or len(p) <= max(only_above, 2):
-                return p
-            xy = np.array([(q["x"], q["y"]) for q in p], float)
-            return [q for q, k in zip(p, _keep_mask(xy, tolerance)) if k]
-
-        return paths.map(one)
-
-    return F.when(F.size(path) > only_above, simplify(path)).otherwise(path)
+    least = max(only_above, 2)
+
+    @F.arrow_udf(POINTS)
+    def simplify(paths: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(paths), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        points = paths.flatten()  # without what lies under nulls
+        x, y = (pc.struct_field(points, n).to_numpy(zero_copy_only=False) for n in ("x", "y"))
+        ends = np.cumsum(sizes)
+        long = sizes > least
+        keep = _keep_mask(x, y, (ends - sizes)[long], ends[long], tolerance)
+        left = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])].astype(np.int32)
+        # A null path is told by a null at its beginning.
+        edges = pa.array(left, mask=np.append(pc.is_null(paths).to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(edges, points.filter(pa.array(keep)))
+
+    return F.when(F.size(path) > least, simplify(F.when(F.size(path) > least, path))).otherwise(path)
 
 
 def finite_points(path) -> Column:

@@ -293,6 +293,40 @@ def test_simplify(spark):
     assert got == {k: simplify(p, 2.0) if len(p) > 100 else p for k, p in data}
 
 
+def test_simplify_batches(spark):
+    """Paths of one batch don't meet; null paths, repeated and missing points; many paths come in one call."""
+    rng = random.Random(9)
+    zigzag = [(float(i), 50.0 * (i % 2) + rng.random()) for i in range(120)]
+    closed = [(10.0 * math.cos(i / 20), 10.0 * math.sin(i / 20)) for i in range(126)] + [(10.0, 0.0)]
+    given = [zigzag, None, [(1.0, 1.0)] * 150, [], closed, [(float(i), 0.0) for i in range(200)], zigzag[:100], None]
+    df = spark.createDataFrame(list(enumerate(given)), "k int, path array<struct<x: double, y: double>>").coalesce(1)
+    got = {r.k: r.s and [tuple(p) for p in r.s] for r in df.select("k", paths.simplify_path(F.col("path"), 2.0, 100).alias("s")).collect()}
+    assert got == {k: simplify(p, 2.0) if p and len(p) > 100 else p for k, p in enumerate(given)}
+    hole = [(float(i), None if i == 60 else 0.0) for i in range(120)]
+    row = spark.createDataFrame([(hole,)], "path array<struct<x: double, y: double>>").select(paths.simplify_path(F.col("path"), 2.0, 100))
+    assert [tuple(p) for p in row.first()[0]] == [hole[0], hole[-1]]
+
+
+def test_simplify_at_once():
+    """50,000 points in 500 paths take a few numpy calls for each depth, not for each cut."""
+    import numpy as np
+
+    n, size = 500, 100
+    rng = random.Random(10)
+    x, y = np.tile(np.arange(size, dtype=float), n), np.tile([50.0 * (i % 2) + rng.random() for i in range(size)], n)
+    starts = np.arange(n) * size
+    keep = paths._keep_mask(x, y, starts, starts + size, 2.0)
+    assert (keep.reshape(n, size) == keep[:size]).all()
+    one = [(p, q) for p, q, k in zip(x[:size], y[:size], keep[:size]) if k]
+    assert one == simplify(list(zip(x[:size], y[:size])), 2.0)
+
+
+def test_paths_are_dealt_out(spark):
+    from quirework.catalog import scalars
+
+    assert scalars._paths(spark, "/root/testdata/sf0.001", 160).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_path_quads(spark):
     df = spark.createDataFrame([(0, [(0.0, 0.0), (10.0, 0.0), (10.0, 0.0)]), (1, [(5.0, 5.0)]), (2, [])],
                                "k int, path array<struct<x: double, y: double>>")
