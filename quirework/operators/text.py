@@ -45,23 +45,50 @@ def _order_small_pages(spans, y):
     return lined.withColumn("read_index", (F.row_number().over(across) - 1).cast("long")).drop("_y", "_brk")
 
 
-def _order_dense_pages(spans, y):
-    """The same order for pages of any size: lines come from the distinct heights, each line is scanned in chunks."""
-    marked = spans.withColumn("_y", y).withColumn("_down", _down(F.col("_y")))
-    heights = marked.groupBy(*PAGE_KEY, "_down").agg(F.count(F.lit(1)).alias("_n"), F.first("_y").alias("_y"))
+def _chunked_lines(heights):
+    """``line_index`` and ``_start`` of heights of pages with any number of heights."""
     band = _cell(F.col("_down"), 64)
     heights = ordered_scan(heights, PAGE_KEY, band, [F.col("_down")], lags={"_above": F.col("_y")})
     heights = heights.withColumn("_brk", F.when(F.col("_above") - F.col("_y") > LINE_GAP, 1).otherwise(0))
     heights = ordered_scan(heights, PAGE_KEY, band, [F.col("_down")], sums={"_breaks": F.col("_brk")})
     heights = settle(heights.withColumn("line_index", (F.col("_breaks") + F.col("_brk")).cast("long")))
-    line_key = [*PAGE_KEY, "line_index"]
-    sizes = heights.groupBy(*line_key).agg(F.sum("_n").alias("_n"))
+    sizes = heights.groupBy(*PAGE_KEY, "line_index").agg(F.sum("_n").alias("_size"))
     starts = ordered_scan(
-        sizes, PAGE_KEY, F.floor(F.col("line_index") / 1024), [F.col("line_index")], sums={"_start": F.col("_n")})
-    lined = marked.join(heights.select(*PAGE_KEY, "_down", "line_index"), [*PAGE_KEY, "_down"])
-    ranked = ordered_scan(lined, line_key, _cell(F.col("x0"), 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
-    return ranked.join(starts.select(*line_key, "_start"), line_key).select(
-        *spans.columns, "line_index", (F.col("_start") + F.col("_in_line")).cast("long").alias("read_index"))
+        sizes, PAGE_KEY, F.floor(F.col("line_index") / 1024), [F.col("line_index")], sums={"_start": F.col("_size")})
+    return heights.join(starts, [*PAGE_KEY, "line_index"])
+
+
+def _plain_lines(heights):
+    """The same where the heights of a page fit into a task."""
+    page = Window.partitionBy(*PAGE_KEY)
+    down = page.orderBy("_down")
+    brk = F.when(F.lag("_y").over(down) - F.col("_y") > LINE_GAP, 1).otherwise(0)
+    lined = heights.withColumn("_brk", brk).withColumn(
+        "line_index", F.sum("_brk").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    before = page.orderBy("line_index").rangeBetween(Window.unboundedPreceding, -1)
+    return lined.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_size", F.sum("_n").over(Window.partitionBy(*PAGE_KEY, "line_index")))
+
+
+def _order_dense_pages(spans, y, hot_rows):
+    """The same order for pages of any size: lines come from the distinct heights, which carry what a span needs of its line.
+
+    So spans are shuffled twice, to their height and to their line.  Only lines beyond ``hot_rows`` spans are scanned in chunks, and
+    only pages with more than ``hot_rows`` heights.
+    """
+    marked = spans.withColumn("_y", y).withColumn("_down", _down(F.col("_y")))
+    heights = settle(marked.groupBy(*PAGE_KEY, "_down").agg(F.count(F.lit(1)).alias("_n"), F.first("_y").alias("_y")))
+    few, many = split_hot(heights, PAGE_KEY, hot_rows)
+    found = [*PAGE_KEY, "_down", "line_index", "_start", "_size"]
+    lines = settle(_plain_lines(few).select(*found).unionByName(_chunked_lines(many).select(*found)))
+    line_key, out = [*PAGE_KEY, "line_index"], [*spans.columns, "line_index", "read_index"]
+    ordinary, hot = (
+        marked.join(lines.filter(kind), [*PAGE_KEY, "_down"]) for kind in (F.col("_size") <= hot_rows, F.col("_size") > hot_rows))
+    across = Window.partitionBy(*line_key).orderBy("x0", "span_id")
+    plain = ordinary.withColumn("_in_line", F.row_number().over(across) - 1)
+    scanned = ordered_scan(hot, line_key, _cell(F.col("x0"), 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
+    ranked = (df.withColumn("read_index", (F.col("_start") + F.col("_in_line")).cast("long")).select(*out) for df in (plain, scanned))
+    return reduce(DataFrame.unionByName, ranked)
 
 
 def reading_order(spans: DataFrame, anchor="bottom", hot_rows=HOT_PAGE_ROWS) -> DataFrame:
@@ -74,7 +101,7 @@ def reading_order(spans: DataFrame, anchor="bottom", hot_rows=HOT_PAGE_ROWS) ->
     if hot_rows is None:
         return _order_small_pages(spans, y)
     small, dense = split_hot(spans, PAGE_KEY, hot_rows)
-    return _order_small_pages(small, y).unionByName(_order_dense_pages(dense, y))
+    return _order_small_pages(small, y).unionByName(_order_dense_pages(dense, y, hot_rows))
 
 
 def joined_text(order, text, sep):

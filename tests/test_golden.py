@@ -689,6 +689,18 @@ def test_no_redacted_text_survives(spark):
     assert ranges.count() > 300
 
 
+def test_dense_page_of_ordinary_lines_makes_no_chunks(spark, monkeypatch):
+    """Only lines beyond the limit are scanned in chunks, and only pages with more heights than the limit."""
+    data = [(1, 0, i, "x", float(i * 37 % 600), 20.0 * (i // 30), 0.0, 0.0) for i in range(600)]
+    data += [(1, 1, i, "x", float(i * 37 % 600), 20.0 if i < 500 else 40.0 * i, 0.0, 0.0) for i in range(600)]
+    s, scanned, scan = spark.createDataFrame(data, SPAN), [], text.ordered_scan
+    monkeypatch.setattr(text, "ordered_scan", lambda df, *a, **k: scanned.append(df.count()) or scan(df, *a, **k))
+    keys = ("page_number", "span_id", "line_index", "read_index")
+    assert rows(text.reading_order(s, hot_rows=200), *keys) == rows(text.reading_order(s, hot_rows=None), *keys)
+    assert scanned[-1] == 500 and max(scanned[:-1], default=0) == 0
+    assert rows(text.reading_order(s, hot_rows=20), *keys) == rows(text.reading_order(s, hot_rows=None), *keys)
+
+
 def test_dense_pages_keep_odd_spans(spark):
     """The plan for dense pages orders null, NaN and tied coordinates as the plain one does."""
     nan = float("nan")
