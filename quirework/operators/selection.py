@@ -26,7 +26,12 @@ def explode_characters(spans: DataFrame) -> DataFrame:
 
 
 def band_join(spans: DataFrame, areas: DataFrame) -> DataFrame:
-    """Pairs of spans and areas (``ax0, ay0, ax1, ay1``) of a page that intersect, each pair once."""
+    """Pairs of spans and areas (``ax0, ay0, ax1, ay1``) of a page that intersect, each pair once.
+
+    Spans of documents and then of pages without areas are passed by before anything is shuffled.
+    """
+    marked = areas.select(*PAGE_KEY).distinct()
+    spans = spans.join(marked.select("doc_id").distinct(), "doc_id", "left_semi").join(marked, PAGE_KEY, "left_semi")
     s = spans.withColumn("_band", F.explode(bands(F.col("y0"), F.col("y1"))))
     a = areas.withColumn("_band", F.explode(bands(F.col("ay0"), F.col("ay1"))))
     box = [F.col(c) for c in ("x0", "y0", "x1", "y1", "ax0", "ay0", "ax1", "ay1")]
@@ -53,7 +58,7 @@ def select_by_quads(spans: DataFrame, quads: DataFrame) -> DataFrame:
     """
     q = quads.withColumn("_q", quad_bbox(F.col("quad"))).filter(F.col("_q").isNotNull()).select(
         "sel_id", "quad_index", *PAGE_KEY, *[F.col(f"_q.{c}").alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    chars = explode_characters(band_join(spans, q)).filter(
+    chars = explode_characters(band_join(spans, settle(q))).filter(
         intersects(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "ax0", "ay0", "ax1", "ay1")]))
     rank = F.struct("quad_index", "span_id", "char_index")
     return chars.groupBy("sel_id", *PAGE_KEY, "x0", "y0", "x1", "y1").agg(

@@ -689,6 +689,22 @@ def test_no_redacted_text_survives(spark):
     assert ranges.count() > 300
 
 
+def test_spans_without_areas_are_passed_by(spark):
+    """Only spans of documents and pages with areas are spread over bands; the pairs are all there, each once."""
+    from quirework.operators import selection
+
+    rng = random.Random(12)
+    box = lambda: (x := rng.random() * 500, y := rng.random() * 700, x + 60.0, y + 100.0)
+    spans = [(d, p, i, "t", *box()) for d in (1, 2, 3) for p in range(3) for i in range(60)] + [(None, 0, 1, "t", *box())]
+    rects = [(k, d, p, *box()) for k, (d, p) in enumerate([(1, 0), (1, 0), (1, 2), (3, 1), (7, 0), (None, 0)])]
+    df = selection.select_in_rect(
+        spark.createDataFrame(spans, SPAN), spark.createDataFrame(rects, "sel_id long, doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double"))
+    want = sorted((r[0], s[0], s[1], s[2]) for r in rects for s in spans if r[1] is not None and r[1:3] == s[:2]
+                  and s[6] >= r[3] and s[4] <= r[5] and s[7] >= r[4] and s[5] <= r[6])
+    assert want and sorted((r.sel_id, r.doc_id, r.page_number, r.span_id) for r in df.collect()) == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
+
+
 def test_dense_page_of_ordinary_lines_makes_no_chunks(spark, monkeypatch):
     """Only lines beyond the limit are scanned in chunks, and only pages with more heights than the limit."""
     data = [(1, 0, i, "x", float(i * 37 % 600), 20.0 * (i // 30), 0.0, 0.0) for i in range(600)]
