@@ -73,7 +73,8 @@ def _plain_lines(heights):
 def _order_dense_pages(spans, y, hot_rows):
     """The same order for pages of any size: lines come from the distinct heights, which carry what a span needs of its line.
 
-    So spans are shuffled twice, to their height and to their line.  Only lines beyond ``hot_rows`` spans are scanned in chunks, and
+    So spans are shuffled to their height and to their line; the branch of lines beyond ``hot_rows`` shuffles them to their height
+    once more.  Only lines beyond ``hot_rows`` spans are scanned in chunks, and
     only pages with more than ``hot_rows`` heights.
     """
     marked = spans.withColumn("_y", y).withColumn("_down", _down(F.col("_y")))
