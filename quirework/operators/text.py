@@ -1,6 +1,8 @@
 """Reading order, page and document text, corpus search."""
 
+from collections import Counter
 from functools import reduce
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.folding import automaton, find_all, fold
+from ..functions.needles import NeedleTable, find_in_texts
 from ..plans.scan import ordered_scan, split_hot
 from ..plans.settle import settle
 
@@ -18,6 +21,10 @@ PAGES_PER_PART = 256
 HOT_PAGE_ROWS = 2_000_000
 # Characters of queries in one automaton, which every task builds for itself (about 100 bytes a character).
 NEEDLE_CHARS = 1_000_000
+# From so many queries of one length on they are sought by a table of hashes; tables of one pass take so many bytes.
+MANY_NEEDLES = 1_000
+TABLE_BYTES = 1 << 26
+HITS_AT_ONCE = 1 << 18
 
 
 def _anchor(anchor):
@@ -167,65 +174,125 @@ def selection_text(selected: DataFrame, order=("read_index",)) -> DataFrame:
     return selected.groupBy("sel_id").agg(joined_text(F.struct(*order), F.col("text"), "").alias("text"))
 
 
-def _needles(spark, queries):
-    """Parts of the distinct folded queries, each of at most NEEDLE_CHARS characters (or one query)."""
-    if isinstance(queries, DataFrame):
-        rows = (r[0] for r in queries.select("query").distinct().orderBy("query").toLocalIterator())
-    else:
-        rows = iter(sorted({q for q in queries if q}))
-    seen, part, size = set(), [], 0
-    for q in rows:
-        q = fold(q) if q else ""
-        if not q.strip() or q in seen:
+def _folded(queries):
+    """The distinct folded queries of a table with their lengths, blank ones left out."""
+
+    def folded(batches):
+        for batch in batches:
+            names = (fold(q) for q in batch.column(0).to_pylist() if q)
+            names = pa.array(list({q for q in names if q.strip()}), pa.string())
+            yield pa.RecordBatch.from_arrays([names, pa.array([len(q) for q in names.to_pylist()], pa.int32())], ["query", "size"])
+
+    return settle(queries.select("query").distinct().mapInArrow(folded, "query string, size int").distinct())
+
+
+def _tables(sizes, load):
+    """Tables of the lengths with MANY_NEEDLES or more, as parts that take TABLE_BYTES at most; ``sizes`` tells how many
+    needles have a length and ``load(length, number, parts)`` gives some of them."""
+    part, taken = [], 0
+    for length, count in sorted(sizes.items()):
+        if count < MANY_NEEDLES:
             continue
+        weight = 2 * length + 20
+        pieces = -(-count * weight // TABLE_BYTES)
+        for number in range(pieces):
+            if part and taken + count * weight // pieces > TABLE_BYTES:
+                yield part
+                part, taken = [], 0
+            needles = load(length, number, pieces)
+            if needles:
+                part.append(NeedleTable(needles, length))
+                taken += len(needles) * weight
+    if part:
+        yield part
+
+
+def _automata(needles):
+    """Parts of the needles, each of at most NEEDLE_CHARS characters (or one needle)."""
+    part, size = [], 0
+    for q in needles:
         if part and size + len(q) > NEEDLE_CHARS:
             yield part
             part, size = [], 0
-        seen.add(q)
         part.append(q)
         size += len(q)
     if part:
         yield part
 
 
+def _passes(queries):
+    """(tables, needles of an automaton) for each pass over the text."""
+    if isinstance(queries, DataFrame):
+        found = _folded(queries)
+        sizes = {r[0]: r[1] for r in found.groupBy("size").agg(F.count(F.lit(1))).collect()}
+
+        def load(length, number, pieces):
+            here = F.pmod(F.xxhash64("query"), F.lit(pieces)) == number
+            return found.filter((F.col("size") == length) & here).select("query").toArrow()["query"].to_pylist()
+
+        few = [length for length, count in sizes.items() if count < MANY_NEEDLES]
+        rest = (r[0] for r in found.filter(F.col("size").isin(few)).select("query").toLocalIterator()) if few else ()
+    else:
+        folded = (fold(q) for q in queries if q)
+        found = sorted({q for q in folded if q.strip()})
+        sizes = Counter(len(q) for q in found)
+
+        def load(length, number, pieces):
+            return [q for q in found if len(q) == length][number::pieces]
+
+        rest = (q for q in found if sizes[len(q)] < MANY_NEEDLES)
+    return zip_longest(_tables(sizes, load), _automata(rest), fillvalue=[])
+
+
 def find_matches(page_texts: DataFrame, queries, per_page=None) -> DataFrame:
     """Literal hits whatever the case (``functions.folding``); ``per_page`` limits them to the first ones of a page and query
     (default: all).  ``query`` is the folded query; start and length are in the text itself.
 
     ``queries`` is a list of strings or a table with a column ``query``; blank ones find nothing.  All queries are sought in one
-    pass over the text by one automaton; only beyond NEEDLE_CHARS characters of queries there is one pass per so many.
+    pass over the text: many of one length by tables of their hashes (``functions.needles``), the others by one automaton.  Beyond
+    TABLE_BYTES and NEEDLE_CHARS there is one pass per so many, over texts that are written once.
     """
     key = [f for f in page_texts.schema.fields if f.name in PAGE_KEY]
-    texts = page_texts.select(*PAGE_KEY, "text")
+    spark, texts = page_texts.sparkSession, page_texts.select(*PAGE_KEY, "text")
     schema = StructType([*sorted(key, key=lambda f: PAGE_KEY.index(f.name)), StructField("query", StringType()),
                          StructField("start", IntegerType()), StructField("hit_length", IntegerType())])
 
-    def finder(needles):
+    def finder(tables, needles):
         sizes = [len(n) for n in needles]
 
+        def out(batch, rows, names, start, size):
+            at = pa.array(rows, pa.int32())
+            return pa.RecordBatch.from_arrays([
+                batch.column(0).take(at), batch.column(1).take(at), names, pa.array(start, pa.int32()),
+                pa.array(size, pa.int32())], schema.names)
+
         def find(batches):
-            machine = automaton(needles)
+            machine = automaton(needles) if needles else None
             for batch in batches:
-                rows, hits = [], []
-                for row, text in enumerate(batch.column(2)):
-                    text = text.as_py()
-                    if text:
-                        found = find_all(machine, sizes, text, per_page)
-                        hits += found
-                        rows += [row] * len(found)
-                at = pa.array(rows, pa.int32())
-                number, start, size = zip(*hits) if hits else ((), (), ())
-                names = pa.array(needles, pa.string()).take(pa.array(number, pa.int32()))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(at), batch.column(1).take(at), names, pa.array(start, pa.int32()),
-                    pa.array(size, pa.int32())], schema.names)
-
-        return texts.mapInArrow(find, schema)
-
-    parts = [finder(needles) for needles in _needles(page_texts.sparkSession, queries)]
-    if not parts:
-        return page_texts.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+                texts = batch.column(2).to_pylist()
+                if machine:
+                    rows, hits = [], []
+                    for row, text in enumerate(texts):
+                        if text:
+                            found = find_all(machine, sizes, text, per_page)
+                            hits += found
+                            rows += [row] * len(found)
+                    number, start, size = zip(*hits) if hits else ((), (), ())
+                    yield out(batch, rows, pa.array(needles, pa.string()).take(pa.array(number, pa.int32())), start, size)
+                if tables:
+                    for table, rows, number, start, size in find_in_texts(tables.value, texts, per_page):
+                        for k in range(0, len(rows), HITS_AT_ONCE):
+                            cut = slice(k, k + HITS_AT_ONCE)
+                            yield out(batch, rows[cut], table.needles.take(pa.array(number[cut])), start[cut], size[cut])
+
+        return find
+
+    finders = [finder(spark.sparkContext.broadcast(tables) if tables else None, needles) for tables, needles in _passes(queries)]
+    if not finders:
+        return spark.createDataFrame([], schema)
+    if len(finders) > 1:
+        texts = settle(texts)
+    return reduce(DataFrame.unionByName, [texts.mapInArrow(find, schema) for find in finders])
 
 
 def search(page_texts: DataFrame, queries, per_page=None) -> DataFrame:

@@ -647,6 +647,31 @@ def test_ten_thousand_needles_in_one_pass(spark):
     assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize("table_bytes", [1 << 26, 600])
+@pytest.mark.parametrize("per_page", [None, 2])
+def test_needles_in_tables_against_automaton(spark, monkeypatch, table_bytes, per_page):
+    """Every length by its table of hashes: the same hits, in one pass or several, with folding, overlaps and limits."""
+    dice = random.Random(9)
+    letters = "aAbB\u00df\u0130i \ufb01\u4e2d\U0001d400"
+    pages = [(d, p, "".join(dice.choice(letters) for _ in range(dice.choice([0, 3, 300])))) for d in (1, None) for p in range(4)]
+    df = spark.createDataFrame([*pages, (5, 0, None)], "doc_id long, page_number int, text string")
+    needles = sorted({"".join(dice.choice(letters) for _ in range(dice.randint(1, 4))) for _ in range(150)} | {"aaa", "abab", "a" * 500})
+    want = sorted(map(str, text.find_matches(df, needles, per_page).collect()))
+    monkeypatch.setattr(text, "MANY_NEEDLES", 1)
+    monkeypatch.setattr(text, "TABLE_BYTES", table_bytes)
+    table = spark.createDataFrame([(n,) for n in needles] + [(None,), ("",)], "query string")
+    assert sorted(map(str, text.find_matches(df, needles, per_page).collect())) == want
+    assert sorted(map(str, text.find_matches(df, table, per_page).collect())) == want and want
+
+
+def test_many_characters_of_needles_are_one_pass(spark):
+    table = spark.range(150_000).select(F.format_string("w%07d", F.col("id")).alias("query"))
+    df = spark.createDataFrame([(1, 0, " ".join(f"W{k:07d}" for k in range(0, 150_000, 50)))], "doc_id long, page_number int, text string")
+    hits = text.find_matches(df, table)
+    assert hits.count() == 3000 and hits.select("query").distinct().count() == 3000
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_needles_in_parts(spark, monkeypatch):
     monkeypatch.setattr(text, "NEEDLE_CHARS", 10)
     df = spark.createDataFrame([(1, 0, "alpha beta gamma delta")], "doc_id long, page_number int, text string")
