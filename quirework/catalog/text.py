@@ -22,6 +22,11 @@ def _page_text(spark, sf, sep=" "):
     return text.page_text(_ordered(spark, sf), sep)
 
 
+def _hits_on_spans(spark, sf):
+    offsets = text.span_offsets(_ordered(spark, sf), " ", hot_rows=None)
+    return text.search(text.page_text_with_spans(offsets, " "), QUERIES)
+
+
 _HITS = """
     , needle as (select unnest(['the', 'de la', 'zzz']) as query),
     cut as (select doc_id, page_number, query, string_split(lower(text), query) as ps from ptext, needle where contains(lower(text), query)),
@@ -125,9 +130,7 @@ _OFFSETS = """
     select query, doc_id, page_number, match_index, start, span_id, sx0 + f * ((sx1 - sx0) / length(text)) as x0, y0,
         sx0 + l * ((sx1 - sx0) / length(text)) as x1, y1, f::int as a, (l - 1)::int as b from hs"""))
 def hit_quads(spark, sf):
-    ordered = _ordered(spark, sf)
-    hits = text.search(text.page_text(ordered, " "), QUERIES)
-    return text.hit_quads(hits, text.span_offsets(ordered, " ", hot_rows=None))
+    return text.hit_quads(_hits_on_spans(spark, sf))
 
 
 @query("E10", with_tables("ptext", _HITS + _OFFSETS + """
@@ -136,9 +139,7 @@ def hit_quads(spark, sf):
     kept as (select * from ch anti join gone using (doc_id, page_number, span_id, i))
     select doc_id, page_number, string_agg(t, '' order by span_id, i) as text from kept group by 1, 2"""))
 def search_and_redact(spark, sf):
-    ordered = _ordered(spark, sf)
-    hits = text.search(text.page_text(ordered, " "), QUERIES)
-    boxes = text.hit_quads(hits, text.span_offsets(ordered, " ", hot_rows=None))
+    boxes = text.hit_quads(_hits_on_spans(spark, sf))
     left, _ = redact.search_and_redact(fx.spans(spark, sf), boxes)
     return left.groupBy(*KEY).agg(
         text.joined_text(F.struct("span_id", "run_index"), c("text"), "").alias("text"))

@@ -4,6 +4,7 @@ from collections import Counter
 from functools import reduce
 from itertools import zip_longest
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,6 +143,19 @@ def span_offsets(ordered: DataFrame, sep="", hot_rows=HOT_PAGE_ROWS) -> DataFram
     return end(plain(small).unionByName(chunked))
 
 
+def page_text_with_spans(offsets: DataFrame, sep="") -> DataFrame:
+    """``page_text`` with ``spans``, the spans of the page that have text, in their order; the input is from ``span_offsets``.
+
+    So hits find their spans in the page's own row (``search``, ``hit_quads``) and no span is shuffled to them.  The spans of a page
+    are one value here, some ten times its text; where that is too much, ``hit_quads`` takes the offsets as a table.
+    """
+    span = F.struct("char_start", "char_end", "span_id", "x0", "y0", "x1", "y1")
+    pieces = F.array_sort(F.collect_list(F.struct(F.col("read_index").alias("o"), F.col("text").alias("t"), span.alias("s"))))
+    return offsets.groupBy(*PAGE_KEY).agg(pieces.alias("_p")).select(
+        *PAGE_KEY, F.array_join(F.transform("_p", lambda p: p["t"]), sep).alias("text"),
+        F.transform(F.filter("_p", lambda p: p["s"]["char_end"] > p["s"]["char_start"]), lambda p: p["s"]).alias("spans"))
+
+
 def page_banner(page_number, text):
     return F.concat(F.lit("--- Page "), (page_number + 1).cast("string"), F.lit(" ---\n\n"), text, F.lit("\n"))
 
@@ -244,18 +258,34 @@ def _passes(queries):
     return zip_longest(_tables(sizes, load), _automata(rest), fillvalue=[])
 
 
+def _spans_under(spans, rows, start, size):
+    """Of lists of spans in order (char_start, char_end, ...), one list per text: those under each hit, given by its text and place."""
+    offsets, spans = spans.offsets.to_numpy().astype(np.int64), spans.values
+    at = np.arange(offsets[0], offsets[-1])
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) << 32
+    edge = lambda name: text + spans.field(name).to_numpy(zero_copy_only=False)[at]
+    hit = (np.asarray(rows, np.int64) << 32) + np.asarray(start, np.int64)
+    first = np.searchsorted(edge("char_end"), hit, "right")
+    count = np.searchsorted(edge("char_start"), hit + np.asarray(size, np.int64), "left") - first
+    ends = np.cumsum(count)
+    inside = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count) + offsets[0]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), spans.take(pa.array(inside)))
+
+
 def find_matches(page_texts: DataFrame, queries, per_page=None) -> DataFrame:
     """Literal hits whatever the case (``functions.folding``); ``per_page`` limits them to the first ones of a page and query
     (default: all).  ``query`` is the folded query; start and length are in the text itself.
 
     ``queries`` is a list of strings or a table with a column ``query``; blank ones find nothing.  All queries are sought in one
     pass over the text: many of one length by tables of their hashes (``functions.needles``), the others by one automaton.  Beyond
-    TABLE_BYTES and NEEDLE_CHARS there is one pass per so many, over texts that are written once.
+    TABLE_BYTES and NEEDLE_CHARS there is one pass per so many, over texts that are written once.  Of ``page_text_with_spans`` each
+    hit has its ``spans``.
     """
     key = [f for f in page_texts.schema.fields if f.name in PAGE_KEY]
-    spark, texts = page_texts.sparkSession, page_texts.select(*PAGE_KEY, "text")
+    carried = [f for f in page_texts.schema.fields if f.name == "spans"]
+    spark, texts = page_texts.sparkSession, page_texts.select(*PAGE_KEY, "text", *[f.name for f in carried])
     schema = StructType([*sorted(key, key=lambda f: PAGE_KEY.index(f.name)), StructField("query", StringType()),
-                         StructField("start", IntegerType()), StructField("hit_length", IntegerType())])
+                         StructField("start", IntegerType()), StructField("hit_length", IntegerType()), *carried])
 
     def finder(tables, needles):
         sizes = [len(n) for n in needles]
@@ -264,7 +294,7 @@ def find_matches(page_texts: DataFrame, queries, per_page=None) -> DataFrame:
             at = pa.array(rows, pa.int32())
             return pa.RecordBatch.from_arrays([
                 batch.column(0).take(at), batch.column(1).take(at), names, pa.array(start, pa.int32()),
-                pa.array(size, pa.int32())], schema.names)
+                pa.array(size, pa.int32()), *[_spans_under(batch.column(3), rows, start, size) for _ in carried]], schema.names)
 
         def find(batches):
             machine = automaton(needles) if needles else None
@@ -342,10 +372,17 @@ def hit_spans(hits: DataFrame, offsets: DataFrame, bucket=256) -> DataFrame:
     ).drop("_b", "_end")
 
 
-def hit_quads(hits: DataFrame, offsets: DataFrame) -> DataFrame:
-    """One rectangle per hit and span, cut to the matched characters, as quads per hit."""
-    over = hit_spans(hits, offsets)
-    width = (F.col("x1") - F.col("x0")) / F.length("text")
+def hit_quads(hits: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
+    """One rectangle per hit and span, cut to the matched characters, as quads per hit.
+
+    Hits of ``page_text_with_spans`` have their spans; others are joined with ``offsets``, for pages of any size.
+    """
+    if offsets is None:
+        over = hits.withColumn("_s", F.explode("spans")).select("query", *PAGE_KEY, "match_index", "start", "hit_length", "_s.*")
+        length = F.col("char_end") - F.col("char_start")
+    else:
+        over, length = hit_spans(hits, offsets), F.length("text")
+    width = (F.col("x1") - F.col("x0")) / length
     first = F.greatest(F.col("start") - F.col("char_start"), F.lit(0))
     last = F.least(F.col("start") + F.col("hit_length"), F.col("char_end")) - F.col("char_start")
     x0, x1 = F.col("x0") + first * width, F.col("x0") + last * width

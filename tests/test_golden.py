@@ -679,6 +679,24 @@ def test_needles_in_parts(spark, monkeypatch):
     assert rows(hits, "query", "start") == [("alpha", 0), ("beta", 6), ("delta", 17), ("gamma", 11)]
 
 
+def test_hits_carry_their_spans(spark):
+    """The same quads as by the join with all spans, and no span is shuffled for them."""
+    dice = random.Random(5)
+    words = ["the", "th", "e", "", "stra\u00dfe", "\U0001d400the", "other", None]
+    data = [(d, 0, k, dice.choice(words), 10.0 * k, 700.0, 10.0 * k + 9, 712.0) for d in (1, 2, None) for k in range(40)]
+    df = spark.createDataFrame(data, SPAN).filter("doc_id is not null")
+    offsets = text.span_offsets(text.reading_order(df, hot_rows=None), " ", hot_rows=None)
+    carried = text.page_text_with_spans(offsets, " ")
+    plain = text.page_text(text.reading_order(df, hot_rows=None), " ")
+    assert rows(carried, "doc_id", "text") == rows(plain, "doc_id", "text")
+    queries = ["the", "the th", "e", "STRASSE", " "]
+    want = text.hit_quads(text.search(plain, queries), offsets)
+    got = text.hit_quads(text.search(carried, queries))
+    assert rows(got, *want.columns) == rows(want, *want.columns) and got.count() > 50
+    assert "Window" in want._jdf.queryExecution().optimizedPlan().toString()
+    assert "read_index" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_folded_text_is_redacted(spark):
     data = [(1, 0, k, w, 60.0 * k, 700.0, 60.0 * k + 7 * len(w), 712.0) for k, w in enumerate(["\u0130stanbul", "in", "Stra\u00dfe", "istanbul"])]
     spans = spark.createDataFrame(data, "doc_id long, page_number int, span_id long, text string, x0 double, y0 double, x1 double, y1 double")
