@@ -114,7 +114,8 @@ def reading_order(spans: DataFrame, anchor="bottom", hot_rows=HOT_PAGE_ROWS) ->
 
 
 def joined_text(order, text, sep):
-    pieces = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
+    # sort_array compares structs as such; array_sort evaluates a function for every two of them.
+    pieces = F.sort_array(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
     return F.array_join(F.transform(pieces, lambda p: p["t"]), sep)
 
 
@@ -150,7 +151,7 @@ def page_text_with_spans(offsets: DataFrame, sep="") -> DataFrame:
     are one value here, some ten times its text; where that is too much, ``hit_quads`` takes the offsets as a table.
     """
     span = F.struct("char_start", "char_end", "span_id", "x0", "y0", "x1", "y1")
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("read_index").alias("o"), F.col("text").alias("t"), span.alias("s"))))
+    pieces = F.sort_array(F.collect_list(F.struct(F.col("read_index").alias("o"), F.col("text").alias("t"), span.alias("s"))))
     return offsets.groupBy(*PAGE_KEY).agg(pieces.alias("_p")).select(
         *PAGE_KEY, F.array_join(F.transform("_p", lambda p: p["t"]), sep).alias("text"),
         F.transform(F.filter("_p", lambda p: p["s"]["char_end"] > p["s"]["char_start"]), lambda p: p["s"]).alias("spans"))

@@ -679,6 +679,14 @@ def test_needles_in_parts(spark, monkeypatch):
     assert rows(hits, "query", "start") == [("alpha", 0), ("beta", 6), ("delta", 17), ("gamma", 11)]
 
 
+def test_pieces_are_not_compared_by_a_function(spark):
+    df = spark.createDataFrame([(1, 0, k, t) for k, t in [(2, "c"), (None, "a"), (1, "b"), (1, None), (3, None)]],
+                               "doc_id long, page_number int, read_index long, text string")
+    joined = text.page_text(df, "-")
+    assert joined.first().text == "a-b-c"
+    assert "array_sort" not in joined._jdf.queryExecution().analyzed().toString()
+
+
 def test_hits_carry_their_spans(spark):
     """The same quads as by the join with all spans, and no span is shuffled for them."""
     dice = random.Random(5)
