@@ -16,19 +16,26 @@ def _display_box(leaf, estimate_short_array):
 
     A line with a too short array falls back to its point, a nested span does not.
     """
-    obj = F.from_json(leaf["bbox"], "x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")
-    arr = F.from_json(leaf["bbox"], "ARRAY<DOUBLE>")
     is_obj = leaf["bbox"].startswith("{")
     box = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
     placed = leaf["x"].isNotNull() & leaf["y"].isNotNull()
     guess = F.when(placed, estimate_bbox(leaf["text"], leaf["x"], leaf["y"], leaf["font"]["size"]))
     short = guess if estimate_short_array else F.lit(None)
-    return (
-        F.when(leaf["bbox"].isNull(), guess)
-        .when(is_obj, box(obj["x"], obj["y"], obj["x"] + obj["w"], obj["y"] + obj["h"]))
-        .when(F.size(arr) >= 4, box(F.get(arr, 0), F.get(arr, 1), F.get(arr, 2), F.get(arr, 3)))
-        .otherwise(short)
-    )
+
+    def read(both):
+        obj, arr = both["obj"], both["arr"]
+        return (
+            F.when(leaf["bbox"].isNull(), guess)
+            .when(is_obj, box(obj["x"], obj["y"], obj["x"] + obj["w"], obj["y"] + obj["h"]))
+            .when(F.size(arr) >= 4, box(F.get(arr, 0), F.get(arr, 1), F.get(arr, 2), F.get(arr, 3)))
+            .otherwise(short)
+        )
+
+    # As the element of an array the parsed box is a value; named in each place, it would be parsed for each of them.
+    parsed = F.struct(
+        F.when(is_obj, F.from_json(leaf["bbox"], "x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")).alias("obj"),
+        F.when(~is_obj, F.from_json(leaf["bbox"], "ARRAY<DOUBLE>")).alias("arr"))
+    return F.get(F.transform(F.array(parsed), read), 0)
 
 
 def read_structured_text(df: DataFrame, json_col="json") -> DataFrame:
@@ -37,11 +44,13 @@ def read_structured_text(df: DataFrame, json_col="json") -> DataFrame:
     ``df`` has ``doc_id, page_number, page_height`` and the JSON, either ``{"blocks": [...]}`` or the bare list.
     """
     blocks = F.coalesce(F.from_json(json_col, f"blocks {_BLOCKS}")["blocks"], F.from_json(json_col, _BLOCKS))
+    # The outer forms: for the others Spark adds filters that parse everything a second time.  Rows without an element fall out
+    # below.
     text_blocks = df.select(
-        "doc_id", "page_number", "page_height", F.posexplode(blocks).alias("b", "block")
+        "doc_id", "page_number", "page_height", F.posexplode_outer(blocks).alias("b", "block")
     ).filter(F.col("block.type").isin("text", "paragraph"))
     lines = text_blocks.select(
-        "doc_id", "page_number", "page_height", "b", F.posexplode("block.lines").alias("l", "line"))
+        "doc_id", "page_number", "page_height", "b", F.posexplode_outer("block.lines").alias("l", "line"))
     leaf = F.struct(*[F.col(f"line.{c}") for c in ("text", "x", "y", "bbox", "font")])
     # The line itself comes first (position 0), its spans follow.
     own = F.struct(F.lit(0).alias("s"), leaf.alias("leaf"), _display_box(F.col("line"), True).alias("box"))
@@ -49,7 +58,7 @@ def read_structured_text(df: DataFrame, json_col="json") -> DataFrame:
         F.coalesce("line.spans", F.array().cast(f"array<struct<{_LEAF}>>")),
         lambda sp, i: F.struct((i + 1).cast("int").alias("s"), sp.alias("leaf"), _display_box(sp, False).alias("box")))
     rows = lines.select(
-        "doc_id", "page_number", "page_height", "b", "l", F.explode(F.concat(F.array(own), nested)).alias("r")
+        "doc_id", "page_number", "page_height", "b", "l", F.explode_outer(F.concat(F.array(own), nested)).alias("r")
     ).filter((F.coalesce("r.leaf.text", F.lit("")) != "") & F.col("r.box").isNotNull())
     d = F.col("r.box")
     h = F.coalesce("page_height", F.lit(792.0))

@@ -679,6 +679,18 @@ def test_needles_in_parts(spark, monkeypatch):
     assert rows(hits, "query", "start") == [("alpha", 0), ("beta", 6), ("delta", 17), ("gamma", 11)]
 
 
+def test_structured_text_is_parsed_once(spark):
+    """Two schemas of the whole, and of each box two: no place of a box parses it for itself, no filter parses the blocks again."""
+    df = spark.createDataFrame([
+        (1, 0, 100.0, '{"blocks": [{"type": "text", "lines": [{"text": "a", "bbox": [1, 2, 3, 4]}]}, {"type": "text"}]}'),
+        (2, 0, 100.0, '[{"type": "paragraph", "lines": [{"text": "b", "bbox": {"x": 1, "y": 2, "w": 3, "h": 4}}]}]'),
+        (3, 0, 100.0, "[]"), (4, 0, 100.0, None), (5, 0, 100.0, '[{"type": "text", "lines": []}, null]')],
+        "doc_id long, page_number int, page_height double, json string")
+    read = read_structured_text(df)
+    assert rows(read, "doc_id", "text", "x0", "x1", "y0", "y1") == [(1, "a", 1.0, 3.0, 96.0, 98.0), (2, "b", 1.0, 4.0, 94.0, 98.0)]
+    assert 0 < read._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 6
+
+
 def test_pieces_are_not_compared_by_a_function(spark):
     df = spark.createDataFrame([(1, 0, k, t) for k, t in [(2, "c"), (None, "a"), (1, "b"), (1, None), (3, None)]],
                                "doc_id long, page_number int, read_index long, text string")
