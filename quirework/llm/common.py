@@ -1,8 +1,11 @@
 """Helpers of the operators: global order without one big task, connected components, bounded membership bitmaps."""
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,27 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+_HELD, _CLAIMED = {}, []
+
+
+def claim(name: str, *caches: dict):
+    """Worker memory goes to the step that runs: the first call under another name empties the caches of the other names and
+    gives free memory back to the system, as a worker serves one step after the other."""
+    _HELD[name] = caches
+    if _CLAIMED != [name]:
+        _CLAIMED[:] = [name]
+        for other, held in _HELD.items():
+            if other != name:
+                for cache in held:
+                    cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no such call on this system
+            pass
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

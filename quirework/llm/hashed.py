@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirework.plans.settle import settle
 
-from .common import in_fold
+from .common import claim, in_fold
 
 BUCKETS = 1 << 18
 #: Labelled rows that a model learns from at most, and buckets with a weight at most.  Both bound what is collected.
@@ -98,6 +98,7 @@ def style(text, table) -> dict:
 
 def tables(kind):
     """The caches that a feature function needs; a worker keeps one of each."""
+    claim("hashed", _TABLES)
     if not _TABLES:
         _TABLES.update(words=Cached(word_terms), shapes=Cached(lambda p: bucket(f"shape:{shape(p)}")))
     return _TABLES["words"] if kind is presence else (_TABLES["words"], _TABLES["shapes"])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirework.plans.settle import settle
 
-from .common import bitmap, components, discard, maybe, stored
+from .common import bitmap, claim, components, discard, maybe, stored
 
 #: n-grams that the prefixes of two similar sets share at least.
 SHARED = 3
@@ -111,6 +111,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, cls, set, often): ``set`` only on a task's first row of a class; ``often`` lists a batch's n-grams
     that many of its sets hold, with counts."""
     def run(batches):
+        claim("ngrams")
         seen = set()
         kind = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
         for batch in _slices(batches):

@@ -11,6 +11,8 @@ from array import array
 
 import numpy as np
 
+from .common import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces whose ids a worker keeps (about 200 bytes each).
@@ -95,6 +97,7 @@ class WordEncoder:
 
 def encoder(path: str, spaced: bool) -> WordEncoder:
     """The worker's encoder for a vocabulary file."""
+    claim("tokens", _ENCODERS)
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = WordEncoder(path, spaced)
     return _ENCODERS[path, spaced]

@@ -431,3 +431,20 @@ def test_ordinal_thresholds():
     assert (np.diff(model.thresholds()) > 0).all()
     expected = (1 - model.below(np.arange(900), np.zeros(900, int), x, 900)).sum(axis=1)
     assert np.corrcoef(expected, y)[0, 1] > 0.9
+
+
+def test_worker_memory_goes_to_the_running_step():
+    """Caches of one step are empty once another one runs, and are kept from task to task of the same step."""
+    from quirework.llm import hashed, tokens
+    from quirework.llm.common import claim
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = tokens.encoder(path, False)
+    enc.encode(["some words"])
+    assert tokens.encoder(path, False) is enc
+    words = hashed.tables(hashed.presence)
+    assert words["some"] and not tokens._ENCODERS
+    assert hashed.tables(hashed.presence) is words
+    claim("ngrams")
+    assert not hashed._TABLES
+    assert tokens.encoder(path, False).encode(["some words"]) == enc.encode(["some words"])
