@@ -217,8 +217,8 @@ def dedupe_widgets(spark, sf):
     return op.dedupe_widgets(w.withColumn("ann_id", c("ann_id").cast("string")), found).select("ann_id", *KEY)
 
 
-def _arrows(spark, sf, kind, shift, prefix):
-    a = fx.valid_annotations(spark, sf).filter(c("type") == kind)
+def _arrows(annotations, kind, shift, prefix):
+    a = annotations.filter(c("type") == kind)
     e = c("ann_id")
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x, y = c("x") + (e % 3) * F.lit(shift), c("y")
@@ -252,10 +252,12 @@ def _arrow_sql(kind, shift, prefix, later=0):
     union all select st.ann_id, doc_id, page_number, 'stored', coalesce(up.x, st.x) from st left join up on up.stored = st.ann_id""", recursive=True))
 def dedupe_on_load(spark, sf):
     """Arrows of the store, loaded again with shifts and turned round, plus fresh ones."""
-    store = _arrows(spark, sf, "text", 0.0, "s")
-    again = _arrows(spark, sf, "text", 4.0, "b")
-    twice = _arrows(spark, sf, "highlight", 0.4, "n").unionByName(
-        _arrows(spark, sf, "highlight", 0.7, "m").withColumn("ord", c("ord") + 100000000))
+    # Batch and store are stored tables in practice; here they are derived, so their rows are written once.
+    a = settle(fx.valid_annotations(spark, sf).filter(c("type").isin("text", "highlight")).select(
+        "ann_id", "ord", *KEY, "type", "x", "y", "width", "height"))
+    store, again = _arrows(a, "text", 0.0, "s"), _arrows(a, "text", 4.0, "b")
+    twice = _arrows(a, "highlight", 0.4, "n").unionByName(
+        _arrows(a, "highlight", 0.7, "m").withColumn("ord", c("ord") + 100000000))
     to_add, updated = op.dedupe_on_load(again.unionByName(twice), store)
     return to_add.select("ann_id", *KEY, F.lit("added").alias("outcome"), "x").unionByName(
         updated.select("ann_id", *KEY, F.lit("stored").alias("outcome"), "x"))

@@ -1,6 +1,8 @@
 """Matches within a tolerance, found by grid cell; and first-come de-duplication on top of them."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -102,6 +104,22 @@ def _first_in_plane(places, stored, keys, dims, tol, strict) -> DataFrame:
     return whole.unionByName(single).groupBy(*keys, *dims).agg(F.min("hit").alias("hit"))
 
 
+def _changes(values) -> np.ndarray:
+    """Which places of an Arrow array begin a run of equal values; nulls are equal."""
+    out = np.ones(len(values), bool)
+    if len(values) < 2:
+        return out
+    if pa.types.is_struct(values.type):
+        out[1:] = False
+        for part in [values.is_valid(), *values.flatten()]:
+            out |= _changes(part)
+        return out
+    one, two = values.slice(1), values.slice(0, len(values) - 1)
+    differ = pc.not_equal(one, two).fill_null(False).to_numpy(zero_copy_only=False)
+    out[1:] = differ | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
+    return out
+
+
 def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> DataFrame:
     """Nodes that survive when each is dropped if an earlier *surviving* node is its neighbour.
 
@@ -119,17 +137,26 @@ def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> D
     later = placed.select(F.col("node").alias("later"), "root", F.col("rank").alias("l"))
     pairs = settle(edges.join(first, "earlier").join(later, "later").select("root", "e", "l"))
 
-    def scan(key, pdf):
-        pdf = pdf.sort_values("l", kind="stable")
-        kept, gone, now = {}, [], None
-        for e, l in zip(pdf["e"].tolist(), pdf["l"].tolist()):
-            if l != now:
-                now, kept[l] = l, True
-            # An earlier node without a line of its own has no earlier neighbour.  -1 stands for one kept in an earlier block.
-            if kept[l] and (e < 0 or kept.get(e, True)):
-                kept[l] = False
-                gone.append(l)
-        return pd.DataFrame({"root": [key[0]] * len(gone), "l": gone})
+    def scan(batches):
+        # Rows come sorted by root and place; a group may go on in the next batch.
+        last, kept, now = None, {}, None
+        for batch in batches:
+            roots, gone = batch.column(0), []
+            fresh = _changes(roots if last is None else pa.concat_arrays([last, roots]))[0 if last is None else 1:]
+            rows = zip(fresh.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for i, (new, e, l) in enumerate(rows):
+                if new:
+                    kept, now = {}, None
+                if l != now:
+                    now, kept[l] = l, True
+                # An earlier node without a line of its own has no earlier neighbour.  -1 stands for one kept in an earlier block.
+                if kept[l] and (e < 0 or kept.get(e, True)):
+                    kept[l] = False
+                    gone.append(i)
+            if batch.num_rows:
+                last = roots.slice(batch.num_rows - 1)
+            at = pa.array(gone, pa.int64())
+            yield pa.RecordBatch.from_arrays([roots.take(at), batch.column(2).take(at)], ["root", "l"])
 
     kind = StructType([StructField("root", groups.schema["root"].dataType), StructField("l", LongType())])
     block = lambda c: F.floor(F.col(c) / block_nodes)
@@ -143,7 +170,8 @@ def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> D
             lost = kept.select("root", "l").distinct()
             inner = inner.join(lost, ["root", "l"], "left_anti").select("root", "e", "l").unionByName(
                 lost.select("root", F.lit(-1).cast("long").alias("e"), "l"))
-        fresh = inner.groupBy("root").applyInPandas(scan, kind)
+        # Groups are many and mostly small: a task scans all of its own in one go, without a call for each.
+        fresh = inner.select("root", "e", "l").repartition("root").sortWithinPartitions("root", "l").mapInArrow(scan, kind)
         dropped = settle(fresh if dropped is None else dropped.unionByName(fresh))
     if dropped is None:
         return nodes.select("node")
