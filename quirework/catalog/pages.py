@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import pages as op
 from ..plans import fixtures as fx
 from ..plans.oracle import with_tables
+from ..plans.settle import settle
 from .registry import query
 
 c = F.col
@@ -81,8 +82,9 @@ def insert_pages(spark, sf):
     select ann_id::varchar as ann_id, doc_id, (case when page_number >= ix then page_number + n else page_number end)::int as page_number, type from annv left join cnt using (doc_id)
     union all select a.ann_id || '_copy_7_' || idx, pick.doc_id, (ix + idx)::int, a.type from pick join annv a on a.doc_id = source_doc_id and a.page_number = p"""))
 def paste_annotations(spark, sf):
-    pages = fx.pages(spark, sf)
-    ann = fx.valid_annotations(spark, sf).select("ann_id", *KEY, "type")
+    # Pages and annotations are stored tables in practice; here they are derived, so they are written once.
+    pages = settle(fx.pages(spark, sf).select(*KEY))
+    ann = settle(fx.valid_annotations(spark, sf).select("ann_id", *KEY, "type"))
     return op.paste_annotations(ann, ann, pages, _requests(spark, sf, op.page_count(pages)), "7")
 
 

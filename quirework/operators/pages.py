@@ -123,6 +123,7 @@ def _picked_pages(requests: DataFrame, source: DataFrame) -> DataFrame:
 
 def _placed(picked: DataFrame):
     """The insertions of each document, and the picked pages with their final page number."""
+    picked = settle(picked)  # read three times
     counts = picked.groupBy("doc_id", "_key", "at").agg(F.count(F.lit(1)).alias("count")).select(
         "doc_id", F.col("_key.ord").alias("ord"), "at", F.col("_key.src").alias("source_doc_id"), "count")
     later = F.filter("_ops", lambda o: o["key"] > F.col("_key"))

@@ -59,11 +59,15 @@ def spans(spark, sf_dir) -> DataFrame:
 
 
 def pages(spark, sf_dir) -> DataFrame:
+    # Lines are counted inside their document's row, so that only page numbers are shuffled, by document as in ``lines``.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    on_page = F.transform(F.split("text", "\n"), lambda line, i: F.when(
+        F.trim(line) != "", F.floor(i / LINES_PER_PAGE).cast("int")))
+    numbered = table(spark, sf_dir, "documents").select(
+        "doc_id", F.explode(F.array_compact(F.array_distinct(on_page))).alias("page_number"))
     doc = F.col("doc_id")
     return (
-        lines(spark, sf_dir)
-        .filter(F.regexp_replace("line", " ", "") != "")
-        .select("doc_id", F.floor(F.col("line_no") / LINES_PER_PAGE).cast("int").alias("page_number"))
+        numbered.repartition(max(n, spark.sparkContext.defaultParallelism), "doc_id")
         .distinct()
         .select(
             "doc_id",
