@@ -49,9 +49,13 @@ def estimate_bbox(spark, sf):
 def explode_characters(spark, sf):
     from ..operators.selection import explode_characters as op
 
-    return op(fx.spans(spark, sf)).groupBy("doc_id", "page_number").agg(
+    # The last character goes by its code point, which orders as the text does: a string in the buffer would sort every
+    # character by page before it is counted.
+    per_page = op(fx.spans(spark, sf)).groupBy("doc_id", "page_number").agg(
         F.count(F.lit(1)).alias("n_chars"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-        F.max("text").alias("last_char"), F.sum(F.floor(c("x0") * 10)).alias("x_sum"))
+        F.max(F.ascii("text")).alias("_code"), F.sum(F.floor(c("x0") * 10)).alias("x_sum"))
+    last = F.decode(F.unhex(F.lpad(F.hex(c("_code")), 8, "0")), "UTF-32")
+    return per_page.select("doc_id", "page_number", "n_chars", "x0", "x1", last.alias("last_char"), "x_sum")
 
 
 _DRAG = """(select event_id, (event_id * 37 % 400)::double as sx, (event_id * 53 % 700)::double as sy,

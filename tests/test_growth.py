@@ -1,7 +1,7 @@
 """Work that must not be done once more for every group or every reader: seen in the calls and plans, not in seconds."""
 
 import pytest
-from quirework.catalog import annotations, pages
+from quirework.catalog import annotations, pages, scalars
 from quirework.plans import fixtures as fx
 from quirework.plans import near
 
@@ -46,3 +46,9 @@ def test_derived_tables_are_written_once(spark, query):
     """Annotations and pages are derived from the documents once, not by every branch of the plan."""
     read = query(spark, SF_DIR).inputFiles()
     assert read and not any(t in f for f in read for t in ("documents.parquet", "events.parquet"))
+
+
+def test_characters_are_counted_without_a_sort(spark):
+    """The one sort left is that of the words of a line."""
+    plan = _plan(scalars.explode_characters(spark, SF_DIR))
+    assert "SortAggregate" not in plan and plan.count("Sort [") == 1
