@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -26,25 +27,41 @@ _WORD = re.compile(r"\w+")
 _RUN = re.compile(r"(.)\1+")
 
 
+_MASK = BUCKETS - 1
+_FOUR, _FIVE = zlib.crc32(b"4:"), zlib.crc32(b"5:")
+
+
 def bucket(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & _MASK
 
 
 def word_terms(piece: str) -> tuple:
     """Buckets of the words of a lower-cased piece and of their beginnings, which catch inflected forms."""
     out = []
-    for w in _WORD.findall(piece):
+    for w in (piece,) if piece.isalnum() else _WORD.findall(piece):
         out.append(bucket(w))
+        # crc32 goes on from the checksum of the mark before a beginning.
         if len(w) > 4:
-            out.append(bucket(f"4:{w[:4]}"))
+            out.append(zlib.crc32(w[:4].encode("utf-8", "surrogatepass"), _FOUR) & _MASK)
         if len(w) > 5:
-            out.append(bucket(f"5:{w[:5]}"))
+            out.append(zlib.crc32(w[:5].encode("utf-8", "surrogatepass"), _FIVE) & _MASK)
     return tuple(out)
 
 
-def shape(piece: str) -> str:
-    """Kinds of characters with runs as one: ``THE!!`` is ``A!``, ``Word,`` is ``Aa,``."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in piece)
+class Kinds(dict):
+    """Code point -> kind of character, for ``str.translate``."""
+
+    def __missing__(self, point):
+        c = chr(point)
+        out = self[point] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return out
+
+
+_KINDS = Kinds()
+
+
+def shape(kinds: str) -> str:
+    """A piece's kinds of characters with runs as one: ``THE!!`` is ``A!``, ``Word,`` is ``Aa,``."""
     return _RUN.sub(r"\1", kinds)
 
 
@@ -64,11 +81,7 @@ class Cached(dict):
 
 def presence(text, table) -> dict:
     """{bucket: 1} of the words of a whole text."""
-    out = {}
-    for piece in set((text or "").lower().split()):
-        for b in table[piece]:
-            out[b] = 1.0
-    return out
+    return dict.fromkeys(chain.from_iterable(map(table.__getitem__, set((text or "").lower().split()))), 1.0)
 
 
 def style(text, table) -> dict:
@@ -82,9 +95,10 @@ def style(text, table) -> dict:
     out = presence(" ".join(counts), words_)
     n = len(pieces)
     share = Counter()
-    for piece, k in counts.items():
-        for at in range(0, len(piece), WINDOW):
-            share[shapes[piece[at:at + WINDOW]]] += k
+    # No kind is white space but white space itself, so the kinds of a text fall into the same pieces; few differ.
+    for kinds, k in Counter(text.translate(_KINDS).split()).items():
+        for at in range(0, len(kinds), WINDOW):
+            share[shapes[kinds[at:at + WINDOW]]] += k
     total = share.total()
     for b, k in share.items():
         out[b] = (k / total) ** 0.5
@@ -140,16 +154,17 @@ def learned_terms(train: DataFrame, kind, top: int) -> np.ndarray:
 
 def rows_of(texts, kind, table, terms) -> tuple:
     """Cuts, columns and values of the texts' rows over ``terms`` (sorted buckets)."""
-    place = {b: k for k, b in enumerate(terms.tolist())}
-    cuts, cols, vals = [0], [], []
+    place = np.full(BUCKETS, -1, np.int64)
+    place[terms] = np.arange(len(terms))
+    cuts, cols, vals = [0], [np.empty(0, np.int64)], [np.empty(0)]
     for text in texts:
-        for b, v in kind(text, table).items():
-            k = place.get(b)
-            if k is not None:
-                cols.append(k)
-                vals.append(v)
-        cuts.append(len(cols))
-    return np.array(cuts), np.array(cols, np.int64), np.array(vals)
+        row = kind(text, table)
+        at = place[np.fromiter(row, np.int64, len(row))]
+        known = at >= 0
+        cols.append(at[known])
+        vals.append(np.fromiter(row.values(), float, len(row))[known])
+        cuts.append(cuts[-1] + len(cols[-1]))
+    return np.array(cuts), np.concatenate(cols), np.concatenate(vals)
 
 
 def matrix(train: DataFrame, kind, terms) -> tuple:
