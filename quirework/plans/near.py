@@ -104,22 +104,6 @@ def _first_in_plane(places, stored, keys, dims, tol, strict) -> DataFrame:
     return whole.unionByName(single).groupBy(*keys, *dims).agg(F.min("hit").alias("hit"))
 
 
-def _changes(values) -> np.ndarray:
-    """Which places of an Arrow array begin a run of equal values; nulls are equal."""
-    out = np.ones(len(values), bool)
-    if len(values) < 2:
-        return out
-    if pa.types.is_struct(values.type):
-        out[1:] = False
-        for part in [values.is_valid(), *values.flatten()]:
-            out |= _changes(part)
-        return out
-    one, two = values.slice(1), values.slice(0, len(values) - 1)
-    differ = pc.not_equal(one, two).fill_null(False).to_numpy(zero_copy_only=False)
-    out[1:] = differ | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
-    return out
-
-
 def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> DataFrame:
     """Nodes that survive when each is dropped if an earlier *surviving* node is its neighbour.
 
@@ -137,12 +121,27 @@ def keep_first(nodes: DataFrame, edges: DataFrame, block_nodes=BLOCK_NODES) -> D
     later = placed.select(F.col("node").alias("later"), "root", F.col("rank").alias("l"))
     pairs = settle(edges.join(first, "earlier").join(later, "later").select("root", "e", "l"))
 
+    def changes(values):
+        """Which places of an Arrow array begin a run of equal values; nulls are equal."""
+        out = np.ones(len(values), bool)
+        if len(values) < 2:
+            return out
+        if pa.types.is_struct(values.type):
+            out[1:] = False
+            for part in [values.is_valid(), *values.flatten()]:
+                out |= changes(part)
+            return out
+        one, two = values.slice(1), values.slice(0, len(values) - 1)
+        differ = pc.not_equal(one, two).fill_null(False).to_numpy(zero_copy_only=False)
+        out[1:] = differ | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
+        return out
+
     def scan(batches):
         # Rows come sorted by root and place; a group may go on in the next batch.
         last, kept, now = None, {}, None
         for batch in batches:
             roots, gone = batch.column(0), []
-            fresh = _changes(roots if last is None else pa.concat_arrays([last, roots]))[0 if last is None else 1:]
+            fresh = changes(roots if last is None else pa.concat_arrays([last, roots]))[0 if last is None else 1:]
             rows = zip(fresh.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
             for i, (new, e, l) in enumerate(rows):
                 if new:
