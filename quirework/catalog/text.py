@@ -140,7 +140,7 @@ def hit_quads(spark, sf):
     select doc_id, page_number, string_agg(t, '' order by span_id, i) as text from kept group by 1, 2"""))
 def search_and_redact(spark, sf):
     boxes = text.hit_quads(_hits_on_spans(spark, sf))
-    left, _ = redact.search_and_redact(fx.spans(spark, sf), boxes)
+    left, _ = redact.search_and_redact(fx.spans(spark, sf), boxes, dealt_by=fx.DEALT_BY)
     return left.groupBy(*KEY).agg(
         text.joined_text(F.struct("span_id", "run_index"), c("text"), "").alias("text"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp_rect
+from ..plans.deal import deal, noted
 from ..plans.settle import settle
 from .selection import PAGE_KEY, band_join
 
@@ -46,7 +47,11 @@ def removed_ranges(spans: DataFrame, areas: DataFrame) -> DataFrame:
 
 def remove_characters(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """Spans without the removed characters; a cut span continues as one row per remaining run."""
-    joined = spans.join(ranges, SPAN_KEY, "left")
+    return _without(spans.join(ranges, SPAN_KEY, "left"), spans.columns)
+
+
+def _without(joined, columns):
+    """The same for spans that have their ``removed`` ranges, or null."""
     n = F.length("text")
     run = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     none = F.array().cast("array<struct<a:int,b:int>>")
@@ -60,7 +65,7 @@ def remove_characters(spans: DataFrame, ranges: DataFrame) -> DataFrame:
         lambda acc: F.concat(acc["runs"], F.when(acc["next"] < n, F.array(run(acc["next"], n - 1))).otherwise(none)))
     runs = F.when(F.col("removed").isNull(), F.array(run(F.lit(0), n - 1))).otherwise(left)
     w = (F.col("x1") - F.col("x0")) / n
-    out = joined.select(*spans.columns, "removed", F.posexplode(runs).alias("run_index", "_run"))
+    out = joined.select(*columns, "removed", F.posexplode(runs).alias("run_index", "_run"))
     whole = F.col("removed").isNull()
     a, b = F.col("_run.a"), F.col("_run.b")
     fresh = {
@@ -68,7 +73,7 @@ def remove_characters(spans: DataFrame, ranges: DataFrame) -> DataFrame:
         "x0": F.when(whole | (a == 0), F.col("x0")).otherwise(F.col("x0") + a * w),
         "x1": F.when(whole | (b == n - 1), F.col("x1")).otherwise(F.col("x0") + (b + 1) * w),
     }
-    return out.select(*[fresh.get(c, F.col(c)).alias(c) for c in spans.columns], "run_index")
+    return out.select(*[fresh.get(c, F.col(c)).alias(c) for c in columns], "run_index")
 
 
 def apply_redactions(spans: DataFrame, annotations: DataFrame, pages: DataFrame):
@@ -103,7 +108,17 @@ def redaction_report(areas: DataFrame, ranges: DataFrame) -> DataFrame:
         F.coalesce("characters_removed", zero).alias("characters_removed"))
 
 
-def search_and_redact(spans: DataFrame, hits: DataFrame):
-    """Remove the text under search hits (rows of ``hit_quads``, which name span and character range)."""
+def search_and_redact(spans: DataFrame, hits: DataFrame, dealt_by: list[str] | None = None):
+    """Remove the text under search hits (rows of ``hit_quads``, which name span and character range).
+
+    ``dealt_by`` states by which of their keys the spans are dealt (``plans.deal``): the ranges are then dealt to them, and no span
+    is shuffled.
+    """
+    hits = hits.select(*SPAN_KEY, "a", "b")
+    if dealt_by:
+        hits = deal(hits, dealt_by)
     ranges = hits.groupBy(*SPAN_KEY).agg(F.collect_set(F.struct("a", "b")).alias("removed"))
-    return remove_characters(spans, ranges), ranges
+    if not dealt_by:
+        return remove_characters(spans, ranges), ranges
+    joined = noted(spans, hits, SPAN_KEY, "removed", F.collect_set)
+    return _without(joined.withColumn("removed", F.when(F.size("removed") > 0, F.col("removed"))), spans.columns), ranges

@@ -3,7 +3,11 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .deal import deal
+
 CHAR_WIDTH, LINE_PITCH, LINES_PER_PAGE, MARGIN = 7.2, 16.0, 20, 72.0
+# How ``lines`` and ``spans`` are dealt.
+DEALT_BY = ["doc_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +30,7 @@ def page_height(doc_id: Column) -> Column:
 def lines(spark, sf_dir) -> DataFrame:
     # Shuffle the documents while they are still one compact row each: everything below is keyed by document and
     # page, so the words need no shuffle of their own.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(
-        max(n, spark.sparkContext.defaultParallelism), "doc_id")
+    docs = deal(table(spark, sf_dir, "documents").select("doc_id", "text"), DEALT_BY)
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 

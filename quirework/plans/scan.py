@@ -100,7 +100,8 @@ def ordered_scan(
     per_chunk = base.groupBy(*plain, _NULLS).agg(F.first(_CHUNK).alias(_CHUNK), *aggs)
     offsets = per_chunk.select(*plain, _NULLS, *carried)
     scanned = base.select("*", *cols)
-    return scanned.join(offsets, [*plain, _NULLS]).select(*[F.col(c) for c in df.columns], *fixed)
+    # Every chunk has its offsets; as an outer join it falls away where no scanned column is used.
+    return scanned.join(offsets, [*plain, _NULLS], "left").select(*[F.col(c) for c in df.columns], *fixed)
 
 
 def range_chunks(df: DataFrame, keys: list[str], order: list[Column], name: str = "chunk") -> DataFrame:
