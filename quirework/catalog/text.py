@@ -57,7 +57,7 @@ def reading_order(spark, sf):
     select doc_id, page_number, span_id, li::bigint as line_index, row_number() over (partition by doc_id, page_number order by li, x0, span_id) - 1 as read_index from l"""))
 def reading_order_dense(spark, sf):
     """Centre anchor, every page of more than 200 spans treated as dense."""
-    return text.reading_order(fx.spans(spark, sf), "center", hot_rows=200).select(
+    return text.reading_order(fx.spans(spark, sf), "center", hot_rows=200, dealt_by=fx.DEALT_BY).select(
         *KEY, "span_id", c("line_index").cast("long"), "read_index")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.folding import automaton, find_all, fold
 from ..functions.needles import NeedleTable, find_in_texts
+from ..plans.deal import deal, noted
 from ..plans.scan import ordered_scan, split_hot
 from ..plans.settle import settle
 
@@ -95,20 +96,59 @@ def _order_dense_pages(spans, y, hot_rows):
         marked.join(lines.filter(kind), [*PAGE_KEY, "_down"]) for kind in (F.col("_size") <= hot_rows, F.col("_size") > hot_rows))
     across = Window.partitionBy(*line_key).orderBy("x0", "span_id")
     plain = ordinary.withColumn("_in_line", F.row_number().over(across) - 1)
-    scanned = ordered_scan(hot, line_key, _cell(F.col("x0"), 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
-    ranked = (df.withColumn("read_index", (F.col("_start") + F.col("_in_line")).cast("long")).select(*out) for df in (plain, scanned))
+    ranked = (df.withColumn("read_index", (F.col("_start") + F.col("_in_line")).cast("long")).select(*out) for df in (plain, _chunked_ranks(hot)))
     return reduce(DataFrame.unionByName, ranked)
 
 
-def reading_order(spans: DataFrame, anchor="bottom", hot_rows=HOT_PAGE_ROWS) -> DataFrame:
+def _chunked_ranks(spans):
+    """``_in_line`` of spans of lines with any number of spans."""
+    return ordered_scan(
+        spans, [*PAGE_KEY, "line_index"], _cell(F.col("x0"), 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
+
+
+def _order_dealt_pages(spans, y, hot_rows, dealt_by):
+    """The same order for spans dealt by some of the page's keys: heights and pages are counted where the spans are, and the lines of
+    dense pages are dealt to them.
+
+    Only spans of lines beyond ``hot_rows`` are shuffled, to their chunks.
+    """
+    marked = spans.withColumn("_y", y).withColumn("_down", _down(F.col("_y")))
+    heights = marked.groupBy(*PAGE_KEY, "_down").agg(F.count(F.lit(1)).alias("_n"), F.first("_y").alias("_y"))
+    page = Window.partitionBy(*PAGE_KEY)
+    sized = heights.withColumns({"_spans": F.sum("_n").over(page), "_heights": F.count(F.lit(1)).over(page)})
+    known = F.col("doc_id").isNotNull() & F.col("page_number").isNotNull()
+    dense = settle(sized.filter((F.col("_spans") > hot_rows) & known).drop("_spans"))
+    few, many = (dense.filter(kind).drop("_heights") for kind in (F.col("_heights") <= hot_rows, F.col("_heights") > hot_rows))
+    found = [*PAGE_KEY, "_down", "line_index", "_start", "_size"]
+    lines = settle(_plain_lines(few).select(*found).unionByName(_chunked_lines(many).select(*found)))
+    placed = noted(marked, deal(lines, dealt_by), [*PAGE_KEY, "_down"], "_line", lambda line: F.first(line, ignorenulls=True))
+    placed = placed.withColumns({"_dense": F.col("_line.line_index"), "_start": F.coalesce("_line._start", F.lit(0)),
+                                 "_size": F.coalesce("_line._size", F.lit(0))})
+    out = [*spans.columns, "line_index", "read_index"]
+    # Small pages, which have no line yet, and ordinary lines of dense pages go through the same windows.
+    group = Window.partitionBy(*PAGE_KEY, "_dense")
+    down = group.orderBy("_down")
+    new_line = F.when(F.col("_dense").isNull() & (F.lag("_y").over(down) - F.col("_y") > LINE_GAP), 1).otherwise(0)
+    lined = placed.filter(F.col("_size") <= hot_rows).withColumn("_brk", new_line).withColumn(
+        "line_index", F.coalesce("_dense", F.sum("_brk").over(down.rowsBetween(Window.unboundedPreceding, 0))))
+    plain = lined.withColumn("_in_line", F.row_number().over(group.orderBy("line_index", "x0", "span_id")) - 1)
+    hot = placed.filter(F.col("_size") > hot_rows).withColumn("line_index", F.col("_dense"))
+    ranked = (df.withColumn("read_index", (F.col("_start") + F.col("_in_line")).cast("long")).select(*out) for df in (plain, _chunked_ranks(hot)))
+    return reduce(DataFrame.unionByName, ranked)
+
+
+def reading_order(spans: DataFrame, anchor="bottom", hot_rows=HOT_PAGE_ROWS, dealt_by: list[str] | None = None) -> DataFrame:
     """Add ``line_index`` and ``read_index`` (0-based within the page): top line first, left to right.
 
     A new line starts where the next lower edge lies more than 5 pt below.  Pages beyond ``hot_rows`` spans are
-    ordered in chunks; ``hot_rows=None`` states that there are none and saves counting.
+    ordered in chunks; ``hot_rows=None`` states that there are none and saves counting.  ``dealt_by`` states by which of the page's
+    keys the spans are dealt (``plans.deal``), so that they stay where they are.
     """
     y = _anchor(anchor)
     if hot_rows is None:
         return _order_small_pages(spans, y)
+    if dealt_by:
+        return _order_dealt_pages(spans, y, hot_rows, dealt_by)
     small, dense = split_hot(spans, PAGE_KEY, hot_rows)
     return _order_small_pages(small, y).unionByName(_order_dense_pages(dense, y, hot_rows))
 

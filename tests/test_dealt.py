@@ -51,3 +51,26 @@ def test_numbering_that_is_not_used_falls_away(spark):
     assert rows(hits.filter("doc_id = 1"), "page_number", "start", "match_index") == [(0, 0, 0), (0, 5, 1), (1, 0, 2)]
     assert hits.count() == 4
     assert "Exchange" in plan(hits) and "Exchange" not in plan(hits.select("doc_id", "page_number", "start"))
+
+
+def test_dense_pages_are_ordered_where_they_are_dealt(spark):
+    """The same order for all limits; only spans of lines beyond the limit are shuffled, to their chunks."""
+    nan = float("nan")
+    odd = [(None, 0, k, "t", float(k % 3), 700.0 - 7 * (k % 4), 0.0, 0.0) for k in range(70)] + [(1, None, 1, "t", 1.0, 2.0, 0.0, 0.0)]
+    odd += [(5, 0, k, "t", x, y, x, y) for k, (x, y) in enumerate(
+        [(1.0, 700.0), (None, 700.0), (nan, 700.0), (2.0, None), (3.0, nan), (None, None), (1.0, 700.0), (-4.0, 299.0), (0.0, 0.0), (1.0, -0.0)])]
+    spans = words(spark, 60, odd)
+    dealt, keys = deal(spans, ["doc_id"]), ("doc_id", "page_number", "span_id", "line_index", "read_index")
+    order = lambda df: sorted(map(repr, df.select(*keys).collect()))
+    want = order(text.reading_order(spans, hot_rows=None))
+    for limit in (5, 25, 59, 1000):
+        got = text.reading_order(dealt, hot_rows=limit, dealt_by=["doc_id"])
+        assert order(got) == want and got.columns == [*spans.columns, "line_index", "read_index"]
+    kept = [line for line in plan(got).splitlines() if "ENSURE_REQUIREMENTS" in line]
+    assert kept and all("_key_" in line for line in kept)
+
+
+def test_reading_order_dense_shuffles_long_lines_only(spark):
+    lines = plan(catalog.queries()["reading_order_dense"](spark, SF_DIR)).splitlines()
+    kept = [line for line in lines if "ENSURE_REQUIREMENTS" in line]
+    assert kept and all("_key_line_index" in line for line in kept)
