@@ -65,7 +65,10 @@ def _without(joined, columns):
         lambda acc: F.concat(acc["runs"], F.when(acc["next"] < n, F.array(run(acc["next"], n - 1))).otherwise(none)))
     runs = F.when(F.col("removed").isNull(), F.array(run(F.lit(0), n - 1))).otherwise(left)
     w = (F.col("x1") - F.col("x0")) / n
-    out = joined.select(*columns, "removed", F.posexplode(runs).alias("run_index", "_run"))
+    # In a column of its own, as a function on arrays would keep the explosion from generated code, and of the outer form, for which
+    # Spark adds no filter that works the runs out a second time.
+    out = joined.withColumn("_runs", runs).select(
+        *columns, "removed", F.posexplode_outer("_runs").alias("run_index", "_run")).filter(F.col("_run").isNotNull())
     whole = F.col("removed").isNull()
     a, b = F.col("_run.a"), F.col("_run.b")
     fresh = {
@@ -120,5 +123,5 @@ def search_and_redact(spans: DataFrame, hits: DataFrame, dealt_by: list[str] | N
     ranges = hits.groupBy(*SPAN_KEY).agg(F.collect_set(F.struct("a", "b")).alias("removed"))
     if not dealt_by:
         return remove_characters(spans, ranges), ranges
-    joined = noted(spans, hits, SPAN_KEY, "removed", F.collect_set)
-    return _without(joined.withColumn("removed", F.when(F.size("removed") > 0, F.col("removed"))), spans.columns), ranges
+    joined = noted(spans, ranges, SPAN_KEY, "_range", lambda note: F.first(note, ignorenulls=True))
+    return _without(joined.withColumn("removed", F.col("_range.removed")), spans.columns), ranges

@@ -74,3 +74,13 @@ def test_reading_order_dense_shuffles_long_lines_only(spark):
     lines = plan(catalog.queries()["reading_order_dense"](spark, SF_DIR)).splitlines()
     kept = [line for line in lines if "ENSURE_REQUIREMENTS" in line]
     assert kept and all("_key_line_index" in line for line in kept)
+
+
+def test_runs_are_worked_out_once_and_exploded_from_a_column(spark):
+    spans = words(spark, 5, [(1, 0, 9, "abcdef", 0.0, 0.0, 42.0, 12.0), (1, 0, 10, "gone", 0.0, 0.0, 28.0, 12.0)])
+    hits = spark.createDataFrame([(1, 0, 9, 1, 1), (1, 0, 9, 3, 4), (1, 0, 10, 0, 3)], "doc_id long, page_number int, span_id long, a int, b int")
+    left, _ = redact.search_and_redact(spans, hits)
+    assert rows(left.filter("doc_id = 1 and page_number = 0 and span_id > 5"), "span_id", "run_index", "text", "x0", "x1") == [
+        (9, 0, "a", 0.0, 7.0), (9, 1, "c", 14.0, 21.0), (9, 2, "f", 35.0, 42.0)]
+    query = plan(left)
+    assert "posexplode(_runs" in query and query.count("aggregate(array_sort(") == 1
