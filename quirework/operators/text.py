@@ -100,26 +100,30 @@ def _order_dense_pages(spans, y, hot_rows):
     return reduce(DataFrame.unionByName, ranked)
 
 
-def _chunked_ranks(spans):
-    """``_in_line`` of spans of lines with any number of spans."""
+def _chunked_ranks(spans, width=16):
+    """``_in_line`` of spans of lines with any number of spans; a chunk is ``width`` wide."""
     return ordered_scan(
-        spans, [*PAGE_KEY, "line_index"], _cell(F.col("x0"), 16), [F.col("x0"), F.col("span_id")], rank="_in_line")
+        spans, [*PAGE_KEY, "line_index"], _cell(F.col("x0"), width), [F.col("x0"), F.col("span_id")], rank="_in_line")
 
 
 def _order_dealt_pages(spans, y, hot_rows, dealt_by):
     """The same order for spans dealt by some of the page's keys: heights and pages are counted where the spans are, and the lines of
     dense pages are dealt to them.
 
-    Only spans of lines beyond ``hot_rows`` are shuffled, to their chunks.
+    Only spans of lines beyond ``hot_rows`` are shuffled, to their chunks.  These are as wide as to hold some ``hot_rows`` spans, as
+    narrow ones would be about as many as the spans.
     """
     marked = spans.withColumn("_y", y).withColumn("_down", _down(F.col("_y")))
-    heights = marked.groupBy(*PAGE_KEY, "_down").agg(F.count(F.lit(1)).alias("_n"), F.first("_y").alias("_y"))
+    finite = F.when(F.abs("x0") < float(1 << 40), F.col("x0"))
+    heights = marked.groupBy(*PAGE_KEY, "_down").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_y").alias("_y"), F.min(finite).alias("_from"), F.max(finite).alias("_to"))
     page = Window.partitionBy(*PAGE_KEY)
-    sized = heights.withColumns({"_spans": F.sum("_n").over(page), "_heights": F.count(F.lit(1)).over(page)})
+    sized = heights.withColumns({"_spans": F.sum("_n").over(page), "_heights": F.count(F.lit(1)).over(page),
+                                 "_extent": F.max("_to").over(page) - F.min("_from").over(page)}).drop("_from", "_to")
     known = F.col("doc_id").isNotNull() & F.col("page_number").isNotNull()
     dense = settle(sized.filter((F.col("_spans") > hot_rows) & known).drop("_spans"))
     few, many = (dense.filter(kind).drop("_heights") for kind in (F.col("_heights") <= hot_rows, F.col("_heights") > hot_rows))
-    found = [*PAGE_KEY, "_down", "line_index", "_start", "_size"]
+    found = [*PAGE_KEY, "_down", "line_index", "_start", "_size", "_extent"]
     lines = settle(_plain_lines(few).select(*found).unionByName(_chunked_lines(many).select(*found)))
     placed = noted(marked, deal(lines, dealt_by), [*PAGE_KEY, "_down"], "_line", lambda line: F.first(line, ignorenulls=True))
     placed = placed.withColumns({"_dense": F.col("_line.line_index"), "_start": F.coalesce("_line._start", F.lit(0)),
@@ -133,7 +137,9 @@ def _order_dealt_pages(spans, y, hot_rows, dealt_by):
         "line_index", F.coalesce("_dense", F.sum("_brk").over(down.rowsBetween(Window.unboundedPreceding, 0))))
     plain = lined.withColumn("_in_line", F.row_number().over(group.orderBy("line_index", "x0", "span_id")) - 1)
     hot = placed.filter(F.col("_size") > hot_rows).withColumn("line_index", F.col("_dense"))
-    ranked = (df.withColumn("read_index", (F.col("_start") + F.col("_in_line")).cast("long")).select(*out) for df in (plain, _chunked_ranks(hot)))
+    width = F.greatest(F.lit(16.0), F.col("_line._extent") * hot_rows / F.col("_size"))  # skips a null
+    ranked = (df.withColumn("read_index", (F.col("_start") + F.col("_in_line")).cast("long")).select(*out)
+              for df in (plain, _chunked_ranks(hot, width)))
     return reduce(DataFrame.unionByName, ranked)
 
 

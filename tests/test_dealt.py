@@ -84,3 +84,22 @@ def test_runs_are_worked_out_once_and_exploded_from_a_column(spark):
         (9, 0, "a", 0.0, 7.0), (9, 1, "c", 14.0, 21.0), (9, 2, "f", 35.0, 42.0)]
     query = plan(left)
     assert "posexplode(_runs" in query and query.count("aggregate(array_sort(") == 1
+
+
+def test_chunks_of_a_long_line_hold_many_spans(spark, monkeypatch):
+    """Words far apart don't get a chunk each; the order is the plain one, with odd places."""
+    places = [100.0 * (i * 37 % 400) for i in range(400)] + [None, float("nan"), float("inf"), -float("inf"), 1e300, -1e300]
+    data = [(1, 0, i, "t", x, 20.0, 0.0, 32.0) for i, x in enumerate(places)]
+    data += [(2, 0, i, "t", None, 20.0, 0.0, 32.0) for i in range(150)] + [(3, 0, i, "t", 7.0, 20.0, 0.0, 32.0) for i in range(150)]
+    spans, chunks, scan = spark.createDataFrame(data, SPAN), [], text.ordered_scan
+
+    def watched(df, keys, chunk, *a, **k):
+        chunks.append(df.filter("doc_id = 1").select(chunk.alias("c")).distinct().count())
+        return scan(df, keys, chunk, *a, **k)
+
+    want = text.reading_order(spans, hot_rows=None)
+    monkeypatch.setattr(text, "ordered_scan", watched)
+    got = text.reading_order(deal(spans, ["doc_id"]), hot_rows=100, dealt_by=["doc_id"])
+    keys = ("doc_id", "span_id", "line_index", "read_index")
+    assert rows(got, *keys) == rows(want, *keys)
+    assert 3 <= chunks[-1] <= 8
